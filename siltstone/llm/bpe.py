@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -57,8 +58,7 @@ class ByteBpe:
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if not plain or spec.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges"):
             raise ValueError("a byte-level BPE tokenizer without normalizer or prefix space is needed")
-        spec |= {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.merge = Tokenizer.from_str(json.dumps(spec))
+        self.model = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None})).model
         self.pattern = regex.compile(PATTERN)
         self.known = spans.Interner(bits)
         self.pool = np.zeros(1 << 20, np.uint32)
@@ -90,9 +90,10 @@ class ByteBpe:
         return np.flatnonzero(begins[:n])
 
     def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        text = [w.decode("latin1").translate(self.characters) for w in words]
-        got = self.merge.encode_batch_fast([text], is_pretokenized=True, add_special_tokens=False)[0]
-        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+        table, merge = self.characters, self.model.tokenize
+        ids = [[t.id for t in merge(w.decode("latin1").translate(table))] for w in words]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; where each text's ids begin."""
