@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, packing, simhash, substring, token_store
+from siltstone.llm import decontamination, lang_id, packing, simhash, substring, token_store
 from siltstone.session import table
 
 #: Public vocabulary file; a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_packing, op8_substring, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op5_packing, op8_substring, op9_decontamination, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
