@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, lang_id, packing, simhash, substring, token_store
+from siltstone.llm import decontamination, lang_id, packing, simhash, substring, token_store, toxicity
 from siltstone.session import table
 
 #: Public vocabulary file; a parameter of the operators.
@@ -22,6 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -39,7 +43,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op5_packing, op8_substring, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op4_toxicity, op5_packing, op8_substring, op9_decontamination, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
