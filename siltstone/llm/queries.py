@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, lang_id, packing, simhash, substring, token_store, toxicity
+from siltstone.llm import ann, decontamination, lang_id, packing, simhash, substring, token_store, toxicity, url_filter
 from siltstone.session import table
 
 #: Public vocabulary file; a parameter of the operators.
@@ -22,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("difference")
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op4_toxicity, op5_packing, op8_substring, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_ann, op4_toxicity, op5_packing, op7_url_filter, op8_substring, op9_decontamination, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
