@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, decontamination, lang_id, packing, simhash, substring, token_store, toxicity, url_filter
+from siltstone.llm import ann, decontamination, lang_id, packing, simhash, substring, token_store, toxicity, url_filter, warc
 from siltstone.session import table
 
 #: Public vocabulary file; a parameter of the operators.
@@ -35,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("difference")
 
@@ -52,7 +56,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_ann, op4_toxicity, op5_packing, op7_url_filter, op8_substring, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_ann, op4_toxicity, op5_packing, op6_warc, op7_url_filter, op8_substring, op9_decontamination, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
