@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm import spans
 
@@ -238,46 +239,49 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
     return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), allowed, switch)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``doc_id, lang_pred, score, spans`` over its whole text.
+def _judged(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """lang_pred, score and spans of texts."""
+    part = pa.record_batch({"text": texts})
+    data, starts, ends, first = _words(part)
+    n, m = part.num_rows, max(1, len(model.languages))
+    weight = (ends - starts).astype(np.float64)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    named = len(model.languages) > 0
+    labels = model.label(model.word_scores(data, starts, ends), first) if named and len(starts) else np.zeros(len(starts), np.int16)
+    share = np.bincount(owner * m + labels, weight, n * m).reshape(n, m)
+    total, best = share.sum(axis=1), share.argmax(axis=1)
+    plain = np.bincount(owner, data[starts] < 0x80, n) if len(starts) else np.zeros(n)
+    lettered = (total > 0) & named
+    for i in np.flatnonzero((total > 0) & (plain == 0)).tolist():  # no word begins with an ASCII letter: look closer
+        lettered[i] &= any(c.isalpha() for c in texts[i].as_py())
+    lang = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
+    score = np.where(lettered, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
+    change = np.ones(len(labels), bool)
+    change[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(change)
+    names = np.array([*model.languages, "und"], object)
+    items = pa.StructArray.from_arrays([pa.array(names[labels[at]], pa.string()), pa.array(np.diff(np.append(at, len(labels))), pa.int64())], ["lang", "words"])
+    return pa.array(lang, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first), pa.int32()), items)
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred, score, spans`` over whole texts, row by row (no shuffle).
 
     spans lists runs of ``(lang, words)``. score is the share of letters in spans of
     lang_pred. Null texts and texts without letters are ``und`` with score 0. With no
     language learned everything is ``und``. Ties go to the first language by name.
+    Columns of these names in ``docs`` are replaced.
     """
+    rows = docs.drop("lang_pred", "score", "spans")
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("lang_pred string, score double, spans array<struct<lang:string,words:long>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.chunks(batch, "text", STEP_BYTES):
-                data, starts, ends, first = _words(part)
-                n, m = part.num_rows, max(1, len(model.languages))
-                texts = part.column("text")
-                weight = (ends - starts).astype(np.float64)
-                owner = np.repeat(np.arange(n), np.diff(first))
-                named = len(model.languages) > 0
-                labels = model.label(model.word_scores(data, starts, ends), first) if named and len(starts) else np.zeros(len(starts), np.int16)
-                share = np.bincount(owner * m + labels, weight, n * m).reshape(n, m)
-                total = share.sum(axis=1)
-                best = share.argmax(axis=1)
-                plain = np.bincount(owner, (data[starts] < 0x80) if len(starts) else None, n) if len(starts) else np.zeros(n)
-                doubtful = np.flatnonzero((total > 0) & (plain == 0))
-                lettered = (total > 0) & named
-                for i in doubtful.tolist():  # no word begins with an ASCII letter: look closer
-                    lettered[i] &= any(c.isalpha() for c in texts[i].as_py())
-                lang = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                score = np.where(lettered, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
-                change = np.ones(len(labels), bool)
-                change[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(change)
-                names = np.array([*model.languages, "und"], object)
-                items = pa.StructArray.from_arrays(
-                    [pa.array(names[labels[at]] if named else names[[0] * len(at)], pa.string()), pa.array(np.diff(np.append(at, len(labels))), pa.int64())], ["lang", "words"]
-                )
-                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first), pa.int32()), items)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "spans": found})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,words:long>>")
+            for part in spans.chunks(batch, text_col, STEP_BYTES):
+                got = _judged(model, part.column(text_col))
+                yield pa.RecordBatch.from_arrays([*part.columns, *got], [*part.schema.names, "lang_pred", "score", "spans"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, switch: float = 6.0) -> DataFrame:
@@ -285,4 +289,5 @@ def identify(docs: DataFrame, switch: float = 6.0) -> DataFrame:
     A null doc_id is never trained on and not held out."""
     model = fit(docs.filter(is_training()).select("text", "lang"), switch)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return predict(rows, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")

@@ -50,8 +50,8 @@ def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: A-Z lower-cased, fp as a signed long. Null and blank texts have fp 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, row_col: str | None = None) -> DataFrame:
+    """``(row_, doc_id, fp)``: A-Z lower-cased, fp as a signed long. Null and blank texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,10 +60,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw = data.tobytes().lower()
                 at = offsets.tolist()
                 fps = [fingerprint(raw[a:b], words_per_shingle) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
+                yield pa.record_batch({"row_": part.column("row_"), "doc_id": part.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows = docs.select(row.cast("long").alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "row_ long, doc_id long, fp long")
 
 
 def block_masks(distance: int = 4, blocks: int = 7) -> list[int]:
@@ -165,9 +166,23 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int =
     component's id unless no other is there. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    labelled = _labelled(fps, distance)
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(fps: DataFrame, distance: int) -> DataFrame:
+    """``fp, least_id, least_row, root`` of each distinct fingerprint."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("least_row"))
+    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", "least_id", "least_row", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4) -> DataFrame:
+    """The row of smallest doc_id of each near-duplicate group, with all its columns (null doc_ids last, of
+    equal ones the first row). ``docs`` must be a deterministic read, as rows are numbered by place."""
+    rows = docs.withColumn("row_", F.monotonically_increasing_id())
+    fps = cut(fingerprints(rows, words_per_shingle=words_per_shingle, row_col="row_"))
+    kept = _labelled(fps, distance).groupBy("root").agg(F.min("least_row").alias("x")).select("x.row_")
+    return rows.join(kept, "row_", "left_semi").drop("row_")

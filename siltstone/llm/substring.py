@@ -231,9 +231,24 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataF
 
 
 def without_repeats(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
-    """``row_, kept``: what is left of each text that lost words, joined by spaces; null where nothing was lost."""
+    """``docs`` with repeated words removed from ``text``: what is left is joined by spaces, a text that loses
+    nothing stays as it is, a document that loses all its words goes. ``n_chars`` follows, where there is one."""
+    others = [c for c in docs.columns if c not in ("row_", "ranges")]
+    rows = docs.select(F.monotonically_increasing_id().alias("row_"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id_"), *[F.col(c).alias(f"x_{c}") for c in others])
+    texts = rows.select("row_", "id_", F.col("x_text").alias("text"))
+    ranges = removals(texts, window, hot).groupBy("row_").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    joined = rows.drop("id_").join(ranges, "row_", "left").select(*[F.col(f"x_{c}").alias(c) for c in others], "ranges")
 
-    def each(text: bytes, ranges: list) -> dict:
-        return {"kept": b" ".join(_kept(text, ranges)[1]).decode() if ranges else None}
-
-    return _finish(docs, window, hot, each, "row_ long, doc_id long, kept string").drop("doc_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in spans.chunks(batch, "text"):
+                texts, ranges = part.column("text").to_pylist(), part.column("ranges").to_pylist()
+                left = [b" ".join(_kept(t.encode(), r)[1]).decode() if r else t for t, r in zip(texts, ranges, strict=True)]
+                new = pa.array(left, part.schema.field("text").type)
+                stays = pa.array([not r or t != "" for t, r in zip(left, ranges, strict=True)])
+                columns = {c: new if c == "text" else part.column(c) for c in others}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([n if not r else len(t) for n, t, r in zip(part.column("n_chars").to_pylist(), left, ranges, strict=True)], part.schema.field("n_chars").type)
+                yield pa.record_batch(columns).filter(stays)
+
+    return joined.mapInArrow(run, docs.select(*others).schema)
