@@ -42,9 +42,11 @@ def _kept(part: pa.RecordBatch, window: int, gram: int, short: list[int], all_sh
     hashes = spans.hash_spans(data, starts, ends)
     count = np.diff(first)
     owner = np.repeat(np.arange(len(count)), count)
-    docs, found = [], []
+    docs, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
 
     def keep(values: np.ndarray, width: int, only: np.ndarray | None) -> None:
+        if not len(values):
+            return
         at = np.arange(len(values))
         fits = at + width <= first[owner[: len(values)] + 1]
         if only is not None:
