@@ -11,6 +11,7 @@ become revisits of one response. Files are written by Spark's committed text wri
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -142,26 +143,42 @@ def warc_records(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """ARC files of about FILE_BYTES, in turn of version 1 and 2 (null payload: empty; null URL: a dash)."""
+def rows_per_file(sizes: DataFrame) -> int:
+    """Rows of column ``n`` bytes that make a file of about FILE_BYTES; two at least."""
+    mean = sizes.agg(F.avg(F.coalesce("n", F.lit(0)))).first()[0] or 0
+    return int(max(2, FILE_BYTES // (mean + 600)))
+
+
+def _write(rows: DataFrame, path: str, separator: str, each: int) -> None:
+    """Gzip files of ``each`` rows: the records are text, the separator ends each."""
+    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+
+
+def _opened(content: pa.Scalar) -> memoryview:
+    return memoryview(gzip.decompress(content.as_buffer()))
+
+
+def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> int:
+    """ARC files of about FILE_BYTES, in turn of version 1 and 2 (null payload: empty; null URL: a dash); returns rows a file."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("html"))
-    total = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    each = rows_per_file(rows.select(F.octet_length("html").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        version, name, at = str(1 + number % 2), f"siltstone-{number:05d}.arc", 0
+        version, name, at, rows_out = str(1 + number % 2), f"siltstone-{number:05d}.arc", 0, 0
         for batch in batches:
             out = []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not at:
+                if rows_out % each == 0:  # the writer begins a file
                     out.append(arc_version_block(version, name, date))
-                    at = len(out[0]) + 1
+                    at, rows_out = len(out[-1]) + 1, rows_out + 1
+                rows_out += 1
                 out.append(arc_record(version, plain_url(url), date, http_response(page_id, (html or "").encode()), at, name))
                 at += len(out[-1]) + 1
             yield pa.record_batch({"value": pa.array([x.decode() for x in out], pa.string())})
 
-    files = rows.repartition(max(1, -(-total // FILE_BYTES)), F.xxhash64("page_id", "url"))
-    files.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "none").text(path)
+    _write(rows.mapInArrow(run, "value string"), path, "\n", each)
+    return each
 
 
 RECORDS = "page_id long, record_id string, url string, date string, type string, content_type string, payload_bytes long, payload_digest string, head string, payload string"
@@ -175,7 +192,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 out: list[dict] = []
                 held = 0
-                for _, fields, block in arc_records(memoryview(content.as_buffer())):
+                for _, fields, block in arc_records(_opened(content)):
                     url, date = fields["URL"], warc_date(fields["Archive-date"])
                     kind, content_type = warc_type(url, block)
                     head, payload = split_http(block) if kind == "response" else (b"", block)
@@ -197,8 +214,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 _SCHEMA = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in RECORDS.split(", "))])
 
 
-def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """WARC files; of records with equal payloads of at least ``least_bytes`` the one with the largest page_id is
+def write_warc(records: DataFrame, path: str, least_bytes: int = 0, each: int = 4096) -> None:
+    """WARC files of ``each`` records; of those with equal payloads of at least ``least_bytes`` the one with the largest page_id is
     the response (all rows of that id, if it repeats) and the others revisit it."""
     light = records.filter(F.col("payload_bytes") >= least_bytes).filter(F.col("type") == "response")
     kept = light.groupBy("payload_digest", "payload_bytes").agg(
@@ -221,7 +238,7 @@ def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
                 out.append(warc_record(fields, block).decode())
             yield pa.record_batch({"value": pa.array(out, pa.string())})
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "none").text(path)
+    _write(rows.mapInArrow(run, "value string"), path, "\r\n\r\n", each)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +252,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out = []
-                for fields, block in warc_records(memoryview(content.as_buffer())):
+                for fields, block in warc_records(_opened(content)):
                     kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     head, payload = split_http(block) if "application/http" in fields["content-type"] else (b"", block)
                     own = http_fields(head)
@@ -259,8 +276,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
-    write_arc(pages, arc)
-    write_warc(read_arc(spark, arc), warc, least_bytes)
+    each = write_arc(pages, arc)
+    write_warc(read_arc(spark, arc), warc, least_bytes, each)
     found = read_warc(spark, warc)
     ids = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
     return found.join(ids, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
