@@ -30,8 +30,8 @@ REPORTS = "said says say told wrote writes claimed quoted reported according sag
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Documented bound of the labelled rows that are learned from.
 MOST_LABELLED = 20_000
-#: Entries of the learned lexicon.
-MOST_FEATURES = 20_000
+#: Entries of the learned lexicon, and features that are considered for it.
+MOST_FEATURES, MOST_CANDIDATES = 20_000, 200_000
 PREFIXES = range(3, 10)
 #: Folds of the cross-fitted calibration.
 FOLDS = 8
@@ -198,48 +198,63 @@ def is_training(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
+def _once(part: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, feature) pairs of the given rows of a chunk, each once."""
+    data, offsets = _lowered(part.column("text").take(pa.array(rows)))
+    starts, ends, first = spans.word_spans(data, offsets, _WORD)
+    owner = np.repeat(rows, np.diff(first))
+    for words, keys in _features(data, starts, ends):
+        if len(keys):
+            pairs = np.unique(np.stack([keys, owner[words].astype(np.uint64)], axis=1), axis=0)
+            yield pairs[:, 1].astype(np.int64), pairs[:, 0]
+
+
 def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
-    """Of all folds but one, for each fold; then of all. One pass over ``rows (text, toxic, fold)``."""
+    """Of all folds but one, for each fold; then of all, from ``rows (text, toxic, fold)``.
+
+    First the features of rows with label 1 are counted, and the most frequent kept; then
+    only these are counted over all rows, by fold.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def toxic_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text", 4 << 20):
-                data, offsets = _lowered(part.column("text"))
-                starts, ends, first = spans.word_spans(data, offsets, _WORD)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-                fold = part.column("fold").to_numpy(zero_copy_only=False)
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-                for words, keys in _features(data, starts, ends):
-                    doc = owner[words]
-                    once = np.unique(np.stack([keys, doc.astype(np.uint64)], axis=1), axis=0) if len(keys) else np.empty((0, 2), np.uint64)
-                    doc = once[:, 1].astype(np.int64)
-                    for i in range(FOLDS):
-                        own = fold[doc] == i
-                        bad = toxic[doc[own]]
-                        key, at = np.unique(once[own, 0], return_inverse=True)
-                        t = np.bincount(at, bad, len(key)).astype(np.int64)
-                        many = pa.array(np.full(len(key), i), pa.int32())
-                        yield pa.record_batch({"key": pa.array(key.view(np.int64)), "fold": many, "t": pa.array(t), "n": pa.array(np.bincount(at, ~bad, len(key)).astype(np.int64))})
+                bad = np.flatnonzero(part.column("toxic").to_numpy(zero_copy_only=False))
+                for _, keys in _once(part, bad):
+                    key, n = np.unique(keys, return_counts=True)
+                    yield pa.record_batch({"key": pa.array(key.view(np.int64)), "t": pa.array(n)})
 
     sizes = np.zeros((FOLDS, 2))
-    for r in rows.groupBy("fold", "toxic").count().collect():
+    for r in rows.groupBy("fold", "toxic").count().collect():  # two rows a fold
         sizes[r.fold, int(r.toxic)] = r["count"]
-    sums = [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{c}{i}") for c in "nt" for i in range(FOLDS)]
-    counts = rows.select("text", "toxic", "fold").mapInArrow(count, "key long, fold int, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), *sums)
-    good, bad = sizes.sum(axis=0)
-    odds = F.log((F.col("t") + 0.25) / (bad + 0.5)) - F.log((F.col("n") + 0.25) / (good + 0.5))
-    least = 4 if bad > 200 else 2
-    got = counts.filter(F.col("t") >= least).withColumn("w", odds).filter("w > 0.8").orderBy(F.desc(F.col("w") * F.log1p("t")), "key").limit(MOST_FEATURES).toArrow()
-    keys = got.column("key").to_numpy().view(np.uint64)
-    n, t = (np.stack([got.column(f"{c}{i}").to_numpy() for i in range(FOLDS)]) for c in "nt")
+    least = 4 if sizes[:, 1].sum() > 200 else 2
+    counts = rows.select("text", "toxic").mapInArrow(toxic_only, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
+    got = counts.filter(F.col("t") >= least).orderBy(F.desc("t"), "key").limit(MOST_CANDIDATES).select("key").toArrow()
+    keys = np.sort(got.column("key").to_numpy().view(np.uint64))
+
+    def of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(keys), FOLDS * 2), np.int64)
+        for batch in batches:
+            for part in spans.chunks(batch, "text", 4 << 20):
+                kind = part.column("fold").to_numpy(zero_copy_only=False) * 2 + part.column("toxic").to_numpy(zero_copy_only=False)
+                for doc, found in _once(part, np.arange(part.num_rows)):
+                    at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
+                    hit = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+                    np.add.at(table, (at[hit], kind[doc[hit]]), 1)
+        at, kind = np.nonzero(table)
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "kind": pa.array(kind, pa.int32()), "n": pa.array(table[at, kind])})
+
+    got = rows.select("text", "toxic", "fold").mapInArrow(of_candidates, "at int, kind int, n long").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((len(keys), FOLDS * 2))
+    table[got.column("at").to_numpy(), got.column("kind").to_numpy()] = got.column("n").to_numpy()
     out = []
     for fold in range(FOLDS + 1):
         own = np.arange(FOLDS) != fold
         good, bad = sizes[own].sum(axis=0)
-        t_, n_ = t[own].sum(axis=0) + 0.25, n[own].sum(axis=0) + 0.25
-        w = np.log(t_ / (bad + 0.5)) - np.log(n_ / (good + 0.5))
-        kept = np.flatnonzero((t_ >= least * own.mean()) & (w > 1.0) & (w > 1.2 * np.sqrt(1 / t_ + 1 / n_)))
-        kept = kept[np.argsort(keys[kept])]
+        n, t = (table[:, i::2][:, own].sum(axis=1) + 0.25 for i in (0, 1))
+        w = np.log(t / (bad + 0.5)) - np.log(n / (good + 0.5))
+        kept = np.flatnonzero((t >= least * own.mean()) & (w > 1.0) & (w > 1.2 * np.sqrt(1 / t + 1 / n)))
+        kept = np.sort(kept[np.argsort(-w[kept] * np.log1p(t[kept]), kind="stable")][:MOST_FEATURES])
         out.append(Lexicon(keys[kept], np.minimum(w[kept], 6.0)))
     return out
 
@@ -266,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     known = labels.filter(is_training()).filter("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = known.withColumn("order_", F.xxhash64("doc_id", F.lit(7))).orderBy("order_", "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = rows.join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # `most` rows of an id and a flag
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int"))
     *others, lexicon = _learn_lexicons(rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
