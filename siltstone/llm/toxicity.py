@@ -183,14 +183,17 @@ def _measures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Logistic over the measures of texts with a matched clause; ``plain`` is the score of all others."""
+
     lexicon: Lexicon
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
+    plain: float
 
     def score(self, measures: np.ndarray) -> np.ndarray:
-        z = (measures - self.mean) / self.scale @ self.beta[1:] + self.beta[0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = np.clip((measures - self.mean) / self.scale, -8, 8) @ self.beta[1:] + self.beta[0]
+        return np.where(measures[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.plain)
 
 
 def is_training(doc_id: str = "doc_id") -> F.Column:
@@ -296,10 +299,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
     got = rows.select("text", "toxic", "fold").mapInArrow(measure, "x array<double>, toxic boolean").toArrow()  # `most` rows at most
     y = got.column("toxic").to_numpy().astype(float)
+    x = np.stack(got.column("x").to_pylist()) if len(y) else np.zeros((0, 6))
+    matched = x[:, 0] > 0
+    plain = float((y[~matched].sum() + 0.1) / ((~matched).sum() + 0.2 + 10 * (not y.any())))
+    x, y = x[matched], y[matched]
     if not len(y) or y.min() == y.max():
-        rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-        return Model(lexicon, np.zeros(6), np.ones(6), np.array([np.log(rate / (1 - rate)), *[0.0] * 6]))
-    return Model(lexicon, *_calibrate(np.stack(got.column("x").to_pylist()), y))
+        rate = (y.sum() + 0.1) / (len(y) + 0.3)
+        return Model(lexicon, np.zeros(6), np.ones(6), np.array([np.log(rate / (1 - rate)), *[0.0] * 6]), plain)
+    return Model(lexicon, *_calibrate(x, y), plain)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
