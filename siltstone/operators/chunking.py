@@ -38,6 +38,45 @@ def starts_chunks(docs: DataFrame, starts: Column) -> DataFrame:
     return _merge(lines(docs).withColumn("island", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(before)))
 
 
+def structural_starts(rows: DataFrame, pending: Column, start: Column, comment: Column) -> DataFrame:
+    """``doc_id, line_no`` where structures begin, over columns ``doc_id, line_no, line`` and the trimmed ``code``.
+
+    A start takes the first pending line (attribute, decorator) since the last line that
+    was neither blank, comment nor pending: a window, as such lines part the groups.
+    """
+    rows = rows.withColumns({"pending": pending, "start": ~pending & start})
+    parts = F.col("start") | (~F.col("pending") & (F.col("code") != "") & ~comment)
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("group", F.coalesce(F.sum(parts.cast("int")).over(before), F.lit(0)))
+    held = F.min(F.when(F.col("pending"), F.col("line_no"))).over(Window.partitionBy("doc_id", "group"))
+    return rows.withColumn("held", held).filter("start").select("doc_id", F.coalesce("held", "line_no").alias("line_no"))
+
+
+def structural_chunks(docs: DataFrame, pending: Column, start: Column, comment: Column) -> DataFrame:
+    """Chunks at structural starts with what belongs to them above; documents without one by paragraphs."""
+    rows = lines(docs).withColumn("code", F.ltrim(F.regexp_replace("line", "^\\s+", "")))
+    starts = structural_starts(rows, pending, start, comment).withColumn("begins", F.lit(True))
+    found = docs.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
+    before = Window.partitionBy("doc_id").orderBy("line_no")
+    marked = lines(found).join(starts, ["doc_id", "line_no"], "left").withColumn("island", F.sum(F.coalesce(F.col("begins").cast("int"), F.lit(0))).over(before))
+    rest = docs.join(starts.select("doc_id").distinct(), "doc_id", "left_anti")
+    return _merge(marked.drop("begins")).unionByName(paragraph_chunks(rest))
+
+
+def language_rules(language: str) -> tuple[Column, Column, Column]:
+    """(pending, start, comment) over the trimmed line ``code`` of a source language."""
+    code = F.col("code")
+    if language == "rust":
+        return code.startswith("#["), code.rlike(r"^(?:pub )?(?:async )?(?:fn|struct|enum|trait) |^(?:pub )?impl"), code.startswith("//")
+    if language == "python":
+        return code.startswith("@"), code.rlike("^(?:class|def|async def) "), code.startswith("#")
+    if language == "typescript":
+        return code.startswith("@"), code.rlike(r"^(?:export )?(?:default )?(?:abstract )?(?:async )?(?:class|function|interface|enum|type) "), code.startswith("//")
+    if language == "cargo_toml":
+        return F.lit(False), code.startswith("["), code.startswith("#")
+    raise ValueError(f"no rules for {language}")
+
+
 def markdown_chunks(docs: DataFrame) -> DataFrame:
     """Sections before ATX headings; documents without a heading by paragraphs."""
     headed = F.concat(F.lit("\n"), F.col("text")).rlike("\n#{1,6}(?:[ \t]|\n|$)")

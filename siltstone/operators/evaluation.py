@@ -82,9 +82,9 @@ def span_hits(candidates: DataFrame, judgments: DataFrame) -> DataFrame:
     return c.join(j, met).select("c.source_id", F.col("c.start").alias("c_start"), F.col("c.end").alias("c_end"), F.col("j.start").alias("j_start"), F.col("j.end").alias("j_end"))
 
 
-def nearest_rank(values: Column, p: int) -> Column:
+def nearest_rank(column: str, p: float) -> Column:
     """The value at index ceil(n p / 100) - 1 of the sorted ones."""
-    return F.percentile_disc(p / 100, values) if hasattr(F, "percentile_disc") else F.expr("null")
+    return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})")
 
 
 def mean_metric(value: Column, measured: Column) -> Column:

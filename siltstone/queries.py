@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import classify, policy, text
-from siltstone.operators import chunking, code, evaluation, fusion, graph, lexical, maintenance, selection, vectors
+from siltstone.operators import chunking, code, evaluation, fusion, governance, graph, lexical, maintenance, selection, vectors
 from siltstone.plans import planner
 from siltstone.session import table
 from siltstone.sources import files
@@ -773,7 +773,7 @@ def group_by_child(spark, sf_dir):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[evaluation.nearest_rank("value", p).alias(n) for n, p in (("p50", 50), ("p95", 95), ("p99", 99))])
 
 
 @query("SELECT user_id, CASE WHEN bool_and(event_type <> 'error') THEN (sum(event_id % 10000) // count(*))::BIGINT END AS mean, max(event_id % 10000) AS most, sum(event_id % 10000)::BIGINT AS total FROM events GROUP BY 1")
@@ -973,3 +973,173 @@ def relational_rollup(spark, sf_dir):
     c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
     joined = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
     return joined.rollup("r_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+# ---- further operators --------------------------------------------------------------------------
+
+
+@query(
+    "WITH " + LINES
+    + r""",
+  c AS (SELECT *, regexp_replace(line, '^\s+', '') AS code FROM lines), k AS (SELECT *, starts_with(code, 'In') AS pending, NOT starts_with(code, 'In') AND starts_with(code, 'Th') AS start_, starts_with(code, 'E') AS comment FROM c),
+  g AS (SELECT *, coalesce(sum((start_ OR (NOT pending AND code <> '' AND NOT comment))::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM k),
+  h AS (SELECT *, min(CASE WHEN pending THEN line_no END) OVER (PARTITION BY doc_id, grp) AS held FROM g) SELECT doc_id, coalesce(held, line_no) AS line_no FROM h WHERE start_"""
+)
+def structural_starts(spark, sf_dir):
+    rows = chunking.lines(table(spark, sf_dir, "documents")).withColumn("code", F.regexp_replace("line", r"^\s+", ""))
+    c = F.col("code")
+    return chunking.structural_starts(rows, c.startswith("In"), c.startswith("Th"), c.startswith("E"))
+
+
+@query()
+def source_chunks(spark, sf_dir):
+    rows = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(SOURCES.items())], "doc_id long, text string, path string")
+    parts = [chunking.structural_chunks(rows.filter(F.col("path").endswith(e)), *chunking.language_rules(n)) for e, n in ((".py", "python"), (".rs", "rust"), (".ts", "typescript"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PROFILES = list(governance.APPROVAL)
+
+
+@query(
+    "SELECT p.p AS profile, r.r AS risk, CASE WHEN r = 'Low' THEN 'Allow' WHEN r = 'Medium' THEN CASE WHEN p IN ('StrictResearch', 'TrustedWorkspace') THEN 'Allow' ELSE 'RequireApproval' END WHEN r = 'High' THEN 'RequireApproval' WHEN p = 'TrustedWorkspace' THEN 'RequireApproval' ELSE 'Deny' END AS decision FROM (SELECT unnest("
+    + str(_PROFILES)
+    + ") AS p) p, (SELECT unnest(['Low', 'Medium', 'High', 'Critical']) AS r) r"
+)
+def approval_matrix(spark, sf_dir):
+    pairs = spark.createDataFrame([(p, r) for p in _PROFILES for r in governance.RISKS], "profile string, risk string")
+    return pairs.withColumn("decision", governance.approval(F.col("profile"), F.col("risk")))
+
+
+_TASKS = [*governance.TASK_NEXT, "CompletedVerified", "CompletedWithWarnings", "Failed", "Cancelled"]
+
+
+@query(f"WITH s AS (SELECT unnest({_TASKS}) AS s) SELECT a.s AS from_state, b.s AS to_state, a.s || '>' || b.s IN ({', '.join(chr(39) + a + '>' + b + chr(39) for a, f in governance.TASK_NEXT.items() for b in f)}) AS allowed FROM s a, s b")
+def task_transitions(spark, sf_dir):
+    pairs = spark.createDataFrame([(a, b) for a in _TASKS for b in _TASKS], "from_state string, to_state string")
+    return pairs.withColumn("allowed", governance.task_step(F.col("from_state"), F.col("to_state")))
+
+
+@query(
+    """WITH t AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'Active' ELSE 'Validating' END AS status, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 <> 0 END AS passed, user_id % 2 AS report_task, event_id % 2 AS task, event_id % 4 AS warnings, CASE WHEN event_id % 7 < 4 THEN 'Verified' ELSE 'WithWarnings' END AS proposed FROM events)
+  SELECT event_id, CASE WHEN status <> 'Validating' THEN 'NotValidating' WHEN passed IS NULL THEN 'MissingValidation' WHEN report_task <> task THEN 'WrongTask' WHEN NOT passed THEN 'Failed' WHEN proposed = 'Verified' AND warnings > 0 THEN 'WarningsPresent' WHEN proposed = 'WithWarnings' AND warnings = 0 THEN 'NoWarnings' ELSE 'AllowCompletion' END AS decision FROM t"""
+)
+def task_completion(spark, sf_dir):
+    i = F.col("event_id")
+    decision = governance.completion(
+        F.when(F.col("event_type") == "view", "Active").otherwise("Validating"), F.col("user_id") % 2, i % 2, F.when(i % 5 != 0, i % 3 != 0), i % 4, F.when(i % 7 < 4, "Verified").otherwise("WithWarnings")
+    )
+    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
+
+
+_ACTIONS = ["promote", "contradict", "deprecate", "supersede"]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_ACTIONS}[doc_id % 4 + 1] AS action, CASE WHEN doc_id % 5 <> 0 THEN 'Active' END AS status, doc_id % 8 = 3 AS own, doc_id % 3 = 0 AS there FROM labels)
+  SELECT doc_id, CASE WHEN action = 'promote' AND status IS NULL THEN 'Active' WHEN status IS NULL THEN 'MissingMemory' WHEN action = 'contradict' THEN 'Contradicted' WHEN action = 'deprecate' THEN 'Deprecated' WHEN action = 'supersede' AND own THEN 'SelfSuperseded' WHEN action = 'supersede' AND NOT there THEN 'MissingReplacement' WHEN action = 'supersede' THEN 'Superseded' ELSE status END AS status FROM t"""
+)
+def memory_lifecycle(spark, sf_dir):
+    d = F.col("doc_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in _ACTIONS]), (d % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "labels").select("doc_id", governance.memory_transition(action, F.when(d % 5 != 0, "Active"), d % 8 == 3, d % 3 == 0).alias("status"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS outcome_id, CASE WHEN o_orderstatus = 'F' THEN 'SourcesConflict' ELSE 'Answerable' END AS status FROM orders), m AS (SELECT l_orderkey AS outcome_id, l_linenumber AS evidence_id FROM lineitem WHERE l_linenumber > 5),
+  e AS (SELECT l_orderkey AS outcome_id, l_linenumber AS evidence_id FROM lineitem WHERE l_suppkey % 3 <> 0), n AS (SELECT outcome_id, count(*) AS n FROM m GROUP BY 1)
+  SELECT outcome_id, 'status' AS problem FROM o LEFT JOIN n USING (outcome_id) WHERE (coalesce(n, 0) > 0) <> (status = 'SourcesConflict') UNION SELECT outcome_id, 'member' FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.outcome_id = m.outcome_id AND e.evidence_id = m.evidence_id)"""
+)
+def conflict_checks(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("outcome_id"), F.col("l_linenumber").alias("evidence_id"), "l_suppkey")  # noqa: E741
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("outcome_id"), F.when(F.col("o_orderstatus") == "F", "SourcesConflict").otherwise("Answerable").alias("status"))
+    keys = ["outcome_id", "evidence_id"]
+    return governance.conflict_problems(o, l.filter("evidence_id > 5").select(*keys), l.filter("l_suppkey % 3 <> 0").select(*keys).distinct())
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS nth, (SELECT count(*) FROM customer) <= 25 AS complete FROM customer ORDER BY nth LIMIT 25")
+def page_probe(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return governance.page(c, [F.desc("c_acctbal"), F.col("c_custkey")], 25).select("c_custkey", "nth", "complete")
+
+
+@query(
+    """WITH c AS (SELECT event_id, user_id AS query_id, CASE WHEN event_type IN ('error', 'view') THEN 'code' ELSE 'lexical' END AS lane, CASE WHEN event_id % 3 = 0 THEN 'Current' ELSE 'Stale' END AS freshness FROM events),
+  m AS (SELECT *, bool_and(lane = 'code' AND freshness = 'Stale') OVER (PARTITION BY query_id) AS stale_code_only FROM c) SELECT event_id, stale_code_only FROM m WHERE NOT (lane = 'code' AND freshness = 'Stale') OR stale_code_only"""
+)
+def stale_code_drop(spark, sf_dir):
+    lane = F.when(F.col("event_type").isin("error", "view"), "code").otherwise("lexical")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("query_id"), lane.alias("lane"), F.when(F.col("event_id") % 3 == 0, "Current").otherwise("Stale").alias("freshness"))
+    return governance.drop_stale_code(rows).select("event_id", "stale_code_only")
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS query_id, l_linenumber AS ord, l_quantity::BIGINT AS bytes, l_linenumber = 1 AS is_seed FROM lineitem),
+  w AS (SELECT *, sum((NOT is_seed)::INT) OVER (PARTITION BY query_id ORDER BY ord) AS used, sum(CASE WHEN is_seed THEN 0 ELSE bytes END) OVER (PARTITION BY query_id ORDER BY ord) AS read_ FROM e) SELECT query_id, ord FROM w WHERE is_seed OR (used <= 3 AND read_ <= 60)"""
+)
+def expansion_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_linenumber") == 1).alias("is_seed"))
+    return governance.within_budget(rows, 3, 60).select("query_id", "ord")
+
+
+@query("WITH c AS (SELECT DISTINCT user_id AS case_id FROM events), r AS (SELECT DISTINCT event_type AS route FROM events) SELECT case_id, route FROM c, r WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = case_id AND event_type = route)")
+def observation_completeness(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("route"))
+    cases = e.select("case_id").distinct().crossJoin(F.broadcast(e.select("route").distinct()))  # five routes
+    return governance.incomplete_observations(cases, e)
+
+
+@query("WITH o AS (SELECT c_mktsegment AS name, max(c_custkey) AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), n AS (SELECT c_mktsegment AS name, max(c_custkey) AS v FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1) SELECT name, greatest(o.v, n.v) AS next_id FROM o FULL JOIN n USING (name)")
+def counter_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    part = lambda i: c.filter(F.col("c_custkey") % 2 == i).groupBy(F.col("c_mktsegment").alias("name")).agg(F.max("c_custkey").alias("next_id"))
+    return governance.advanced_counters(part(0), part(1))
+
+
+@query(
+    """WITH m AS (SELECT o_orderstatus AS route, count(*) AS recall, sum(o_orderkey % 3)::BIGINT AS chain, sum(o_orderkey % 5)::BIGINT AS outcome, min(o_orderkey) AS p95 FROM orders GROUP BY 1), a AS (SELECT * FROM m WHERE route = 'F'), b AS (SELECT * FROM m WHERE route = 'O')
+  SELECT (b.recall >= a.recall + 500 OR b.chain >= a.chain + 500 OR b.outcome >= a.outcome + 500) AND b.recall >= a.recall AND b.chain >= a.chain AND b.p95 <= a.p95 AS wins FROM a, b"""
+)
+def specialised_gate(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("route")).agg(F.count("*").alias("recall"), F.sum(k % 3).alias("chain"), F.sum(k % 5).alias("outcome"), F.min(k).alias("p95"))
+    m = m.withColumns({"abstention": F.col("recall"), "citation": F.col("chain"), "memory": F.col("p95"), "disk": F.col("p95")})
+    return governance.specialised_wins(m, "F", "O")
+
+
+@query(f"WITH {HITS} SELECT query_id, evidence_id, min(dup_cluster) AS cluster FROM hits WHERE dup_cluster IS NOT NULL GROUP BY ALL")
+def evidence_clusters(spark, sf_dir):
+    good = lane_hits(spark, sf_dir).filter("status = 'Succeeded' AND dup_cluster IS NOT NULL")
+    return good.groupBy("query_id", "evidence_id").agg(F.min("dup_cluster").alias("cluster"))
+
+
+@query("SELECT event_type, count(*) FILTER (value > 10) AS measured, sum(CASE WHEN value > 10 THEN event_id ELSE 0 END)::BIGINT AS total, max(CASE WHEN value > 10 THEN event_id END) AS most, (count(*) FILTER (value > 10) * 10000 // count(*))::BIGINT AS share FROM events GROUP BY 1")
+def measured_aggregates(spark, sf_dir):
+    ok = F.col("value") > 10
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.when(ok, 1)).alias("measured"), F.sum(F.when(ok, F.col("event_id")).otherwise(0)).alias("total"), F.max(F.when(ok, F.col("event_id"))).alias("most"), evaluation.ratio(F.count(F.when(ok, 1)), F.count("*")).alias("share")
+    )
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS generation, arg_max(event_type, event_id) AS state FROM events WHERE event_type <> 'view' GROUP BY 1")
+def latest_generation(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("event_type <> 'view'").withColumnsRenamed({"user_id": "run_id", "event_id": "generation", "event_type": "state"})
+    return maintenance.latest(rows, "run_id", "generation", "state").drop("n_events")
+
+
+@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def keep_set_cleanup(spark, sf_dir):
+    keep = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return maintenance.stale_rows(table(spark, sf_dir, "lineitem").select("l_suppkey").distinct(), keep, ["l_suppkey"])
+
+
+@query()
+def incremental_rebuild(spark, sf_dir):
+    """Symbols of changed files over those of unchanged ones: equal to a full rebuild."""
+    new = spark.createDataFrame([(p, t + "\n\ndef added():\n    pass\n" if p == "shop/store.py" else t) for p, t in SOURCES.items()], "path string, text string")
+    old = spark.createDataFrame(list(SOURCES.items()), "path string, text string")
+    delta = streams.snapshot_delta(old.select("path", F.md5("text").alias("hash")), new.select("path", F.md5("text").alias("hash")))
+    touched = delta.select(F.col("path").alias("file_path"))
+    kept = code.symbols(old).join(touched, "file_path", "left_anti")
+    fresh = code.symbols(new.join(delta.select("path"), "path", "left_semi"))
+    return kept.unionByName(fresh).select("file_path", "qualified_name", "start_line")

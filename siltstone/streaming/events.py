@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,4 @@ def snapshot_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def watermark(position: int, config: str, counts: dict[str, int], fingerprint: str) -> str:
     """Identity of a projection's state; equal ones need no reconciliation."""
-    import hashlib
-    import json
-
     return hashlib.sha256(json.dumps([position, config, sorted(counts.items()), fingerprint]).encode()).hexdigest()
