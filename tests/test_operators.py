@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify, policy, text
-from siltstone.operators import chunking, code, evaluation, fusion, graph, lexical, maintenance, selection, vectors
+from siltstone.operators import chunking, code, evaluation, fusion, governance, graph, lexical, maintenance, selection, vectors
 from siltstone.plans import planner
 from siltstone.sources import files
 from siltstone.streaming import events
@@ -180,3 +180,19 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     key = lambda df: sorted((str(r.window_start), r.event_type, r.n) for r in df.collect())
     assert key(spark.table("streamed")) == key(events.windowed_counts(e))
     assert events.sessions(e).agg(F.sum("n").alias("n")).first().n == e.count()
+
+
+def test_structural_chunks_keep_attributes(spark):
+    source = "use a;\n#[derive(Debug)]\n// note\n\npub struct P;\n\n#[x]\nlet y;\nfn f() {\n}\n"
+    docs = spark.createDataFrame([(1, source), (2, "no items\n\nhere")], "doc_id long, text string")
+    got = [(r.doc_id, r.start_line, r.text.split("\n")[0]) for r in chunking.structural_chunks(docs, *chunking.language_rules("rust")).orderBy("doc_id", "ord").collect()]
+    assert got == [(1, 1, "use a;"), (1, 2, "#[derive(Debug)]"), (1, 9, "fn f() {"), (2, 1, "no items"), (2, 3, "here")]
+
+
+def test_gates(spark):
+    assert value(spark, governance.approval(F.lit("Other"), F.lit("Low"))) == "Deny"
+    assert value(spark, governance.approval(F.lit("Assisted"), F.lit("Medium"))) == "RequireApproval"
+    rows = spark.createDataFrame([("q", 1, 50, True), ("q", 2, 40, False), ("q", 3, 30, False), ("r", 1, 99, False)], "query_id string, ord int, bytes long, is_seed boolean")
+    assert {(r.query_id, r.ord) for r in governance.within_budget(rows, 5, 60).collect()} == {("q", 1), ("q", 2)}
+    counters = spark.createDataFrame([("a", 3), ("b", 1)], "name string, next_id long")
+    assert {(r.name, r.next_id) for r in governance.advanced_counters(counters, spark.createDataFrame([("a", 2), ("c", 9)], "name string, next_id long")).collect()} == {("a", 3), ("b", 1), ("c", 9)}
