@@ -36,7 +36,9 @@ GRAMS = (1, 2, 3, 4)
 #: Distinct words a worker keeps scores of.
 KNOWN_BITS = 20
 #: Text bytes that Viterbi steps through side by side.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
+#: Words whose n-grams are looked up at once.
+PART_WORDS = 1 << 14
 _START, _SCRIPTS = np.array([a for a, _ in SCRIPT_RANGES]), [n for _, n in SCRIPT_RANGES]
 SCRIPTS = list(dict.fromkeys(_SCRIPTS))
 
@@ -129,6 +131,11 @@ class Model:
         return self.__dict__ | {"known": None, "scores": None}
 
     def fresh_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of words, some thousands at a time: each has dozens of n-grams."""
+        parts = [self._scores(data, starts[i : i + PART_WORDS], ends[i : i + PART_WORDS]) for i in range(0, len(starts), PART_WORDS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
+
+    def _scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         slot, count = _slots(data, starts, ends)
         bounds = np.cumsum(count) - count
         sums = np.add.reduceat(self.weights[slot], bounds, axis=0) if len(count) else np.zeros((0, len(self.languages)), np.float32)
@@ -212,9 +219,11 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
                 owner = np.repeat(lang, np.diff(first))
                 keys = spans.mix(spans.hash_spans(data, starts, ends) + owner.astype(np.uint64))
                 _, at, times = np.unique(keys, return_index=True, return_counts=True)
-                slot, n = _slots(data, starts[at], ends[at])
-                # frequent words count by the square root of their number, so that rare ones have a say
-                np.add.at(table, (np.repeat(owner[at], n), slot), np.repeat(np.sqrt(times) * 16, n).astype(np.int64))
+                for i in range(0, len(at), PART_WORDS):
+                    some, many = at[i : i + PART_WORDS], times[i : i + PART_WORDS]
+                    slot, n = _slots(data, starts[some], ends[some])
+                    # frequent words count by the square root of their number, so that rare ones have a say
+                    np.add.at(table, (np.repeat(owner[some], n), slot), np.repeat(np.sqrt(many) * 16, n).astype(np.int64))
                 np.add.at(script, (owner[at], _scripts(data, starts[at], ends[at])), times)
         for name, i in names.items():
             some = np.flatnonzero(table[i])
