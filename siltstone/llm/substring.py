@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import spans
-from siltstone.session import cut
+from siltstone.session import scratch
 
 #: Super-k-mers of one minimiser from which its windows are dealt one by one.
 HOT = 2000
@@ -51,26 +51,33 @@ def _runs(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_, doc_id, id_, text``. ``docs`` must be a deterministic read (a table), as rows are numbered by place."""
-    return docs.select(F.monotonically_increasing_id().alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id_"), F.col(text_col).cast("string").alias("text"))
+    """``row_, doc_id, text``. ``docs`` must be a deterministic read (a table), as rows are numbered by place."""
+    return docs.select(F.monotonically_increasing_id().alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _ids(part: pa.RecordBatch) -> pa.Array:
+    return part.column("doc_id").fill_null(_LAST)
 
 
 def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
-    """``row_, begin, end``: word ranges of ``rows`` (row_, id_, text) covered by windows that also start
-    in a row of smaller id. Ranges may overlap."""
+    """``row_, begin, end``: word ranges of ``rows`` (row_, doc_id, text) covered by windows that also start in a
+    row of smaller doc_id. Ranges may overlap."""
+    spark = rows.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
                 row, _, _, least, *_ = _runs(part, window)
                 take = pa.array(row)
-                yield pa.record_batch({"row_": part.column("row_").take(take), "id_": part.column("id_").take(take), "key": pa.array(least.view(np.int64))})
+                yield pa.record_batch({"row_": part.column("row_").take(take), "id_": _ids(part).take(take), "key": pa.array(least.view(np.int64))})
 
-    placed = cut(rows.mapInArrow(keys, "row_ long, id_ long, key long"))
+    path = scratch(spark, "minimisers")  # a table: three times smaller than a checkpoint of the same rows
+    rows.mapInArrow(keys, "row_ long, id_ long, key long").write.parquet(path)
+    placed = spark.read.parquet(path)
     shared = placed.groupBy("key").agg(F.min("id_").alias("low"), F.max("id_").alias("high"), F.count("*").alias("n"))
     shared = shared.filter("low < high").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = placed.select("row_", "key").distinct().join(shared, "key").groupBy("row_")
-    wanted = wanted.agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
+    wanted = placed.select("row_", "key").join(shared, "key").groupBy("row_")
+    wanted = wanted.agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
     again = rows.join(wanted, "row_")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
                     ask.append((np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
                 salt = spans.mix(row.astype(np.uint64) + np.uint64(1))
                 is_, is_hot = (np.isin(least ^ salt, k ^ spans.mix(r.astype(np.uint64) + np.uint64(1))) for r, k in ask)
-                raw, row_, id_ = data.tobytes(), part.column("row_").to_pylist(), part.column("id_").to_pylist()
+                raw, row_, id_ = data.tobytes(), part.column("row_").to_pylist(), _ids(part).to_pylist()
                 origin = first[:-1].tolist()
                 signed = least.view(np.int64)
                 for j in np.flatnonzero(is_ | is_hot).tolist():
@@ -234,10 +241,9 @@ def without_repeats(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFr
     """``docs`` with repeated words removed from ``text``: what is left is joined by spaces, a text that loses
     nothing stays as it is, a document that loses all its words goes. ``n_chars`` follows, where there is one."""
     others = [c for c in docs.columns if c not in ("row_", "ranges")]
-    rows = docs.select(F.monotonically_increasing_id().alias("row_"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id_"), *[F.col(c).alias(f"x_{c}") for c in others])
-    texts = rows.select("row_", "id_", F.col("x_text").alias("text"))
-    ranges = removals(texts, window, hot).groupBy("row_").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    joined = rows.drop("id_").join(ranges, "row_", "left").select(*[F.col(f"x_{c}").alias(c) for c in others], "ranges")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_"), *others)
+    ranges = removals(rows, window, hot).groupBy("row_").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    joined = rows.join(ranges, "row_", "left").select(*others, "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
