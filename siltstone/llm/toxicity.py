@@ -36,7 +36,8 @@ PREFIXES = range(3, 10)
 #: Folds of the cross-fitted calibration.
 FOLDS = 8
 THREAT_WEIGHT = 2.0
-KNOWN_BITS = 21
+#: Words that a task keeps the weights of: with the whole lexicon, and with each fold's.
+KNOWN_BITS, FOLD_BITS = 20, 14
 
 #: Transducers: (states, next state by class, factor on what an insult or threat brings in a state).
 NEGATED = ([0, 1, 2, 3], lambda s, c: 3 if c == NEGATION else max(0, s - 1), lambda s, c: 0.4 if s else 1.0)
@@ -108,6 +109,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterato
 class Lexicon:
     keys: np.ndarray  # ascending feature hashes
     weights: np.ndarray
+    bits: int = KNOWN_BITS
     known: spans.Interner | None = field(default=None, repr=False)
     value: np.ndarray | None = field(default=None, repr=False)
 
@@ -128,7 +130,7 @@ class Lexicon:
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.known is None:
-            self.known = spans.Interner(KNOWN_BITS)
+            self.known = spans.Interner(self.bits)
             self.value = np.zeros(self.known.most)
         keys = spans.hash_spans(data, starts, ends)
         number = self.known.find(keys)
@@ -258,7 +260,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         w = np.log(t / (bad + 0.5)) - np.log(n / (good + 0.5))
         kept = np.flatnonzero((t >= least * own.mean()) & (w > 1.0) & (w > 1.2 * np.sqrt(1 / t + 1 / n)))
         kept = np.sort(kept[np.argsort(-w[kept] * np.log1p(t[kept]), kind="stable")][:MOST_FEATURES])
-        out.append(Lexicon(keys[kept], np.minimum(w[kept], 6.0)))
+        out.append(Lexicon(keys[kept], np.minimum(w[kept], 6.0), FOLD_BITS if fold < FOLDS else KNOWN_BITS))
     return out
 
 
