@@ -52,7 +52,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class ByteBpe:
-    def __init__(self, path: str, end_id: int | None, bits: int = 22) -> None:
+    def __init__(self, path: str, end_id: int | None, bits: int = 21) -> None:
         spec = json.loads(open(path, encoding="utf-8").read())
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -136,5 +136,5 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, end_id: int | None) -> ByteBpe:
-    """One per Python worker; it holds at most two million pre-tokens."""
+    """One per Python worker; it holds at most a million pre-tokens."""
     return ByteBpe(path, end_id)
