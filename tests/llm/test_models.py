@@ -1,4 +1,8 @@
+import math
+import random
+import string
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -105,3 +109,37 @@ def test_url_whole_table(spark):
     got = queries.op7_url_filter(spark, DATA)
     assert got.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
     assert got.filter(F.col("rule").isNull()).select("verdict").distinct().count() <= 2
+
+
+def test_url_model_keeps_every_context(spark):
+    """More (context, next) pairs than any fixed table held: differences equal a plain count over all of them."""
+    rng = random.Random(5)
+    rows = [("".join(rng.choices(string.ascii_letters + string.digits, k=40)), i % 2 == 0) for i in range(4_000)] + [("rare~one", True), ("rare|two", False)]
+    pairs, total, kinds = Counter(), Counter(), Counter()
+
+    def walk(url):
+        text = b"\x02" + url.encode() + b"\x03"
+        for at in range(1, len(text)):
+            yield [(order, text[max(0, at - order) : at]) for order in range(url_filter.ORDER + 1)], text[at]
+
+    for url, allow in rows:
+        for contexts, following in walk(url):
+            for c in contexts:
+                kinds[c, allow] += not pairs[c, following, allow]
+                pairs[c, following, allow] += 1
+                total[c, allow] += 1
+    assert len({(c, x) for c, x, _ in pairs}) > 1 << 19
+
+    def likelihood(url, allow):
+        out = []
+        for contexts, following in walk(url):
+            p = 1 / 256
+            for c in contexts:
+                if total[c, allow]:
+                    p = (pairs[c, following, allow] + kinds[c, allow] * p) / (total[c, allow] + kinds[c, allow])
+            out.append(math.log(p))
+        return sum(out) / len(out)
+
+    some = ["rare~one", "rare|two", rows[0][0], rows[1][0], "new"]
+    got = url_filter.fit(spark.createDataFrame(rows, "url string, allow boolean")).difference(pa.array(some))
+    assert all(abs(g - likelihood(u, True) + likelihood(u, False)) < 1e-9 for g, u in zip(got, some, strict=True))
