@@ -3,8 +3,8 @@
 Script ranges narrow each word's candidates to the languages in which that script was
 seen; a word's scores are naive-Bayes log likelihoods over its byte n-grams; Viterbi
 with a switching penalty labels spans; a document's language is the one whose spans
-hold most letters. Counts are taken over every training row, in a table of fixed size,
-so what is collected does not grow with the corpus.
+hold most letters. Counts are taken over every training row and kept for every n-gram
+by its own code, so what is collected grows with the distinct n-grams.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ SCRIPT_RANGES = [
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 
-#: Slots of the n-gram count table.
-SLOTS = 1 << 17
 GRAMS = (1, 2, 3, 4)
 #: Distinct words a worker keeps scores of.
 KNOWN_BITS = 20
@@ -91,8 +89,8 @@ def _scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return _script_table()[data[last].astype(np.int64) << 8 | second]
 
 
-def _slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the n-grams of given words, edges marked, and how many each word has."""
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (length and bytes, below 2^35) of the n-grams of given words, edges marked, and how many each word has."""
     sizes = ends - starts
     at = np.repeat(np.cumsum(sizes + 2) - sizes - 1 - starts, sizes) + _spread(starts, sizes)
     padded = np.full(int((sizes + 2).sum()), 0x20, np.uint64)
@@ -100,17 +98,17 @@ def _slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     begin = np.cumsum(sizes + 2) - sizes - 2
     owner = np.repeat(np.arange(len(sizes)), sizes + 2)
     end = begin + sizes + 2
-    slots, owners = [], []
+    codes, owners = [], []
     for n in GRAMS:
         code = np.full(max(0, len(padded) - n + 1), n, np.uint64)
         for i in range(n):
             code = code << np.uint64(8) | padded[i : i + len(code)]
         fits = np.arange(len(code)) + n <= end[owner[: len(code)]]
-        slots.append((spans.mix(code[fits]) % np.uint64(SLOTS)).astype(np.int64))
+        codes.append(code[fits].astype(np.int64))
         owners.append(owner[: len(code)][fits])
-    slot, owner = np.concatenate(slots), np.concatenate(owners)
+    gram, owner = np.concatenate(codes), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return slot[order], np.bincount(owner, minlength=len(sizes))
+    return gram[order], np.bincount(owner, minlength=len(sizes))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -121,7 +119,8 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # SLOTS x languages, log likelihoods
+    grams: np.ndarray  # ascending codes
+    weights: np.ndarray  # grams and one row for all others x languages, log likelihoods
     scripts: np.ndarray  # scripts x languages, whether the script was seen in the language
     switch: float
     known: spans.Interner | None = field(default=None, repr=False)
@@ -136,9 +135,11 @@ class Model:
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
     def _scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        slot, count = _slots(data, starts, ends)
+        gram, count = _grams(data, starts, ends)
+        at = np.searchsorted(self.grams, gram)
+        at[np.append(self.grams, -1)[at] != gram] = len(self.grams)
         bounds = np.cumsum(count) - count
-        sums = np.add.reduceat(self.weights[slot], bounds, axis=0) if len(count) else np.zeros((0, len(self.languages)), np.float32)
+        sums = np.add.reduceat(self.weights[at], bounds, axis=0) if len(count) else np.zeros((0, len(self.languages)), np.float32)
         means = sums / np.maximum(count, 1)[:, None] * np.minimum(ends - starts, 12)[:, None]  # a long word counts no more than twelve bytes
         return np.where(self.scripts[_scripts(data, starts, ends)], means, means.min(axis=1, keepdims=True) - 8).astype(np.float32)
 
@@ -200,19 +201,13 @@ def is_training(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(rows: DataFrame, switch: float = 6.0) -> Model:
-    """Learn from ``rows (text, lang)``, all of them. At most SLOTS counts a language are collected."""
+    """Learn from ``rows (text, lang)``, all of them. A count for each n-gram of each language is collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        table = np.zeros((0, SLOTS), np.int64)
-        script = np.zeros((0, len(SCRIPTS)), np.int64)
         for batch in batches:
             for part in spans.chunks(batch, "text"):
-                lang = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()])
-                if len(names) > len(table):
-                    more = len(names) - len(table)
-                    table = np.concatenate([table, np.zeros((more, SLOTS), np.int64)])
-                    script = np.concatenate([script, np.zeros((more, len(SCRIPTS)), np.int64)])
+                names = part.column("lang").dictionary_encode()
+                lang = names.indices.to_numpy().astype(np.int64)
                 data, starts, ends, first = _words(part)
                 if not len(starts):
                     continue
@@ -221,31 +216,33 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
                 _, at, times = np.unique(keys, return_index=True, return_counts=True)
                 for i in range(0, len(at), PART_WORDS):
                     some, many = at[i : i + PART_WORDS], times[i : i + PART_WORDS]
-                    slot, n = _slots(data, starts[some], ends[some])
+                    gram, n = _grams(data, starts[some], ends[some])
                     # frequent words count by the square root of their number, so that rare ones have a say
-                    np.add.at(table, (np.repeat(owner[some], n), slot), np.repeat(np.sqrt(many) * 16, n).astype(np.int64))
-                np.add.at(script, (owner[at], _scripts(data, starts[at], ends[at])), times)
-        for name, i in names.items():
-            some = np.flatnonzero(table[i])
-            seen = np.flatnonzero(script[i])
-            slot = np.concatenate([some, seen - len(SCRIPTS)])
-            yield pa.record_batch({"lang": pa.array([name] * len(slot), pa.string()), "slot": pa.array(slot, pa.int64()), "n": pa.array(np.concatenate([table[i][some], script[i][seen]]))})
+                    key, back = np.unique(np.repeat(owner[some] << 40, n) | gram, return_inverse=True)
+                    n = np.bincount(back, np.repeat((np.sqrt(many) * 16).astype(np.int64), n)).astype(np.int64)
+                    yield pa.record_batch({"lang": names.dictionary.take(pa.array(key >> 40)), "gram": pa.array(key & (1 << 40) - 1), "n": pa.array(n)})
+                script = np.bincount(owner[at] * len(SCRIPTS) + _scripts(data, starts[at], ends[at]), times).astype(np.int64)
+                seen = np.flatnonzero(script)
+                yield pa.record_batch({"lang": names.dictionary.take(pa.array(seen // len(SCRIPTS))), "gram": pa.array(seen % len(SCRIPTS) - len(SCRIPTS)), "n": pa.array(script[seen])})
 
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    got = known.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(got.column("lang").to_pylist()))
-    number = {x: i for i, x in enumerate(languages)}
-    lang = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
-    slot, n = got.column("slot").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.float64)
-    counts = np.full((SLOTS, len(languages)), 0.5)
+    got = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    lang = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64)
+    is_gram = gram >= 0
+    grams, at = np.unique(gram[is_gram], return_inverse=True)
+    weights = np.full((len(grams) + 1, len(languages)), 0.5, np.float32)
+    weights[at, lang[is_gram]] += n[is_gram] / 16
+    weights /= weights.sum(axis=0, keepdims=True, dtype=np.float64)
+    np.log(weights, out=weights)
     scripts = np.zeros((len(SCRIPTS), len(languages)))
-    grams = slot >= 0
-    counts[slot[grams], lang[grams]] += n[grams] / 16
-    scripts[slot[~grams] + len(SCRIPTS), lang[~grams]] += n[~grams]
+    scripts[gram[~is_gram] + len(SCRIPTS), lang[~is_gram]] += n[~is_gram]
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     allowed = share > 0.001
     allowed[~allowed.any(axis=1)] = True
-    return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), allowed, switch)
+    return Model(languages, grams, weights, allowed, switch)
 
 
 def _judged(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:

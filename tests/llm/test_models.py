@@ -46,6 +46,17 @@ def test_language_nothing_to_learn(spark):
     assert lang_id.identify(frame(spark, [])).count() == 0
 
 
+def test_language_many_ngrams(spark):
+    """Two languages of one script, with more n-grams each than any fixed table held."""
+    rng = random.Random(3)
+    words = {lang: ["".join(chr(rng.randrange(0x4E00, 0x9E00)) for _ in range(5)) for _ in range(60_000)] for lang in ("aa", "bb")}
+    rows = [(i, " ".join(w[i : i + 1000]), lang) for lang, w in words.items() for i in range(0, len(w), 1000)]
+    model = lang_id.fit(frame(spark, rows).select("text", "lang"))
+    asked = [(i, w, lang) for lang in words for i, w in enumerate(words[lang][:1000])]
+    got = lang_id.predict(frame(spark, asked), model).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.995
+
+
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
