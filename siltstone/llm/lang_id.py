@@ -37,6 +37,8 @@ KNOWN_BITS = 20
 STEP_BYTES = 4 << 20
 #: Words whose n-grams are looked up at once.
 PART_WORDS = 1 << 14
+#: Bytes of distinct words whose n-grams are counted at once.
+WORD_BYTES = 1 << 17
 _START, _SCRIPTS = np.array([a for a, _ in SCRIPT_RANGES]), [n for _, n in SCRIPT_RANGES]
 SCRIPTS = list(dict.fromkeys(_SCRIPTS))
 
@@ -201,9 +203,13 @@ def is_training(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(rows: DataFrame, switch: float = 6.0) -> Model:
-    """Learn from ``rows (text, lang)``, all of them. A count for each n-gram of each language is collected."""
+    """Learn from ``rows (text, lang)``, all of them. A count for each n-gram of each language is collected.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words are counted over all rows first, so that their weights don't depend on the rows' layout.
+    """
+
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
                 names = part.column("lang").dictionary_encode()
@@ -214,19 +220,30 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
                 owner = np.repeat(lang, np.diff(first))
                 keys = spans.mix(spans.hash_spans(data, starts, ends) + owner.astype(np.uint64))
                 _, at, times = np.unique(keys, return_index=True, return_counts=True)
-                for i in range(0, len(at), PART_WORDS):
-                    some, many = at[i : i + PART_WORDS], times[i : i + PART_WORDS]
-                    gram, n = _grams(data, starts[some], ends[some])
-                    # frequent words count by the square root of their number, so that rare ones have a say
-                    key, back = np.unique(np.repeat(owner[some] << 40, n) | gram, return_inverse=True)
-                    n = np.bincount(back, np.repeat((np.sqrt(many) * 16).astype(np.int64), n)).astype(np.int64)
-                    yield pa.record_batch({"lang": names.dictionary.take(pa.array(key >> 40)), "gram": pa.array(key & (1 << 40) - 1), "n": pa.array(n)})
-                script = np.bincount(owner[at] * len(SCRIPTS) + _scripts(data, starts[at], ends[at]), times).astype(np.int64)
+                sizes = ends[at] - starts[at]
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                word = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spread(starts[at], sizes)])])
+                yield pa.record_batch({"lang": names.dictionary.take(pa.array(owner[at])), "word": word.cast(pa.string()), "n": pa.array(times)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in spans.chunks(batch, "word", WORD_BYTES):
+                names, times = part.column("lang").dictionary_encode(), part.column("n").to_numpy()
+                lang = names.indices.to_numpy().astype(np.int64)
+                data, offsets = spans.text_buffer(part.column("word"))
+                gram, n = _grams(data, offsets[:-1], offsets[1:])
+                # frequent words count by the square root of their number, so that rare ones have a say
+                key, back = np.unique(np.repeat(lang << 40, n) | gram, return_inverse=True)
+                n = np.bincount(back, np.repeat((np.sqrt(times) * 16).astype(np.int64), n)).astype(np.int64)
+                yield pa.record_batch({"lang": names.dictionary.take(pa.array(key >> 40)), "gram": pa.array(key & (1 << 40) - 1), "n": pa.array(n)})
+                script = np.zeros(len(names.dictionary) * len(SCRIPTS), np.int64)
+                np.add.at(script, lang * len(SCRIPTS) + _scripts(data, offsets[:-1], offsets[1:]), times)
                 seen = np.flatnonzero(script)
                 yield pa.record_batch({"lang": names.dictionary.take(pa.array(seen // len(SCRIPTS))), "gram": pa.array(seen % len(SCRIPTS) - len(SCRIPTS)), "n": pa.array(script[seen])})
 
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    got = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    totals = known.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = totals.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").combine_chunks().dictionary_encode()
     languages = sorted(names.dictionary.to_pylist())
     lang = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]

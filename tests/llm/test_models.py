@@ -57,6 +57,12 @@ def test_language_many_ngrams(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.995
 
 
+def test_language_weights_do_not_depend_on_layout(spark):
+    rows = [(i, "the house and the garden " * 20 + f"word{i}", "en") for i in range(200)] + [(i, "das Haus und der Garten " * 20, "de") for i in range(200)]
+    one, many = (lang_id.fit(df.select("text", "lang")) for df in (frame(spark, rows).coalesce(1), frame(spark, rows).repartition(16)))
+    assert one.languages == many.languages and (one.weights == many.weights).all() and (one.scripts == many.scripts).all()
+
+
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
