@@ -3,14 +3,16 @@
 The library's byte-level pre-tokenizer never joins characters over its boundaries, so
 a text's ids are its pre-tokens' ids in order. Boundaries are found for a whole Arrow
 chunk at once; each distinct pre-token is merged by the library once per worker and
-then looked up. Texts whose characters the vectorised rule doesn't know (apostrophes,
-non-letters beyond ASCII) get their boundaries from the pattern itself. Special-token
-strings inside a text are ordinary text.
+then looked up: a hash says where, its bytes whether it is the same. Texts whose
+characters the vectorised rule doesn't know (apostrophes, non-letters beyond ASCII) get
+their boundaries from the pattern itself. Added tokens (special ones among them) inside
+a text part it and get their own ids, as in the library's ``encode``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -24,6 +26,8 @@ from siltstone.llm import spans
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+#: Longest pre-token in bytes that a worker remembers; longer ones are merged anew in each chunk.
+KEPT_BYTES = 64
 
 
 def _classes() -> np.ndarray:
@@ -58,16 +62,36 @@ class ByteBpe:
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if not plain or spec.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges"):
             raise ValueError("a byte-level BPE tokenizer without normalizer or prefix space is needed")
+        added = spec.get("added_tokens") or []
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+            raise ValueError("added tokens that take white space or whole words only aren't known")
         self.model = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None})).model
         self.pattern = regex.compile(PATTERN)
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.marks = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.known = spans.Interner(bits)
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = 0
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 20, np.uint8), 0
         self.at, self.count = np.zeros(self.known.most, np.int64), np.zeros(self.known.most, np.int64)
+        self.text_at, self.text_size = np.zeros(self.known.most, np.int64), np.zeros(self.known.most, np.int64)
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.characters = _byte_characters()
         self.classes, self.unknown = _classes(), _unknown()
 
+    def _added_places(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first byte, end, id) of added tokens, leftmost first, the longest of those at one place."""
+        texts = set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                texts.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(content, at + 1)
+        out = []
+        for i in sorted(texts):
+            low = int(offsets[i])
+            out += [(low + m.start(), low + m.end(), self.added[m[0]]) for m in self.marks.finditer(raw[low : int(offsets[i + 1])])]
+        return out
+
     def boundaries(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """First bytes of all pre-tokens."""
         n, kind = len(data), self.classes[data]
@@ -95,40 +119,81 @@ class ByteBpe:
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, words: list[bytes]) -> int:
+        """Keep distinct new pre-tokens as far as there is room; how many were kept."""
+        base, room = self.known.size, self.known.add(keys)
+        n, text = int(counts[:room].sum()), b"".join(words[:room])
+        sizes = np.fromiter(map(len, words[:room]), np.int64, room)
+        for name, used, more in (("pool", self.used, n), ("text", self.text_used, len(text))):
+            have = getattr(self, name)
+            if used + more > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(len(have), more), have.dtype)]))
+        self.pool[self.used : self.used + n] = ids[:n]
+        self.text[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
+        mine = slice(base, base + room)
+        self.at[mine], self.count[mine] = self.used + np.cumsum(counts[:room]) - counts[:room], counts[:room]
+        self.text_at[mine], self.text_size[mine] = self.text_used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.text_used = self.used + n, self.text_used + len(text)
+        return room
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether remembered pre-tokens have these very bytes."""
+        same = self.text_size[number] == sizes
+        at = np.flatnonzero(same)
+        n = sizes[at]
+        total = np.cumsum(n)
+        step = np.arange(int(total[-1]) if len(total) else 0)
+        differ = data[np.repeat(starts[at] - total + n, n) + step] != self.text[np.repeat(self.text_at[number[at]] - total + n, n) + step]
+        if differ.any():
+            same[at[np.searchsorted(total, np.flatnonzero(differ), "right")]] = False
+        return same
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; where each text's ids begin."""
-        starts = self.boundaries(data, offsets)
+        raw = data.tobytes()
+        marks = self._added_places(raw, offsets)
+        cuts = np.sort(np.concatenate([offsets, *([a, b] for a, b, _ in marks)])) if marks else offsets
+        starts = self.boundaries(data, cuts)
+        if marks:
+            first, last = (np.array([m[i] for m in marks]) for i in (0, 1))
+            before = np.searchsorted(first, starts, "right") - 1
+            starts = starts[(before < 0) | (starts >= last[before]) | (starts == first[before])]
         ends = np.append(starts[1:], len(data))
+        sizes = ends - starts
         keys = spans.hash_spans(data, starts, ends)
         number = self.known.find(keys)
+        seen = np.flatnonzero(number >= 0)
+        number[seen[~self._same(data, starts[seen], sizes[seen], number[seen])]] = -1
+        at, count = self.at[number], self.count[number]
         missing = np.flatnonzero(number < 0)
-        pool, at, count = self.pool, self.at, self.count
+        pools = [self.end]
         if len(missing):
-            fresh, where, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            first = missing[where]
-            raw = data.tobytes()
-            ids, counts = self._merged([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            base = self.known.size
-            room = self.known.add(fresh)
-            kept = int(counts[:room].sum())
-            if self.used + kept > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), kept), np.uint32)])
-            self.pool[self.used : self.used + kept] = ids[:kept]
-            self.at[base : base + room], self.count[base : base + room] = begin[:room] + self.used, counts[:room]
-            self.used += kept
-            pool, at, count = self.pool, self.at, self.count
-            number[missing] = base + back
-            if room < len(fresh):  # the table is full: the rest are known to this chunk only
-                pool = np.concatenate([pool[: self.used], ids[kept:]])
-                at = np.concatenate([at[: base + room], begin[room:] - kept + self.used])
-                count = np.concatenate([count[: base + room], counts[room:]])
-        at, count = at[number], count[number]
+            # distinct by their bytes: equal hashes of different pre-tokens stay apart
+            place: dict[bytes, int] = {}
+            own = np.fromiter((place.setdefault(raw[a:b], len(place)) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)), np.int64, len(missing))
+            words = list(place)
+            ids, counts = self._merged(words)
+            begin = np.cumsum(counts) - counts
+            at[missing], count[missing] = -1 - len(self.end) - begin[own], counts[own]
+            pools.append(ids)
+            nth = missing[np.unique(own, return_index=True)[1]]
+            fresh = keys[nth]
+            once = np.unique(fresh, return_index=True)[1]  # of colliding ones the first
+            once = once[(sizes[nth[once]] <= KEPT_BYTES) & (self.known.find(fresh[once]) < 0)]
+            upto = np.cumsum(counts[once])
+            took = ids[np.repeat(begin[once] + counts[once] - upto, counts[once]) + np.arange(int(upto[-1]) if len(upto) else 0)]
+            self._remember(fresh[once], took, counts[once], [words[i] for i in once.tolist()])
+        pool = self.pool[: self.used]
+        if marks:
+            mine = np.searchsorted(starts, first)
+            at[mine], count[mine] = -1 - sum(map(len, pools)) - np.arange(len(marks)), 1
+            pools.append(np.array([i for _, _, i in marks], np.uint32))
+        at = np.where(at < 0, self.used - 1 - at, at)  # what only this chunk knows follows the pool
         bound = np.searchsorted(starts, offsets)
         if len(self.end):
-            pool = np.concatenate([pool[: self.used] if pool is self.pool else pool, self.end])
-            at, count = np.insert(at, bound[1:], len(pool) - 1), np.insert(count, bound[1:], 1)
+            at, count = np.insert(at, bound[1:], self.used), np.insert(count, bound[1:], 1)
             bound = bound + np.arange(len(bound))
+        pool = np.concatenate([pool, *pools])
         total = np.concatenate([[0], np.cumsum(count)])
         take = np.repeat(at - total[:-1], count) + np.arange(total[-1])
         return pool[take], total[bound]

@@ -18,7 +18,6 @@ from .common import DATA, frame, words
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -32,6 +31,37 @@ def test_ids_equal_the_library(reference, bits):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference(t) for t in texts]
 
 
+def thue_morse(k, flip=False):
+    s = "ba" if flip else "ab"
+    for _ in range(k - 1):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.mark.parametrize("bits", [6, 16])
+@pytest.mark.parametrize("kept", [64, 1 << 20])
+def test_pre_tokens_of_equal_hash(reference, bits, kept, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", kept)
+    texts = [thue_morse(k, f) for k in (10, 11, 12) for f in (False, True)]
+    data, offsets = spans.text_buffer(pa.array(texts))
+    keys = spans.hash_spans(data, offsets[:-1], offsets[1:])
+    assert len(set(keys.tolist())) < len(texts)  # they do collide
+    encoder = bpe.ByteBpe(BYTE_BPE, 2, bits)
+    for some in ([texts[0]], texts, texts[::-1], texts):
+        ids, at = encoder.encode(*spans.text_buffer(pa.array(some)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference(t) for t in some]
+
+
+def test_added_tokens(reference):
+    mark = "<|endoftext|>"
+    texts = [mark, f"hello {mark} world", f"{mark}{mark}x", f"a  {mark}  b", f"<|endo", "ftext|>", f"it's{mark}'s don't", f"ß {mark}ß…", "<|endoftext|", f"<|{mark}|>", ""]
+    encoder = bpe.ByteBpe(BYTE_BPE, 2, 10)
+    for some in (texts, texts[::-1]):
+        ids, at = encoder.encode(*spans.text_buffer(pa.array(some)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference(t) for t in some]
+    assert reference(texts[1]) == [31373, 220, 50256, 995, 2]
+
+
 def edge_rows():
     return [(3, " ".join(words(3000, 1))), (1, None), (2, ""), (5, "a"), (5, "a"), (4, "x" * 5000), (None, "no id"), (-7, "Übermaß, naïve"), (6, "a " * 700)]
 
