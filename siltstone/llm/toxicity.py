@@ -2,10 +2,12 @@
 
 Five transducers read a clause's token classes (insult, threat, target, negation,
 reported speech). Their composition is built once as a product automaton: each step
-gives a next state and a factor for the weight that the token brings. A clause's score
-is the sum of what its path emits; clauses without insult or threat emit nothing and
-are skipped. The insult lexicon (whole words and word beginnings with log odds) and the
-calibration from clause scores to a probability are learned from labelled rows.
+gives a next state and the arcs that are taken, one of each transducer. What a clause
+emits at an insult, at a threat and at the target of a threat is a weight times the
+weights of the arcs that it was read by; its score is the sum. Clauses without insult or
+threat emit nothing and are skipped. The insult lexicon (whole words and word beginnings
+with log odds), the weights of threats and arcs, and the calibration from clause scores
+to a probability are all learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -30,46 +32,69 @@ REPORTS = "said says say told wrote writes claimed quoted reported according sag
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Documented bound of the labelled rows that are learned from.
 MOST_LABELLED = 20_000
-#: Entries of the learned lexicon, and features that are considered for it.
-MOST_FEATURES, MOST_CANDIDATES = 20_000, 200_000
+#: Rows with label 1 that a feature of the lexicon is seen in, at least.
+LEAST = 3
 PREFIXES = range(3, 10)
+#: Standard errors by which the log odds of a feature of the lexicon are above zero, at least.
+CLEAR = 2.5
 #: Folds of the cross-fitted calibration.
 FOLDS = 8
-THREAT_WEIGHT = 2.0
 #: Words that a task keeps the weights of: with the whole lexicon, and with each fold's.
 KNOWN_BITS, FOLD_BITS = 20, 14
+#: Penalty of a squared logarithm of an arc's weight, in units of log loss.
+PRIOR = 0.5
+
+#: Transducers: (states, next state by class). Each has two arcs on a class: from its state 0, and from any other.
+INSULTED = ([0, 1, 2, 3], lambda s, c: 3 if c == INSULT else max(0, s - 1))
+THREATENED = ([0, 1, 2, 3], lambda s, c: 3 if c == THREAT else max(0, s - 1))
+TARGETED = ([0, 1, 2, 3, 4], lambda s, c: 4 if c == TARGET else max(0, s - 1))
+NEGATED = ([0, 1, 2, 3], lambda s, c: 3 if c == NEGATION else max(0, s - 1))
+REPORTED = ([0, 1], lambda s, c: 1 if s or c == REPORT else 0)
+PARTS = (INSULTED, THREATENED, TARGETED, NEGATED, REPORTED)
+#: What is emitted: the lexicon's weight at an insult; one at a threat, and at a target that follows a threat.
+AT_INSULT, AT_THREAT, AT_TARGET = range(3)
+COMBINATIONS = 1 << len(PARTS)
+
+
+def compose(*parts: tuple) -> tuple[list[list[int]], list[list[int]]]:
+    """The product automaton, by (state, class): next state, and what is emitted as kind * COMBINATIONS + arcs
+    (bit i: arc of part i from another state than 0), or -1. State 0 is the start."""
+    states = list(product(*(p[0] for p in parts)))
+    number = {s: i for i, s in enumerate(states)}
+    step = [[number[tuple(p[1](x, c) for p, x in zip(parts, s, strict=True))] for c in range(6)] for s in states]
+    emitted = []
+    for s in states:
+        arcs = sum((x > 0) << i for i, x in enumerate(s))
+        threatened = bool(s[parts.index(THREATENED)])
+        kinds = {INSULT: AT_INSULT, THREAT: AT_THREAT} | ({TARGET: AT_TARGET} if threatened else {})
+        emitted.append([kinds[c] * COMBINATIONS + arcs if c in kinds else -1 for c in range(6)])
+    return step, emitted
 
-#: Transducers: (states, next state by class, factor on what an insult or threat brings in a state).
-NEGATED = ([0, 1, 2, 3], lambda s, c: 3 if c == NEGATION else max(0, s - 1), lambda s, c: 0.4 if s else 1.0)
-REPORTED = ([0, 1], lambda s, c: 1 if s or c == REPORT else 0, lambda s, c: 0.7 if s else 1.0)
-TARGETED = ([0, 1, 2, 3, 4], lambda s, c: 4 if c == TARGET else max(0, s - 1), lambda s, c: 1.3 if s else 1.0)
-THREATENED = ([0, 1, 2, 3], lambda s, c: 3 if c == THREAT else max(0, s - 1), lambda s, c: 1.2 if s and c == INSULT else 1.0)
-INSULTED = ([0, 1, 2, 3], lambda s, c: 3 if c == INSULT else max(0, s - 1), lambda s, c: 1.1 if s and c == INSULT else 1.0)
 
+_STEP, _EMITTED = compose(*PARTS)
 
-def compose(*parts: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """The product automaton: next state and factor by (state, class); state 0 is the start."""
-    states = list(product(*(p[0] for p in parts)))
-    number = {s: i for i, s in enumerate(states)}
-    step = np.array([[number[tuple(p[1](x, c) for p, x in zip(parts, s, strict=True))] for c in range(6)] for s in states])
-    factor = np.array([[np.prod([p[2](x, c) for p, x in zip(parts, s, strict=True)]) for c in range(6)] for s in states])
-    return step, factor
 
+@dataclass
+class Arcs:
+    """Logarithms of weights: ``base`` of threats and of their targets, ``arcs`` by kind and transducer."""
+
+    base: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    arcs: np.ndarray = field(default_factory=lambda: np.zeros((3, len(PARTS))))
 
-GRAMMAR = compose(INSULTED, THREATENED, TARGETED, NEGATED, REPORTED)
-_STEP, _FACTOR = GRAMMAR[0].tolist(), GRAMMAR[1].tolist()
+    def weights(self) -> np.ndarray:
+        """By kind * COMBINATIONS + arcs."""
+        taken = np.arange(COMBINATIONS)[:, None] >> np.arange(len(PARTS)) & 1
+        return np.exp(np.concatenate([[0.0], self.base])[:, None] + self.arcs @ taken.T).ravel()
 
 
-def clause_score(classes: list[int], weights: list[float]) -> float:
-    """What the composed transducer emits over one clause; weights are those of insults."""
-    state, total = 0, 0.0
+def emissions(classes: list[int], weights: list[float]) -> Iterator[tuple[int, float]]:
+    """(kind and arcs, weight) that the composed transducer emits over one clause; weights are those of insults."""
+    state = 0
     for c, w in zip(classes, weights, strict=True):
-        if c == INSULT:
-            total += w * _FACTOR[state][c]
-        elif c == THREAT:
-            total += THREAT_WEIGHT * _FACTOR[state][c]
+        out = _EMITTED[state][c]
+        if out >= 0:
+            yield out, w if c == INSULT else 1.0
         state = _STEP[state][c]
-    return total
 
 
 def _word_class() -> np.ndarray:
@@ -148,39 +173,51 @@ class Lexicon:
         return out
 
 
-def _clauses(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[tuple[int, float, bytes]]]:
-    """Words per document, and (document, score, clause) of clauses with an insult or threat."""
+@dataclass
+class Found:
+    """Words of each document, and the emissions of its clauses with an insult or threat."""
+
+    words: np.ndarray  # by document
+    owner: np.ndarray  # document, by clause
+    clause: np.ndarray  # by emission
+    arc: np.ndarray
+    weight: np.ndarray
+    text: list[bytes]  # by clause
+
+    def scores(self, arcs: np.ndarray) -> np.ndarray:
+        """By clause, with weights of arcs."""
+        return np.bincount(self.clause, self.weight * arcs[self.arc], len(self.owner))
+
+    def measures(self, arcs: np.ndarray) -> np.ndarray:
+        """Per document: what the calibration reads."""
+        n, score = len(self.words), self.scores(arcs)
+        total, matched = np.bincount(self.owner, score, n), np.bincount(self.owner, minlength=n)
+        most = np.zeros(n)
+        np.maximum.at(most, self.owner, score)
+        strong = np.bincount(self.owner, score > 2.5, n)
+        words = np.log1p(self.words)
+        return np.stack([np.log1p(total), np.log1p(most), np.log1p(strong), np.sqrt(total / np.maximum(self.words, 1)), np.log1p(matched) - words, words], axis=1)
+
+
+def _clauses(column: pa.Array, lexicon: Lexicon) -> Found:
     data, offsets = _lowered(column)
     starts, ends, first = spans.word_spans(data, offsets, _WORD)
-    count = np.diff(first)
-    found: list[tuple[int, float, bytes]] = []
-    if not len(starts):
-        return count, found
-    value = lexicon.of(data, starts, ends)
+    value = lexicon.of(data, starts, ends) if len(starts) else np.zeros(0)
     stops = np.unique(np.concatenate([np.flatnonzero(_BREAK[data]), offsets]))
     clause = np.searchsorted(stops, starts, "right")
     hit = np.unique(clause[value != 0])
     begin, end = np.searchsorted(clause, hit), np.searchsorted(clause, hit, "right")
     raw = data.tobytes()
-    owner = np.searchsorted(first, begin, "right") - 1
-    for doc, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
+    number, arc, weight, text = [], [], [], []
+    for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
         at, to, v = starts[a:b].tolist(), ends[a:b].tolist(), value[a:b].tolist()
         classes = [THREAT if x < 0 else INSULT if x else _CLOSED.get(raw[i:j], OTHER) for x, i, j in zip(v, at, to, strict=True)]
-        found.append((doc, clause_score(classes, v), raw[at[0] : to[-1]]))
-    return count, found
-
-
-def _measures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per document: what the calibration reads."""
-    count, found = _clauses(column, lexicon)
-    n = len(count)
-    doc, score = np.array([d for d, _, _ in found], np.int64), np.array([s for _, s, _ in found])
-    total, matched = np.bincount(doc, score, n), np.bincount(doc, minlength=n)
-    most = np.zeros(n)
-    np.maximum.at(most, doc, score)
-    strong = np.bincount(doc, score > 2.5, n)
-    words = np.log1p(count)
-    return np.stack([np.log1p(total), np.log1p(most), np.log1p(strong), np.sqrt(total / np.maximum(count, 1)), np.log1p(matched) - words, words], axis=1)
+        for out, w in emissions(classes, v):
+            number.append(i)
+            arc.append(out)
+            weight.append(w)
+        text.append(raw[at[0] : to[-1]])
+    return Found(np.diff(first), np.searchsorted(first, begin, "right") - 1, np.array(number, np.int64), np.array(arc, np.int64), np.array(weight), text)
 
 
 @dataclass
@@ -188,14 +225,17 @@ class Model:
     """Logistic over the measures of texts with a matched clause; ``plain`` is the score of all others."""
 
     lexicon: Lexicon
+    arcs: Arcs
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
     plain: float
 
-    def score(self, measures: np.ndarray) -> np.ndarray:
+    def score(self, found: Found) -> np.ndarray:
+        measures = found.measures(self.arcs.weights())
         z = np.clip((measures - self.mean) / self.scale, -8, 8) @ self.beta[1:] + self.beta[0]
-        return np.where(measures[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.plain)
+        matched = np.bincount(found.owner, minlength=len(found.words)) > 0
+        return np.where(matched, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.plain)
 
 
 def is_training(doc_id: str = "doc_id") -> F.Column:
@@ -217,8 +257,8 @@ def _once(part: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     """Of all folds but one, for each fold; then of all, from ``rows (text, toxic, fold)``.
 
-    First the features of rows with label 1 are counted, and the most frequent kept; then
-    only these are counted over all rows, by fold.
+    First the features of rows with label 1 are counted; those seen in ``LEAST`` rows are
+    then counted over all rows, by fold. All whose log odds are clearly above chance are kept.
     """
 
     def toxic_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +272,12 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     sizes = np.zeros((FOLDS, 2))
     for r in rows.groupBy("fold", "toxic").count().collect():  # two rows a fold
         sizes[r.fold, int(r.toxic)] = r["count"]
-    least = 4 if sizes[:, 1].sum() > 200 else 2
     counts = rows.select("text", "toxic").mapInArrow(toxic_only, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
-    got = counts.filter(F.col("t") >= least).orderBy(F.desc("t"), "key").limit(MOST_CANDIDATES).select("key").toArrow()
+    got = counts.filter(F.col("t") >= LEAST).select("key").toArrow()  # of the bounded sample
     keys = np.sort(got.column("key").to_numpy().view(np.uint64))
 
     def of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(keys), FOLDS * 2), np.int64)
+        table = np.zeros((len(keys), FOLDS * 2), np.int32)
         for batch in batches:
             for part in spans.chunks(batch, "text", 4 << 20):
                 kind = part.column("fold").to_numpy(zero_copy_only=False) * 2 + part.column("toxic").to_numpy(zero_copy_only=False)
@@ -247,7 +286,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
                     hit = keys[at] == found if len(keys) else np.zeros(len(found), bool)
                     np.add.at(table, (at[hit], kind[doc[hit]]), 1)
         at, kind = np.nonzero(table)
-        yield pa.record_batch({"at": pa.array(at, pa.int32()), "kind": pa.array(kind, pa.int32()), "n": pa.array(table[at, kind])})
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "kind": pa.array(kind, pa.int32()), "n": pa.array(table[at, kind].astype(np.int64))})
 
     got = rows.select("text", "toxic", "fold").mapInArrow(of_candidates, "at int, kind int, n long").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(keys), FOLDS * 2))
@@ -258,23 +297,53 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         good, bad = sizes[own].sum(axis=0)
         n, t = (table[:, i::2][:, own].sum(axis=1) + 0.25 for i in (0, 1))
         w = np.log(t / (bad + 0.5)) - np.log(n / (good + 0.5))
-        kept = np.flatnonzero((t >= least * own.mean()) & (w > 1.0) & (w > 1.2 * np.sqrt(1 / t + 1 / n)))
-        kept = np.sort(kept[np.argsort(-w[kept] * np.log1p(t[kept]), kind="stable")][:MOST_FEATURES])
+        kept = np.flatnonzero((t >= LEAST * own.mean()) & (w > 1.0) & (w > CLEAR * np.sqrt(1 / t + 1 / n)))
         out.append(Lexicon(keys[kept], np.minimum(w[kept], 6.0), FOLD_BITS if fold < FOLDS else KNOWN_BITS))
     return out
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray, beta: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """mean, scale, coefficients and penalised loss; ``beta`` is where to begin."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    beta, ridge = np.zeros(a.shape[1]), np.diag([1e-6] + [1e-2] * (a.shape[1] - 1)) * len(x) ** 0.5
+    beta, ridge = np.zeros(a.shape[1]) if beta is None else beta.copy(), np.diag([1e-6] + [1e-2] * (a.shape[1] - 1)) * len(x) ** 0.5
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + ridge, a.T @ (y - p) - ridge @ beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+        beta += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-6:
             break
-    return mean, scale, beta
+    z = np.clip(a @ beta, -30, 30)
+    return mean, scale, beta, float(np.logaddexp(0, z).sum() - y @ z + beta @ ridge @ beta / 2)
+
+
+def _learn_arcs(found: Found, y: np.ndarray) -> tuple[Arcs, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of arcs and the calibration, both of least penalised loss: each logarithm in turn is moved by steps that
+    are halved when none helps. Arcs without a say stay at weight one."""
+    arcs = Arcs()
+    mean, scale, beta, loss = _logistic(found.measures(arcs.weights()), y)
+    used = np.unique(found.arc)
+    places = [(arcs.base, (k - 1,)) for k in (AT_THREAT, AT_TARGET) if (used // COMBINATIONS == k).any()]
+    for k in range(3):
+        mine = used[used // COMBINATIONS == k] % COMBINATIONS
+        places += [(arcs.arcs, (k, i)) for i in range(len(PARTS)) if (mine >> i & 1).any() and not (k == AT_TARGET and PARTS[i] is THREATENED)]
+    penalty, step = 0.0, 1.0
+    while places and step > 0.1:
+        moved = False
+        for values, at in places:
+            for by in (-step, step):
+                was = values[at]
+                if abs(was + by) > 5:
+                    continue
+                values[at] = was + by
+                extra = penalty + PRIOR * ((was + by) ** 2 - was**2)
+                tried = _logistic(found.measures(arcs.weights()), y, beta)
+                if tried[3] + extra < loss + penalty - 0.01:
+                    (mean, scale, beta, loss), penalty, moved = tried, extra, True
+                    break
+                values[at] = was
+        step = step if moved else step / 2
+    return arcs, mean, scale, beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
@@ -290,25 +359,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int"))
     *others, lexicon = _learn_lexicons(rows)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row by the lexicon that its own fold had no part in."""
         for batch in batches:
             for part in spans.chunks(batch, "text"):
                 for i in range(FOLDS):
                     own = part.filter(pa.array(part.column("fold").to_numpy(zero_copy_only=False) == i))
-                    x = _measures(own.column("text"), others[i])
-                    yield pa.record_batch({"x": pa.array(list(x), pa.list_(pa.float64())), "toxic": own.column("toxic")})
-
-    got = rows.select("text", "toxic", "fold").mapInArrow(measure, "x array<double>, toxic boolean").toArrow()  # `most` rows at most
-    y = got.column("toxic").to_numpy().astype(float)
-    x = np.stack(got.column("x").to_pylist()) if len(y) else np.zeros((0, 6))
-    matched = x[:, 0] > 0
+                    f = _clauses(own.column("text"), others[i])
+                    bounds = pa.array(np.searchsorted(f.owner[f.clause], np.arange(own.num_rows + 1)), pa.int32())
+                    lists = {n: pa.ListArray.from_arrays(bounds, pa.array(x)) for n, x in (("clause", f.clause), ("arc", f.arc), ("weight", f.weight))}
+                    yield pa.record_batch({"toxic": own.column("toxic"), "words": pa.array(f.words), **lists})
+
+    # of `most` rows at most, what their matched clauses emit
+    got = rows.select("text", "toxic", "fold").mapInArrow(match, "toxic boolean, words long, clause array<long>, arc array<long>, weight array<double>").toArrow().combine_chunks()
+    y, words = got.column("toxic").to_numpy().astype(float), got.column("words").to_numpy()
+    clause, arc, weight = (got.column(c).combine_chunks() for c in ("clause", "arc", "weight"))
+    owner = np.repeat(np.arange(len(y)), clause.value_lengths().to_numpy().astype(np.int64))
+    matched = np.bincount(owner, minlength=len(y)) > 0
     plain = float((y[~matched].sum() + 0.1) / ((~matched).sum() + 0.2 + 10 * (not y.any())))
-    x, y = x[matched], y[matched]
+    lexicon_only = Model(lexicon, Arcs(), np.zeros(6), np.ones(6), np.zeros(7), plain)
+    y, words, owner = y[matched], words[matched], (np.cumsum(matched) - 1)[owner]
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.1) / (len(y) + 0.3)
-        return Model(lexicon, np.zeros(6), np.ones(6), np.array([np.log(rate / (1 - rate)), *[0.0] * 6]), plain)
-    return Model(lexicon, *_calibrate(x, y), plain)
+        lexicon_only.beta[0] = np.log(rate / (1 - rate))
+        return lexicon_only
+    pairs, number = np.unique(np.stack([owner, clause.flatten().to_numpy()], axis=1), axis=0, return_inverse=True)
+    found = Found(words, pairs[:, 0], number.ravel(), arc.flatten().to_numpy(), weight.flatten().to_numpy(), [])
+    return Model(lexicon, *_learn_arcs(found, y), plain)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +394,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
-                p = model.score(_measures(part.column("text"), model.lexicon))
+                p = model.score(_clauses(part.column("text"), model.lexicon))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -326,13 +403,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matched clauses: ``doc_id, clause, score``."""
+    weights = model.arcs.weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
-                found = _clauses(part.column("text"), model.lexicon)[1]
-                ids = part.column("doc_id").take(pa.array([d for d, _, _ in found], pa.int64()))
-                yield pa.record_batch({"doc_id": ids, "clause": pa.array([t.decode() for _, _, t in found], pa.string()), "score": pa.array([s for _, s, _ in found], pa.float64())})
+                found = _clauses(part.column("text"), model.lexicon)
+                ids = part.column("doc_id").take(pa.array(found.owner))
+                yield pa.record_batch({"doc_id": ids, "clause": pa.array([t.decode() for t in found.text], pa.string()), "score": pa.array(found.scores(weights))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, clause string, score double")

@@ -75,7 +75,7 @@ def test_toxicity_held_out(spark):
 def test_toxicity_edge_cases(spark):
     rows = [(i, f"the weather is fine today number {i}. nothing else") for i in range(300)]
     rows += [(300 + i, f"you are a complete zorgblat, number {i}. go away") for i in range(120)]
-    labels = spark.createDataFrame([(i, int(300 <= i < 420)) for i in range(420)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(300 <= i < 420), "x") for i in range(420)] + [(1, None, "x"), (None, 1, "x"), (301, 1, "x")], "doc_id long, toxic int, text string")
     rows += [(1000, None), (1001, ""), (None, "you zorgblat"), (1002, "one zorgblat " * 3000), (1003, "weather is calm"), (1003, "weather is calm")]
     got = toxicity.toxicity(frame(spark, rows), labels).collect()
     by = {}
@@ -92,15 +92,78 @@ def test_toxicity_nothing_to_learn(spark):
     assert toxicity.toxicity(frame(spark, []), none).count() == 0
 
 
-def test_grammar():
-    other, insult, threat, target, negation, report = range(6)
-    plain = toxicity.clause_score([insult], [2.0])
-    assert plain == 2.0
-    assert toxicity.clause_score([target, other, insult], [0, 0, 2.0]) > plain
-    assert toxicity.clause_score([negation, other, insult], [0, 0, 2.0]) < plain
-    assert toxicity.clause_score([report, other, other, other, other, insult], [0, 0, 0, 0, 0, 2.0]) < plain
-    assert toxicity.clause_score([threat, target], [0, 0]) == toxicity.THREAT_WEIGHT
-    assert toxicity.clause_score([other, target], [0, 0]) == 0
+KINDS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+
+
+def read_plainly(classes, weights, arcs):
+    """The five transducers side by side, each by its own words: how long ago its class was read."""
+    seen, total = {}, 0.0
+    spans_ = [(INSULT, 3), (THREAT, 3), (TARGET, 4), (NEGATION, 3), (REPORT, 10**9)]
+    for at, (c, w) in enumerate(zip(classes, weights, strict=True)):
+        live = [k in seen and at - seen[k] <= far for k, far in spans_]
+        kind = 0 if c == INSULT else 1 if c == THREAT else 2 if c == TARGET and live[1] else None
+        if kind is not None:
+            log = (arcs.base[kind - 1] if kind else 0) + sum(arcs.arcs[kind, i] for i in range(5) if live[i])
+            total += (w if c == INSULT else 1) * math.exp(log)
+        seen[c] = at
+    return total
+
+
+def test_composed_automaton_equals_its_parts():
+    rng = random.Random(1)
+    arcs = toxicity.Arcs()
+    arcs.base[:] = [rng.uniform(-1, 1) for _ in range(2)]
+    arcs.arcs[:] = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(3)]
+    weights = arcs.weights()
+    for _ in range(400):
+        classes = rng.choices(KINDS, [4, 2, 1, 1, 1, 0.3], k=rng.randrange(20))
+        values = [rng.uniform(0.5, 4) if c == INSULT else 0 for c in classes]
+        got = sum(w * weights[out] for out, w in toxicity.emissions(classes, values))
+        assert abs(got - read_plainly(classes, values, arcs)) < 1e-9
+
+
+def planted(n, seed):
+    """Insults and threats in clauses that are toxic, and a fifth of the other texts with the same in negated, reported
+    or aimless ones; every text has the words around them as well."""
+    rng = random.Random(seed)
+    filler = [f"word{i}" for i in range(300)]
+    toxic = ["you are a zorgblat", "what a zorgblat you are", "here is a zorgblat", "we will kill you"]
+    clean = ["nobody here is not a zorgblat", "he said that this was a zorgblat", "it is never a zorgblat", "we will kill time"]
+    plain = ["you are here", "what is this", "we will see you", "a nobody said it", "time will never be that he was"]
+    out = []
+    for i in range(n):
+        bad = i % 3 == 0
+        clause = rng.choice(toxic) if bad else rng.choice(clean) if i % 15 < 5 else "nothing"
+        parts = [" ".join(rng.choices(filler, k=8)), *rng.sample(plain, 4), " ".join(rng.choices(filler, k=8)), clause]
+        rng.shuffle(parts)
+        out.append((". ".join(parts), int(bad), clause))
+    return out
+
+
+def test_grammar_flips_clauses(spark, monkeypatch):
+    """Negation, reported speech and what a threat aims at decide; with every arc's weight at one they don't."""
+    rows = planted(1800, 4)
+    docs = frame(spark, [(i, t) for i, (t, _, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    asked = [x for x in planted(900, 5) if x[2] != "nothing"]
+    test = frame(spark, [(i, t) for i, (t, _, _) in enumerate(asked)])
+
+    def right(m):
+        got = {r.doc_id: r.predicted for r in toxicity.score(test, m).collect()}
+        return sum(got[i] == y for i, (_, y, _) in enumerate(asked)) / len(asked)
+
+    assert right(model) > 0.95
+    learned = model.arcs.arcs[toxicity.AT_INSULT]
+    assert learned[toxicity.PARTS.index(toxicity.NEGATED)] < 0 and learned[toxicity.PARTS.index(toxicity.REPORTED)] < 0
+    found = {r.clause: r.score for r in toxicity.clauses(test, model).collect()}
+    assert found["you are a zorgblat"] > found["it is never a zorgblat"] and found["we will kill you"] > found["we will kill time"]
+
+    def unlearned(found, y):
+        return toxicity.Arcs(), *toxicity._logistic(found.measures(toxicity.Arcs().weights()), y)[:3]
+
+    monkeypatch.setattr(toxicity, "_learn_arcs", unlearned)
+    assert right(toxicity.fit(docs, labels)) < 0.85  # calibrated anew, with every arc's weight at one
 
 
 def test_url_rules(spark):
