@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import scratch
+from siltstone.llm.skew import lookup
+from siltstone.session import cut, scratch
 
 # Fields of the two versions of ARC header lines.
 ARC_FIELDS = {
@@ -181,64 +182,101 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_col:
     return each
 
 
-RECORDS = "page_id long, record_id string, url string, date string, type string, content_type string, payload_bytes long, payload_digest string, head string, payload string"
+LIGHT = "page_id long, record_id string, url string, date string, type string, content_type string, payload_bytes long, payload_digest string"
+RECORDS = LIGHT + ", head string, payload string"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in schema.split(", "))])
+
+
+def _converted(content: pa.Scalar) -> Iterator[dict]:
+    """The records of an ARC file with what a WARC record needs."""
+    for _, fields, block in arc_records(_opened(content)):
+        url, date = fields["URL"], warc_date(fields["Archive-date"])
+        kind, content_type = warc_type(url, block)
+        head, payload = split_http(block) if kind == "response" else (b"", block)
+        own = http_fields(head).get("x-page-id")
+        page_id, d = int(own) if own else None, digest(payload)
+        light = {"page_id": page_id, "record_id": record_id(url, date, page_id, d), "url": url, "date": date, "type": kind, "content_type": content_type}
+        yield light | {"payload_bytes": len(payload), "payload_digest": d, "head": head, "payload": payload}
+
+
+def _files(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(*columns)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ARC files with what a WARC record needs."""
+    """Records of ARC files with their payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 out: list[dict] = []
                 held = 0
-                for _, fields, block in arc_records(_opened(content)):
-                    url, date = fields["URL"], warc_date(fields["Archive-date"])
-                    kind, content_type = warc_type(url, block)
-                    head, payload = split_http(block) if kind == "response" else (b"", block)
-                    own = http_fields(head).get("x-page-id")
-                    page_id, d = int(own) if own else None, digest(payload)
-                    out.append(
-                        {"page_id": page_id, "record_id": record_id(url, date, page_id, d), "url": url, "date": date, "type": kind, "content_type": content_type}
-                        | {"payload_bytes": len(payload), "payload_digest": d, "head": head.decode(), "payload": payload.decode()}
-                    )
-                    held += len(block)
+                for r in _converted(content):
+                    out.append(r | {"head": r["head"].decode(), "payload": r["payload"].decode()})
+                    held += r["payload_bytes"]
                     if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                        yield pa.RecordBatch.from_pylist(out, _arrow(RECORDS))
                         out, held = [], 0
-                yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                yield pa.RecordBatch.from_pylist(out, _arrow(RECORDS))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORDS)
+    return _files(spark, path, "content").mapInArrow(run, RECORDS)
 
 
-_SCHEMA = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in RECORDS.split(", "))])
+def arc_index(spark: SparkSession, path: str) -> DataFrame:
+    """Records of ARC files without their payloads, by ``path`` of the file and place ``at`` in it."""
+    schema = f"path string, at long, {LIGHT}"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                out = [{"path": name, "at": i} | {k: x for k, x in r.items() if k not in ("head", "payload")} for i, r in enumerate(_converted(content))]
+                yield pa.RecordBatch.from_pylist(out, _arrow(schema))
 
-def write_warc(records: DataFrame, path: str, least_bytes: int = 0, each: int = 4096) -> None:
-    """WARC files of ``each`` records; of those with equal payloads of at least ``least_bytes`` the one with the largest page_id is
-    the response (all rows of that id, if it repeats) and the others revisit it."""
-    light = records.filter(F.col("payload_bytes") >= least_bytes).filter(F.col("type") == "response")
+    return _files(spark, path, "path", "content").mapInArrow(run, schema)
+
+
+def revisits(index: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``path, at, kept`` of records that revisit another one: of responses with equal payloads of at least ``least_bytes``
+    all but those with the largest page_id, which is ``kept``. Only rows without payloads meet here."""
+    light = index.filter(F.col("type") == "response").filter(F.col("payload_bytes") >= least_bytes)
     kept = light.groupBy("payload_digest", "payload_bytes").agg(
         F.max("page_id").alias("kept_id"), F.max_by(F.struct("record_id", "url", "date"), "page_id").alias("kept")
     )
-    joined = records.join(kept, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce((F.col("type") == "response") & F.col("kept_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id")), F.lit(False))
-    rows = joined.select(*_SCHEMA.names, F.when(again, F.col("kept")).alias("kept")).withColumn("payload", F.when(F.col("kept").isNull(), F.col("payload")))
+    found = lookup(light.select("path", "at", "page_id", "payload_digest", "payload_bytes"), kept.filter("kept_id IS NOT NULL"), ["payload_digest", "payload_bytes"])
+    return found.filter(F.col("kept_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id"))).select("path", "at", "kept")
+
+
+def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0, each: int = 4096) -> None:
+    """ARC files to WARC files of ``each`` records. Files are parsed once for an index without payloads, which decides
+    what revisits what, and once to be written: payloads stay in their files, which alone travel, compressed."""
+    again = revisits(cut(arc_index(spark, arc)), least_bytes)
+    # a file has a bounded number of records
+    by_file = again.groupBy("path").agg(F.collect_list("at").alias("at"), F.collect_list("kept").alias("kept"))
+    files = _files(spark, arc, "path", "content").join(by_file, "path", "left").select("content", "at", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                block = ((r["head"] or "") + (r["payload"] or "")).encode()
-                fields = {"WARC-Type": "revisit" if r["kept"] else r["type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["date"], "WARC-Target-URI": r["url"]}
-                if r["kept"]:
-                    k = r["kept"]
-                    fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": k["record_id"], "WARC-Refers-To-Target-URI": k["url"], "WARC-Refers-To-Date": k["date"]}
-                fields |= {"WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": r["content_type"]}
-                out.append(warc_record(fields, block).decode())
-            yield pa.record_batch({"value": pa.array(out, pa.string())})
+            for content, at, kept in zip(batch.column("content"), batch.column("at").to_pylist(), batch.column("kept").to_pylist(), strict=True):
+                other = dict(zip(at or [], kept or [], strict=True))
+                out, held = [], 0
+                for i, r in enumerate(_converted(content)):
+                    k = other.get(i)
+                    block = r["head"] + (b"" if k else r["payload"])
+                    fields = {"WARC-Type": "revisit" if k else r["type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["date"], "WARC-Target-URI": r["url"]}
+                    if k:
+                        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": k["record_id"], "WARC-Refers-To-Target-URI": k["url"], "WARC-Refers-To-Date": k["date"]}
+                    fields |= {"WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": r["content_type"]}
+                    out.append(warc_record(fields, block).decode())
+                    held += len(block)
+                    if held > 4 << 20:
+                        yield pa.record_batch({"value": pa.array(out, pa.string())})
+                        out, held = [], 0
+                yield pa.record_batch({"value": pa.array(out, pa.string())})
 
-    _write(rows.mapInArrow(run, "value string"), path, "\r\n\r\n", each)
+    _write(files.mapInArrow(run, "value string"), warc, "\r\n\r\n", each)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +302,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     kinds = "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to_id string"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, kinds)
+    return _files(spark, path, "content").mapInArrow(run, kinds)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -277,7 +315,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
     each = write_arc(pages, arc)
-    write_warc(read_arc(spark, arc), warc, least_bytes, each)
-    found = read_warc(spark, warc)
+    convert(spark, arc, warc, least_bytes, each)
+    found = cut(read_warc(spark, warc))  # a few fields a record
     ids = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
-    return found.join(ids, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(found, ids, ["refers_to_id"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, queries, warc
+from siltstone.llm import ann, queries, skew, warc
 
 NAN, INF = float("nan"), float("inf")
 
@@ -62,11 +62,13 @@ def sha(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
 
-def test_archive_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_archive_round_trip(spark, monkeypatch, share):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhttp://x 0.0.0.0 20240101000000 text/html 3\nabc\n"
     pages = [(1, "http://a/ b", "same"), (2, None, "same"), (3, "", "same"), (4, "u", None), (5, "u\r\nInjected: x", ""), (6, "u", tricky), (7, "ü", "übermäßig 日本"), (None, "n", "same"), (8, "u", "only"), (8, "u", "only"), (9, "big", "x" * 300_000), (None, "m", "lonely")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, type string")
     monkeypatch.setattr(warc, "FILE_BYTES", 60_000)
+    monkeypatch.setattr(skew, "SHARE", share)
     got = warc.round_trip(df).collect()
     most = {}
     for i, _, h in pages:
