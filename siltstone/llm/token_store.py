@@ -33,6 +33,10 @@ MAGIC = b"SILTEF01"
 HEADER = struct.Struct("<8sIIQQQBB5Q")
 #: A block is closed at so many ids (a longer document still is one block).
 BLOCK_IDS = 2 << 20
+#: Blocks of a file, so that a reader can hold it: about 32 MB.
+FILE_BLOCKS = 8
+#: Input bytes that one writing task is given, about.
+TASK_BYTES = 128 << 20
 SAMPLE = 64
 
 
@@ -56,6 +60,10 @@ class EliasFano:
         high[places] = 1
         return cls(n, low_bits, low, np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype(np.uint32))
 
+    def _low_of(self, i: int) -> int:
+        at = i * self.low_bits
+        return int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes(), "little") >> (at & 7) & (1 << self.low_bits) - 1
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
@@ -74,7 +82,7 @@ class EliasFano:
             ones = np.flatnonzero(bits)
             if len(ones) > left:
                 place = first * 8 + int(ones[left])
-                return ((place - i) << self.low_bits) + int(self._low(np.array([i]))[0])
+                return ((place - i) << self.low_bits) + self._low_of(i)
             left, first, skip = left - len(ones), first + 64, 0
 
     def values(self) -> np.ndarray:
@@ -84,6 +92,25 @@ class EliasFano:
         return ((places - i) << self.low_bits) + self._low(i)
 
 
+class Block:
+    """Documents of a block: their ids by two selects, without decoding the other boundaries."""
+
+    def __init__(self, number: int, sequence: int, doc_ids: np.ndarray, nulls: int, ends: EliasFano, ids: np.ndarray) -> None:
+        self.number, self.sequence, self.doc_ids, self.nulls, self.ends, self.ids = number, sequence, doc_ids, nulls, ends, ids
+
+    def __len__(self) -> int:
+        return len(self.doc_ids)
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where document i's ids begin and end in the block."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
+    def get(self, i: int) -> np.ndarray:
+        """The ids of document i."""
+        a, b = self.bounds(i)
+        return self.ids[a:b]
+
+
 def block(number: int, sequence: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> bytes:
     fano = EliasFano.of(ends)
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
@@ -98,8 +125,8 @@ def block(number: int, sequence: int, doc_ids: list[int | None], ids: np.ndarray
     return HEADER.pack(MAGIC, number, sequence, len(doc_ids), nulls, len(ids), width, fano.low_bits, *map(len, sections)) + b"".join(sections)
 
 
-def blocks(content: memoryview) -> Iterator[tuple[int, int, np.ndarray, int, EliasFano, np.ndarray]]:
-    """(range, block, doc_ids, leading null doc_ids, ends, ids) of each block of a file."""
+def blocks(content: memoryview) -> Iterator[Block]:
+    """The blocks of a file."""
     at = 0
     while at < len(content):
         magic, number, sequence, n, nulls, n_ids, width, low_bits, *sizes = HEADER.unpack_from(content, at)
@@ -112,11 +139,13 @@ def blocks(content: memoryview) -> Iterator[tuple[int, int, np.ndarray, int, Eli
             at += size
         at += 1
         samples = np.frombuffer(part[3], "<u4")
-        yield number, sequence, np.frombuffer(part[0], "<i8"), nulls, EliasFano(n, low_bits, bytes(part[1]), bytes(part[2]), samples), np.frombuffer(part[4], f"<u{width}", n_ids)
+        ends = EliasFano(n, low_bits, bytes(part[1]), bytes(part[2]), samples)
+        yield Block(number, sequence, np.frombuffer(part[0], "<i8"), nulls, ends, np.frombuffer(part[4], f"<u{width}", n_ids))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode whole texts (null: empty) and write their ids in ascending doc_id order (null first)."""
+    """Encode whole texts (null: empty) and write their ids in ascending doc_id order (null first, equal ones by a
+    hash of their texts, so that rows of one doc_id spread over tasks as well)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.tokenizer(tokenizer_path, end_id)
@@ -144,9 +173,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.withColumn("tie_", F.xxhash64("text"))
+    spark, order = docs.sparkSession, ["doc_id", "tie_"]
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = size // TASK_BYTES if size < 1 << 60 else 0  # an unknown size is told as the largest long
+    more = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (rows.repartitionByRange(tasks, *order) if more else rows.repartitionByRange(*order)).sortWithinPartitions(*order).select("doc_id", "text")
     made = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
-    made.write.option("lineSep", "\n").option("compression", "none").text(path)
+    made.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -156,19 +190,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                for number, sequence, doc_ids, nulls, fano, ids in blocks(memoryview(content.as_buffer())):
-                    ends = fano.values()
-                    begins = np.concatenate([[0], ends[:-1]])
-                    raw = ids.astype("<u4").tobytes()
-                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    n = len(doc_ids)
+                for block in blocks(memoryview(content.as_buffer())):
+                    n = len(block)
+                    bounds = np.array([block.bounds(i) for i in range(n)], np.int64).reshape(n, 2)
+                    crc = [zlib.crc32(block.ids[a:b].astype("<u4").tobytes()) for a, b in bounds.tolist()]
                     yield pa.record_batch(
                         {
-                            "number": pa.array(np.full(n, number), pa.int32()),
-                            "sequence": pa.array(np.full(n, sequence), pa.int32()),
-                            "doc_id": pa.array(doc_ids, pa.int64(), mask=np.arange(n) < nulls),
-                            "begin": pa.array(begins, pa.int64()),
-                            "n_tokens": pa.array(ends - begins, pa.int64()),
+                            "number": pa.array(np.full(n, block.number), pa.int32()),
+                            "sequence": pa.array(np.full(n, block.sequence), pa.int32()),
+                            "doc_id": pa.array(block.doc_ids, pa.int64(), mask=np.arange(n) < block.nulls),
+                            "begin": pa.array(bounds[:, 0]),
+                            "n_tokens": pa.array(bounds[:, 1] - bounds[:, 0]),
                             "ids_crc32": pa.array(crc, pa.int64()),
                         }
                     )

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from siltstone.llm import bpe, packing, spans, token_store
 from siltstone.llm.queries import BYTE_BPE
 
-from .common import DATA, frame, words
+from .common import DATA, frame, stored, words
 
 
 @pytest.fixture(scope="module")
@@ -132,17 +132,35 @@ def test_elias_fano(gaps):
         assert len(fano.low) + len(fano.high) + 4 * len(fano.samples) < 8 * len(values)
 
 
-def test_store_round_trip(spark, reference, monkeypatch):
-    rows = edge_rows()
+def test_store_round_trip(spark, reference, monkeypatch, tmp_path):
+    rows = edge_rows() + [(5, f"again {i} " * 60) for i in range(40)] + [(None, f"nameless {i}") for i in range(30)]
     monkeypatch.setattr(token_store, "BLOCK_IDS", 500)
-    got = token_store.round_trip(frame(spark, rows), BYTE_BPE).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    want, at = [], 0
-    for doc, text in ordered:
-        ids = reference(text)
-        want.append((doc is None, doc or 0, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    monkeypatch.setattr(token_store, "FILE_BLOCKS", 2)
+    monkeypatch.setattr(token_store, "TASK_BYTES", 300)
+    got = token_store.round_trip(stored(spark, tmp_path, rows), BYTE_BPE).collect()
+    made = {}
+    for r in got:
+        made.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))
+    at = 0
+    for doc in sorted({r[0] for r in rows}, key=lambda d: (d is not None, d or 0)):
+        want = sorted((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in (reference(t) for d, t in rows if d == doc))
+        own = sorted(made[doc])
+        assert sorted((n, c) for _, n, c in own) == want
+        for start, n, _ in own:  # gapless, in any order among equal ids
+            assert start == at
+            at += n
+    assert len(got) == len(rows)
+
+
+def test_block_gets_documents():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 400, 300)
+    ids = rng.integers(0, 60_000, int(lengths.sum())).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    content = b"".join(token_store.block(3, i, list(range(300)), ids, ends) + b"\n" for i in range(2))
+    for i, b in enumerate(token_store.blocks(memoryview(content))):
+        assert (b.number, b.sequence, len(b)) == (3, i, 300)
+        assert all(b.get(k).tolist() == ids[ends[k] - lengths[k] : ends[k]].tolist() for k in (0, 1, 63, 64, 65, 128, 299))
 
 
 def test_store_whole_table(spark, reference):
