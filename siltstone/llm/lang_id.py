@@ -4,7 +4,8 @@ Script ranges narrow each word's candidates to the languages in which that scrip
 seen; a word's scores are naive-Bayes log likelihoods over its byte n-grams; Viterbi
 with a switching penalty labels spans; a document's language is the one whose spans
 hold most letters. Counts are taken over every training row and kept for every n-gram
-by its own code, so what is collected grows with the distinct n-grams.
+by its own code, so what is collected grows with the distinct n-grams and, for each, the
+languages it was seen in. A task's memory grows with the words of a text times languages.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ SCRIPT_RANGES = [
 ]
 
 GRAMS = (1, 2, 3, 4)
-#: Distinct words a worker keeps scores of.
-KNOWN_BITS = 20
-#: Text bytes that Viterbi steps through side by side.
-STEP_BYTES = 4 << 20
+#: Distinct words a worker keeps scores of, and bytes of these scores, at most.
+KNOWN_BITS, KNOWN_BYTES = 20, 64 << 20
+#: Text bytes that Viterbi steps through side by side, with up to STEP_LANGUAGES languages; with more, fewer bytes.
+STEP_BYTES, STEP_LANGUAGES = 4 << 20, 16
 #: Words whose n-grams are looked up at once.
 PART_WORDS = 1 << 14
 #: Bytes of distinct words whose n-grams are counted at once.
@@ -122,7 +123,10 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     grams: np.ndarray  # ascending codes
-    weights: np.ndarray  # grams and one row for all others x languages, log likelihoods
+    bounds: np.ndarray  # n-gram i was seen in languages seen[bounds[i]:bounds[i + 1]]
+    seen: np.ndarray
+    gains: np.ndarray  # log likelihoods of those, above that of an n-gram not seen in the language
+    unseen: np.ndarray  # by language
     scripts: np.ndarray  # scripts x languages, whether the script was seen in the language
     switch: float
     known: spans.Interner | None = field(default=None, repr=False)
@@ -131,6 +135,9 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": None, "scores": None}
 
+    def step_bytes(self) -> int:
+        return max(1, STEP_BYTES * STEP_LANGUAGES // max(STEP_LANGUAGES, len(self.languages)))
+
     def fresh_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Scores of words, some thousands at a time: each has dozens of n-grams."""
         parts = [self._scores(data, starts[i : i + PART_WORDS], ends[i : i + PART_WORDS]) for i in range(0, len(starts), PART_WORDS)]
@@ -138,16 +145,20 @@ class Model:
 
     def _scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         gram, count = _grams(data, starts, ends)
+        n, m = len(count), len(self.languages)
         at = np.searchsorted(self.grams, gram)
-        at[np.append(self.grams, -1)[at] != gram] = len(self.grams)
-        bounds = np.cumsum(count) - count
-        sums = np.add.reduceat(self.weights[at], bounds, axis=0) if len(count) else np.zeros((0, len(self.languages)), np.float32)
+        word = np.repeat(np.arange(n), count)
+        hit = np.append(self.grams, -1)[at] == gram
+        at, word = at[hit], word[hit]
+        many = self.bounds[at + 1] - self.bounds[at]
+        place = _spread(self.bounds[at], many)
+        sums = np.bincount(np.repeat(word, many) * m + self.seen[place], self.gains[place], n * m).reshape(n, m) + count[:, None] * self.unseen
         means = sums / np.maximum(count, 1)[:, None] * np.minimum(ends - starts, 12)[:, None]  # a long word counts no more than twelve bytes
         return np.where(self.scripts[_scripts(data, starts, ends)], means, means.min(axis=1, keepdims=True) - 8).astype(np.float32)
 
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.known is None:
-            self.known = spans.Interner(KNOWN_BITS)
+            self.known = spans.Interner(min(KNOWN_BITS, max(4, (2 * KNOWN_BYTES // (4 * len(self.languages))).bit_length() - 1)))
             self.scores = np.zeros((self.known.most, len(self.languages)), np.float32)
         keys = spans.hash_spans(data, starts, ends)
         number = self.known.find(keys)
@@ -168,14 +179,15 @@ class Model:
     def label(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Viterbi over each document's words, documents side by side: a label per word."""
         n, m = scores.shape
-        labels = np.zeros(n, np.int16)
-        back = np.zeros((n, m), np.uint8)  # whether the best way here came from another language, and which
+        number = np.min_scalar_type(max(0, m - 1))  # the narrowest type that numbers all languages
+        labels = np.zeros(n, np.int64)
+        back = np.zeros((n, m), number)  # whether the best way here came from another language, and which
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         size, start = size[order], first[:-1][order]
         active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
         best = np.zeros((len(size), m), np.float32)
-        own = np.arange(m, dtype=np.uint8)
+        own = np.arange(m, dtype=number)
         for t in range(len(active)):
             k = active[t]
             rows = start[:k] + t
@@ -208,7 +220,6 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
     Words are counted over all rows first, so that their weights don't depend on the rows' layout.
     """
 
-
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
@@ -250,16 +261,16 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
     gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64)
     is_gram = gram >= 0
     grams, at = np.unique(gram[is_gram], return_inverse=True)
-    weights = np.full((len(grams) + 1, len(languages)), 0.5, np.float32)
-    weights[at, lang[is_gram]] += n[is_gram] / 16
-    weights /= weights.sum(axis=0, keepdims=True, dtype=np.float64)
-    np.log(weights, out=weights)
+    order = np.lexsort((lang[is_gram], at))
+    at, seen, times = at[order], lang[is_gram][order], n[is_gram][order] / 16
+    total = np.bincount(seen, times, len(languages)) + 0.5 * (len(grams) + 1)  # half a count for each n-gram, and for all others together
     scripts = np.zeros((len(SCRIPTS), len(languages)))
     scripts[gram[~is_gram] + len(SCRIPTS), lang[~is_gram]] += n[~is_gram]
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     allowed = share > 0.001
     allowed[~allowed.any(axis=1)] = True
-    return Model(languages, grams, weights, allowed, switch)
+    bounds = np.searchsorted(at, np.arange(len(grams) + 1))
+    return Model(languages, grams, bounds, seen, np.log1p(2 * times).astype(np.float32), np.log(0.5 / total), allowed, switch)
 
 
 def _judged(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -270,7 +281,7 @@ def _judged(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array
     weight = (ends - starts).astype(np.float64)
     owner = np.repeat(np.arange(n), np.diff(first))
     named = len(model.languages) > 0
-    labels = model.label(model.word_scores(data, starts, ends), first) if named and len(starts) else np.zeros(len(starts), np.int16)
+    labels = model.label(model.word_scores(data, starts, ends), first) if named and len(starts) else np.zeros(len(starts), np.int64)
     share = np.bincount(owner * m + labels, weight, n * m).reshape(n, m)
     total, best = share.sum(axis=1), share.argmax(axis=1)
     plain = np.bincount(owner, data[starts] < 0x80, n) if len(starts) else np.zeros(n)
@@ -300,7 +311,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.chunks(batch, text_col, STEP_BYTES):
+            for part in spans.chunks(batch, text_col, model.step_bytes()):
                 got = _judged(model, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, *got], [*part.schema.names, "lang_pred", "score", "spans"])
 

@@ -4,7 +4,9 @@ import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import lang_id, queries, toxicity, url_filter
@@ -60,7 +62,72 @@ def test_language_many_ngrams(spark):
 def test_language_weights_do_not_depend_on_layout(spark):
     rows = [(i, "the house and the garden " * 20 + f"word{i}", "en") for i in range(200)] + [(i, "das Haus und der Garten " * 20, "de") for i in range(200)]
     one, many = (lang_id.fit(df.select("text", "lang")) for df in (frame(spark, rows).coalesce(1), frame(spark, rows).repartition(16)))
-    assert one.languages == many.languages and (one.weights == many.weights).all() and (one.scripts == many.scripts).all()
+    assert one.languages == many.languages and all((getattr(one, x) == getattr(many, x)).all() for x in ("grams", "bounds", "seen", "gains", "unseen", "scripts"))
+
+
+def best_path(scores, switch):
+    """Viterbi in plain Python: the labels of the best path; staying wins a tie, then the first language."""
+    best, back = list(scores[0]), []
+    for row in scores[1:]:
+        top = max(range(len(best)), key=lambda k: best[k])
+        came = [k if best[k] >= best[top] - switch else top for k in range(len(best))]
+        best = [(best[k] if came[k] == k else best[top] - switch) + x for k, x in enumerate(row)]
+        back.append(came)
+    out = [max(range(len(best)), key=lambda k: best[k])]
+    for came in reversed(back):
+        out.append(came[out[-1]])
+    return out[::-1]
+
+
+@pytest.mark.parametrize("languages", [2, 5, 250, 400])
+def test_language_paths_against_plain_viterbi(languages):
+    rng = np.random.default_rng(languages)
+    sizes = [1, 7, 30, 0, 12, 2]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.integers(-40, 0, (int(first[-1]), languages)).astype(np.float32)  # whole numbers: no rounding
+    model = lang_id.Model([str(i) for i in range(languages)], *[np.empty(0)] * 6, 6.0)
+    got = model.label(scores, first)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b > a:
+            assert got[a:b].tolist() == best_path(scores[a:b].tolist(), 6.0)
+
+
+def test_language_scores_against_plain_counts(spark):
+    """Word scores are mean n-gram log likelihoods, with half a count for every n-gram."""
+    rows = [(1, "abba abc xyz abc", "aa"), (2, "abba xyz", "bb"), (3, "", "bb"), (4, None, "aa"), (1, "abba abc xyz abc", "aa"), (5, "zz", None)]
+    model = lang_id.fit(frame(spark, rows).select("text", "lang"))
+    words = {"aa": Counter("abba abc xyz abc abba abc xyz abc".split()), "bb": Counter("abba xyz".split())}
+
+    def grams(word):
+        padded = f" {word} "
+        return [padded[i : i + n] for n in (1, 2, 3, 4) for i in range(len(padded) - n + 1)]
+
+    counts = {lang: Counter() for lang in words}
+    for lang, of in words.items():
+        for word, n in of.items():
+            for g in grams(word):
+                counts[lang][g] += int(math.sqrt(n) * 16) / 16
+    every = set(counts["aa"]) | set(counts["bb"])
+    for word in ("abba", "abc", "new"):
+        data = np.frombuffer(word.encode(), np.uint8)
+        got = model.fresh_scores(data, np.array([0]), np.array([len(word)]))[0]
+        for k, lang in enumerate(("aa", "bb")):
+            total = sum(counts[lang].values()) + 0.5 * (len(every) + 1)
+            logs = [math.log((counts[lang][g] + 0.5) / total) for g in grams(word)]
+            assert abs(got[k] - sum(logs) / len(logs) * len(word)) < 1e-4
+
+
+def test_language_many_languages_and_long_texts(spark, monkeypatch):
+    """More languages than a byte numbers, repeated rows, and texts longer than a step."""
+    rng = random.Random(9)
+    names = [f"l{i:03d}" for i in range(300)]
+    words = {n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(12)] for n in names}
+    rows = [(i, " ".join(rng.choices(words[n], k=30)), n) for i, n in enumerate(names * 2)]
+    model = lang_id.fit(frame(spark, rows).select("text", "lang"))
+    monkeypatch.setattr(lang_id, "STEP_BYTES", 2000)
+    asked = [(i, " ".join(rng.choices(words[n], k=40 if i else 4000)), n) for i, n in enumerate(names[:60] + names[250:])]
+    got = lang_id.predict(frame(spark, asked + asked[1:3]), model).collect()
+    assert len(got) == len(asked) + 2 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
 
 def test_toxicity_held_out(spark):
