@@ -3,8 +3,8 @@
 A window's minimiser is the least hash of its word grams, a function of its words
 alone, so equal windows meet in the minimiser's bucket. Consecutive windows of equal
 minimiser are a super-k-mer and travel as one packed string of their words. Only
-minimisers seen in two documents or more travel. In a bucket, rows arrive sorted;
-windows are compared as bytes and each gets the smallest doc_id it starts in.
+minimisers seen in two documents or more travel. In a bucket, windows are sorted as
+bytes and each gets the smallest doc_id that an equal one starts in.
 Buckets of very frequent minimisers are dealt window by window instead, so that a
 common line's contexts spread over tasks. A task packs equal strings once, with
 the list of places they come from.
@@ -26,6 +26,8 @@ from siltstone.session import scratch
 
 #: Super-k-mers of one minimiser from which its windows are dealt one by one.
 HOT = 2000
+#: Windows of a super-k-mer, at most: a longer run of one minimiser is cut.
+RUN = 64
 #: Packed bytes that a task gathers before it hands them on.
 GATHER_BYTES = 16 << 20
 #: Words of the grams whose least hash is the minimiser.
@@ -47,6 +49,9 @@ def _runs(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     begins[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     begins = np.flatnonzero(begins)
     sizes = np.diff(np.append(begins, len(at)))
+    pieces = -(-sizes // RUN)
+    begins = np.repeat(begins, pieces) + RUN * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    sizes = np.diff(np.append(begins, len(at)))
     return owner[begins], at[begins], sizes, least[begins], data, starts, ends, first
 
 
@@ -139,25 +144,34 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
         out: list[np.ndarray] = []
 
         def close() -> None:
-            """Windows of a bucket; a bucket that isn't hot has at most ``hot`` super-k-mers."""
-            firsts: dict[bytes, int] = {}
-            cuts = []
+            """Windows of a bucket, sorted, so that equal ones are neighbours. A bucket that isn't hot has at most ``hot``
+            super-k-mers of at most RUN windows."""
+            windows, low, sizes = [], [], []
             for text, places in group:
                 words = text.split(b" ")
-                windows = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
-                low = int(places[:, 1].min())
-                for w in windows:
-                    if firsts.get(w, _LAST + 1) > low:
-                        firsts[w] = low
-                cuts.append(windows)
-            for (_, places), windows in zip(group, cuts, strict=True):
-                start = np.array([firsts[w] for w in windows])
-                for row, id_, at in places.tolist():
+                sizes.append(len(words) - window + 1)
+                windows += [b" ".join(words[i : i + window]) for i in range(sizes[-1])]
+                low += [int(places[:, 1].min())] * sizes[-1]
+            order = sorted(range(len(windows)), key=windows.__getitem__)
+            least_of = np.empty(len(windows), np.int64)
+            at = 0
+            while at < len(order):
+                to, w = at + 1, windows[order[at]]
+                while to < len(order) and windows[order[to]] == w:
+                    to += 1
+                equal = order[at:to]
+                least_of[equal] = min(low[i] for i in equal)
+                at = to
+            at = 0
+            for (_, places), n in zip(group, sizes, strict=True):
+                start = least_of[at : at + n]
+                at += n
+                for row, id_, first in places.tolist():
                     bad = np.flatnonzero(start < id_)
                     if len(bad):
                         gap = np.flatnonzero(np.diff(bad) > 1)
                         begin, end = bad[np.concatenate([[0], gap + 1])], bad[np.append(gap, len(bad) - 1)]
-                        out.append(np.stack([np.full(len(begin), row), begin + at, end + at + window], axis=1))
+                        out.append(np.stack([np.full(len(begin), row), begin + first, end + first + window], axis=1))
             group.clear()
 
         def ready() -> pa.RecordBatch:
