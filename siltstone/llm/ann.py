@@ -6,9 +6,11 @@ finds there by the footrule distance of the pivot orders, and reranks the best s
 exact inner product in double precision. Equal vectors are one posting: of a class no
 more members than a result can hold are listed, smallest ids first, which is exact.
 
-Files are dealt in slices of bounded size, queries of a file in blocks, and a task sees
-one slice and one block. A posting that a query could meet in several files is ranked
-in the first of them only.
+Files are dealt in slices of bounded size and queries of a file in blocks. A cell is one
+slice and one block: a task holds the slice, and the block's queries stream by. So a
+posting travels once a block and a query once a slice, which is the part of the shuffle
+that grows with queries times vectors; both are large. A posting that a query could
+meet in several files is ranked in the first of them only.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ class Settings:
     posted: int = 8  # files a vector is posted in
     visited: int = 14  # files a query visits
     reranked: float = 0.4  # share of what a query finds in a file that is reranked, and 4k at least
-    piece: int = 8192  # postings in a slice, about
-    block: int = 2048  # queries in a block, about
+    piece: int = 1 << 15  # postings in a slice, about
+    block: int = 1 << 15  # queries in a block, about
 
 
 def usable(vector: Column) -> Column:
@@ -114,38 +115,59 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
     def upto(n: Column) -> Column:
         return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
 
-    dealt = postings.withColumn("i", F.pmod(F.xxhash64("key"), many(slices)).cast("int")).withColumn("j", upto(many(blocks)))
-    asking = questions.withColumn("j", F.pmod(F.xxhash64("q"), many(blocks)).cast("int")).withColumn("i", upto(many(slices)))
-
-    def meet(cell: tuple, files: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        q, ids, score = [], [], []
-        if len(files) and len(block):
-            v = np.stack([np.frombuffer(x) for x in files.v])
-            places = _places(np.stack([np.frombuffer(x, np.uint8) for x in files.pivots]))
-            members = files.ids.to_list()
-            for key, raw, nth, order in zip(block.q, block.v, block.nth, block.pivots, strict=True):
-                order = np.frombuffer(order, np.uint8).astype(np.int64)
-                mine = np.arange(len(files))
-                if nth:
-                    mine = np.flatnonzero((places[:, order[:nth]] >= settings.posted).all(axis=1))
-                own = np.empty(len(order), np.int16)
-                own[order] = np.arange(len(order))
-                most = max(4 * k, int(len(mine) * settings.reranked))
-                if len(mine) > most:
-                    rule = np.abs(places[mine] - own).sum(axis=1, dtype=np.int32)
-                    mine = mine[np.argpartition(rule, most)[:most]]
-                s = v[mine] @ np.frombuffer(raw)
-                if len(s) > k + 1:
-                    limit = np.partition(s, -(k + 1))[-(k + 1)]
-                    mine, s = mine[s >= limit], s[s >= limit]
-                for at, x in zip(mine.tolist(), s.tolist(), strict=True):
-                    for member in members[at]:
-                        q.append(key)
-                        ids.append(member)
-                        score.append(x)
-        return pd.DataFrame({"q": pd.Series(q, dtype="object"), "vec_id": pd.Series(ids, dtype="int64"), "score": pd.Series(score, dtype="float64")})
-
-    met = dealt.groupBy("file", "i", "j").cogroup(asking.groupBy("file", "i", "j")).applyInPandas(meet, "q string, vec_id long, score double")
+    # one form for both, so that a cell's postings come before its queries
+    dealt = postings.select("key", "v", "file", "nth", "pivots", "ids", F.lit(0).alias("kind"), F.pmod(F.xxhash64("key"), many(slices)).cast("int").alias("i"), upto(many(blocks)).alias("j"))
+    asking = questions.select(F.col("q").alias("key"), "v", "file", "nth", "pivots", F.lit(None).cast("array<long>").alias("ids"), F.lit(1).alias("kind"), upto(many(slices)).alias("i"), F.pmod(F.xxhash64("q"), many(blocks)).cast("int").alias("j"))
+    cell = ["file", "i", "j"]
+    cells = dealt.unionByName(asking).repartition(*cell).sortWithinPartitions(*cell, "kind").select(*cell, "kind", "key", "v", "nth", "pivots", "ids")
+
+    def best_of(v: np.ndarray, places: np.ndarray, nth: int, order: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of a slice that a query keeps, and their scores."""
+        mine = np.arange(len(v))
+        if nth:
+            mine = np.flatnonzero((places[:, order[:nth]] >= settings.posted).all(axis=1))
+        own = np.empty(len(order), np.int16)
+        own[order] = np.arange(len(order))
+        most = max(4 * k, int(len(mine) * settings.reranked))
+        if len(mine) > most:
+            rule = np.abs(places[mine] - own).sum(axis=1, dtype=np.int32)
+            mine = mine[np.argpartition(rule, most)[:most]]
+        s = v[mine] @ asked
+        if len(s) > k + 1:
+            limit = np.partition(s, -(k + 1))[-(k + 1)]
+            mine, s = mine[s >= limit], s[s >= limit]
+        return mine, s
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, slice_ = None, [], None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*cell, "kind")], axis=1)
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1 if len(at) else np.empty(0, np.int64)
+            q, ids, score = [], [], []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if a == b:
+                    continue
+                if tuple(at[a, :3]) != now:
+                    now, held, slice_ = tuple(at[a, :3]), [], None
+                part = batch.slice(a, b - a)
+                if at[a, 3] == 0:
+                    held.append(part.select(["v", "pivots", "ids"]))
+                    continue
+                if not held:
+                    continue
+                if slice_ is None:
+                    rows = pa.Table.from_batches(held)
+                    v = np.stack([np.frombuffer(x) for x in rows.column("v").to_pylist()])
+                    slice_ = v, _places(np.stack([np.frombuffer(x, np.uint8) for x in rows.column("pivots").to_pylist()])), rows.column("ids").to_pylist()
+                v, places, members = slice_
+                for key, raw, nth, order in zip(*(part.column(c).to_pylist() for c in ("key", "v", "nth", "pivots")), strict=True):
+                    for m, x in zip(*(y.tolist() for y in best_of(v, places, nth, np.frombuffer(order, np.uint8).astype(np.int64), np.frombuffer(raw))), strict=True):
+                        q += [key] * len(members[m])
+                        ids += members[m]
+                        score += [x] * len(members[m])
+            yield pa.record_batch({"q": pa.array(q, pa.string()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    met = cells.mapInArrow(meet, "q string, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = met.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth")
     mine = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("key").alias("q")).join(best, "q").filter("vec_id <> query_id")
