@@ -173,10 +173,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int =
 
 
 def _labelled(fps: DataFrame, distance: int) -> DataFrame:
-    """``fp, least_id, least_row, root`` of each distinct fingerprint."""
+    """``fp, least_id, least_row, root`` of each distinct fingerprint, cut, as it is read again."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("least_row"))
     roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    return nodes.join(roots, "fp", "left").select("fp", "least_id", "least_row", F.coalesce("root", "fp").alias("root"))
+    return cut(nodes.join(roots, "fp", "left").select("fp", "least_id", "least_row", F.coalesce("root", "fp").alias("root")))
 
 
 def keep_one(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4) -> DataFrame:
