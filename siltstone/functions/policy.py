@@ -40,22 +40,46 @@ class Authorization:
     allow_prompt_injection: bool = False
 
 
-def quarantined(trust_zone: Column, review_status: Column) -> Column:
-    return (trust_zone == "Quarantined") | (review_status == "Rejected")
+def quarantined(trust_zone: Column) -> Column:
+    """The trust zone alone decides."""
+    return trust_zone == "Quarantined"
 
 
 def retrieval_allowed(read_allowed: Column, trust_zone: Column, review_status: Column, integrity: Column) -> Column:
-    return read_allowed & ~quarantined(trust_zone, review_status) & (integrity != "Compromised")
+    return read_allowed & ~quarantined(trust_zone) & (review_status != "Rejected") & (integrity != "Compromised")
+
+
+def _own(trust_zone: Column, authority: Column) -> Column:
+    return ~trust_zone.isin("Untrusted", "Quarantined") & (authority != "External")
+
+
+def promotion_allowed(c: dict[str, Column]) -> Column:
+    """Whether what rests on a row of security columns may become a memory."""
+    fine = retrieval_allowed(c["read_allowed"], c["trust_zone"], c["review_status"], c["integrity"])
+    return fine & _own(c["trust_zone"], c["authority"]) & ~c["prompt_injection_risk"] & (F.size(c["poisoning_flags"]) == 0)
+
+
+def action_authorized(c: dict[str, Column]) -> Column:
+    """Whether a row of security columns may be acted on."""
+    return _own(c["trust_zone"], c["authority"]) & c["write_allowed"] & retrieval_allowed(c["read_allowed"], c["trust_zone"], c["review_status"], c["integrity"])
+
+
+def ceiling(*levels: Column) -> Column:
+    """The lowest of sensitivity ceilings; null ones don't restrict."""
+    return name_of(F.least(*[level(x, SENSITIVITY) for x in levels]), SENSITIVITY)
 
 
 def denial(auth: Authorization, prefix: str = "") -> Column:
-    """The first rule that denies a row of security columns, or null if it may be read."""
+    """The first rule that denies a row of security columns, or null if it may be read.
+
+    Fixed values: the messages are part of what is published.
+    """
     c = {n: F.col(prefix + n) for n in ("read_allowed", "trust_zone", "review_status", "integrity", "sensitivity", "scope_id", "prompt_injection_risk", "poisoning_flags")}
     rules: list[tuple[Column, Column]] = []
     if auth.require_read_allowed:
         rules.append((~c["read_allowed"], F.lit("Read not allowed by ACL")))
     if not auth.allow_quarantined:
-        rules.append((quarantined(c["trust_zone"], c["review_status"]), F.lit("Item is quarantined or rejected")))
+        rules.append((quarantined(c["trust_zone"]), F.lit("Item is quarantined or rejected")))
     rules.append(((c["review_status"] == "Rejected") | (c["integrity"] == "Compromised"), F.lit("Item is quarantined or rejected")))
     if auth.trust_zone:
         rules.append((c["trust_zone"] != auth.trust_zone, F.concat(F.lit(f"Trust zone mismatch: expected {auth.trust_zone}, found "), c["trust_zone"])))
@@ -90,12 +114,13 @@ def effective_scopes(*sets: Column) -> Column:
 
 def taint(df: DataFrame, *keys: str) -> DataFrame:
     """Worst-case merge of security columns by key: maximum of each enum, union of flags, AND of permissions;
-    the scope stays only where all rows agree."""
+    the scope stays where all rows that have one agree."""
     worst = [name_of(F.max(level(F.col(c), order)), order).alias(c) for c, order in (("trust_zone", TRUST_ZONES), ("authority", AUTHORITIES), ("integrity", INTEGRITY), ("sensitivity", SENSITIVITY), ("review_status", REVIEW))]
-    one_scope = (F.count_distinct("scope_id") == 1) & (F.count("scope_id") == F.count("*"))
+    one_scope = F.min("scope_id") == F.max("scope_id")
     return df.groupBy(*keys).agg(
         *worst,
         F.bool_and("read_allowed").alias("read_allowed"),
+        F.bool_and("write_allowed").alias("write_allowed"),
         F.bool_or("prompt_injection_risk").alias("prompt_injection_risk"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("poisoning_flags")))).alias("poisoning_flags"),
         F.when(one_scope, F.max("scope_id")).alias("scope_id"),

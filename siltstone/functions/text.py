@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRIDE = 1_000_003
+# Stride of identities and the offsets of cards and evidence in it.
+STRIDE, CARD_OFFSET, EVIDENCE_OFFSET = 1_000_003, 900_001, 500_001
 
 
 def tokens(text: Column) -> Column:
@@ -32,11 +33,11 @@ def chunk_id(artifact: Column, order: Column) -> Column:
 
 
 def card_id(artifact: Column) -> Column:
-    return artifact * STRIDE + 900_001
+    return artifact * STRIDE + CARD_OFFSET
 
 
 def evidence_id(artifact: Column, order: Column) -> Column:
-    return artifact * STRIDE + order + 500_001
+    return artifact * STRIDE + order + EVIDENCE_OFFSET
 
 
 def excerpt(text: Column, most: int = 240) -> Column:
@@ -110,7 +111,8 @@ def marker_kind(comment: Column) -> Column:
 
 
 def plausible_commit(ref: Column) -> Column:
-    return ref.rlike(r"^(?:[0-9a-f]{7,40}|HEAD(?:~[0-9]+|\^)*)$")
+    """Seven to forty hexadecimal digits, or HEAD with at most one ``~`` or ``^`` and its number."""
+    return ref.rlike(r"\A(?:[0-9A-Fa-f]{7,40}|HEAD(?:[~^][0-9]*)?)\z")
 
 
 def milli(score: Column) -> Column:

@@ -46,31 +46,6 @@ def golden_metrics(ranked: DataFrame, judgments: DataFrame, k: int) -> DataFrame
     )
 
 
-def graded_quality(ranked: DataFrame, judgments: DataFrame, ks: tuple[int, ...] = (5, 20)) -> DataFrame:
-    """Graded nDCG whose ideal list is the retrieved one (gain 3 for grade 2 and up, 1 for 1), mean average precision,
-    recalls; zero where there is nothing to divide by."""
-    seen = _first_seen(ranked).join(judgments, ["query_id", "evidence_id"], "left")
-    seen = seen.withColumn("gain", F.when(F.col("grade") >= 2, 3).when(F.col("grade") == 1, 1).otherwise(0))
-    hit = (F.col("gain") > 0).cast("int")
-    before = Window.partitionBy("query_id").orderBy("pos")
-    seen = seen.withColumn("hits", F.sum(hit).over(before)).withColumn("ideal_pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "pos")))
-    relevant = judgments.groupBy("query_id").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("relevant"))
-    sums = seen.groupBy("query_id").agg(
-        F.sum(F.col("gain") / F.log2(F.col("pos") + 1)).alias("dcg"),
-        F.sum(F.col("gain") / F.log2(F.col("ideal_pos") + 1)).alias("idcg"),
-        F.sum(F.when(F.col("gain") > 0, F.col("hits") / F.col("pos")).otherwise(0.0)).alias("precision"),
-        *[F.sum(F.when(F.col("pos") <= k, hit).otherwise(0)).alias(f"found_{k}") for k in ks],
-    )
-    both = relevant.join(sums, "query_id", "left")
-    many = F.greatest("relevant", F.lit(1))
-    return both.select(
-        "query_id",
-        F.when(F.coalesce("idcg", F.lit(0.0)) == 0, 0).otherwise(unit(F.col("dcg") / F.when(F.col("idcg") != 0, F.col("idcg")))).cast("long").alias("ndcg"),
-        F.when(F.col("relevant") == 0, 0).otherwise(unit(F.coalesce("precision", F.lit(0.0)) / many)).cast("long").alias("average_precision"),
-        *[F.when(F.col("relevant") == 0, 0).otherwise(F.floor(F.coalesce(f"found_{k}", F.lit(0)) * ONE / many)).cast("long").alias(f"recall_{k}") for k in ks],
-    )
-
-
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start < b_end) & (b_start < a_end)
 

@@ -88,11 +88,17 @@ def page(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def drop_stale_code(candidates: DataFrame) -> DataFrame:
-    """Code-lane candidates that are stale go before fusion; ``stale_code_only`` where a query had no others."""
-    code = F.col("lane") == "code"
-    only = F.bool_and(code & (F.col("freshness") == "Stale")).over(Window.partitionBy("query_id"))
-    marked = candidates.withColumn("stale_code_only", only)
-    return marked.filter(~(code & (F.col("freshness") == "Stale")) | F.col("stale_code_only"))
+    """Candidates without the code lane's stale ones, which never reach fusion."""
+    return candidates.filter(~_stale_code())
+
+
+def stale_code_only(candidates: DataFrame) -> DataFrame:
+    """``query_id, stale_code_only``: whether a query found nothing but stale code."""
+    return candidates.groupBy("query_id").agg(F.bool_and(_stale_code()).alias("stale_code_only"))
+
+
+def _stale_code() -> Column:
+    return (F.col("lane") == "code") & (F.col("freshness") == "Stale")
 
 
 def within_budget(expanded: DataFrame, max_candidates: int, max_bytes: int) -> DataFrame:

@@ -74,6 +74,11 @@ def order_violations(events: DataFrame, entity: str, order: str, time: str) -> D
     return events.withColumn("previous_", F.lag(time).over(before)).filter(F.col(time) < F.col("previous_"))
 
 
+def payload_violations(events: DataFrame, column: str, payload: Column) -> DataFrame:
+    """Events whose column isn't what their payload says."""
+    return events.filter(~F.col(column).eqNullSafe(payload))
+
+
 def generation_step(now: Column, to: Column) -> Column:
     """Whether a generation may go from one state to another."""
     allowed = F.lit(False)

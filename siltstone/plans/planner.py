@@ -192,15 +192,16 @@ class Engine:
 
 def secured(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Security columns derived from tables: toxic is quarantined, unlabelled unreviewed; source gives path and
-    scope, doc_id the sensitivity."""
+    scope, doc_id the sensitivity, permissions and which are rejected or have no scope."""
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.join(marks, "doc_id", "left")
     places = F.array(*[F.lit(s) for s in policy.SENSITIVITY])
     return rows.select(
         "doc_id", "text", "lang", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), text.version_id(F.col("text")).alias("version_id"),
         F.when(F.col("toxic") == 1, "Quarantined").when(F.col("toxic") == 0, "Verified").otherwise("Untrusted").alias("trust_zone"),
-        F.when(F.col("toxic").isNull(), "Unreviewed").otherwise("Approved").alias("review_status"), F.lit("External").alias("authority"),
+        F.when(F.col("doc_id") % 19 == 0, "Rejected").when(F.col("toxic").isNull(), "Unreviewed").otherwise("Approved").alias("review_status"), F.lit("External").alias("authority"),
         F.when(F.col("doc_id") % 97 == 0, "Compromised").otherwise("Unverified").alias("integrity"), F.element_at(places, (F.col("doc_id") % 4 + 1).cast("int")).alias("sensitivity"),
-        (F.col("doc_id") % 13 != 0).alias("read_allowed"), F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("scope_id"), text.injection_risk(F.col("text")).alias("prompt_injection_risk"),
+        (F.col("doc_id") % 13 != 0).alias("read_allowed"), (F.col("doc_id") % 11 != 0).alias("write_allowed"),
+        F.when(F.col("doc_id") % 5 != 0, F.regexp_extract("source", "([0-9]+)$", 1).cast("long")).alias("scope_id"), text.injection_risk(F.col("text")).alias("prompt_injection_risk"),
         F.when(F.col("doc_id") % 31 == 0, F.array(F.lit("seeded"))).otherwise(F.array().cast("array<string>")).alias("poisoning_flags"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone import queries as found
+from siltstone import queries_evaluation as _evaluation  # noqa: F401 (registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

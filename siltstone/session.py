@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local runs) a fresh local one is set.
+    Only where a local session has none (tests) a fresh one is set; a cluster without one is an error,
+    as a folder of the driver's machine would hold nothing that executors see.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -16,7 +16,10 @@ EXCLUDED_NAMES = [
 ]
 EXCLUDED_EXTENSIONS = ["pem", "key", "pfx", "p12", "jks", "keystore", "env"]
 DOC_EXTENSIONS = ["md", "markdown", "txt", "text", "pdf"]
-CODE_EXTENSIONS = ["rs", "toml", "py", "ts", "js"]
+CODE_EXTENSIONS = ["rs", "py", "ts", "tsx"]
+REPOSITORY_DOC_EXTENSIONS = ["md", "markdown", "txt"]
+REPOSITORY_CODE_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "mjs", "cjs"]
+REPOSITORY_SKIPPED = [".git", "target", "node_modules", "dist", "build", "__pycache__"]
 MINIFIED_BYTES, PROBE_BYTES = 256 * 1024, 64 * 1024
 
 
@@ -46,7 +49,7 @@ def parser_for(path: Column) -> Column:
         F.when(file_name(path) == "Cargo.toml", "cargo_toml")
         .when(kind == "rs", "rust")
         .when(kind == "py", "python")
-        .when(kind.isin("ts", "tsx", "js", "jsx"), "typescript")
+        .when(kind.isin("ts", "tsx", "js", "jsx", "mjs", "cjs"), "typescript")
         .when(kind.isin("md", "markdown"), "markdown")
         .when(kind == "pdf", "pdf")
         .when(kind.isin("txt", "text"), "plain_text")
@@ -63,13 +66,11 @@ def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
 
 
 def looks_like_text(content: Column) -> Column:
-    """No NUL in the first 8192 bytes and at most a twentieth of other controls; 2 MiB at most."""
-    probe = F.hex(F.substring(content, 1, 8192))
-    pairs = F.regexp_replace(probe, "(..)", "$1 ")
-    nul = pairs.rlike("(?:^| )00 ")
-    odd = F.length(F.regexp_replace(pairs, "(?:0[1-8BCEF]|1[0-9A-F]|7F) ", "")) / 3
-    total = F.length(probe) / 2
-    return (F.length(content) <= 2 * 1024 * 1024) & ~nul & ((total - odd) * 100 <= total * 5)
+    """No NUL in the first 8192 bytes and at most a twentieth of other controls (below 0x20, but for tab, line feed,
+    vertical tab, form feed and carriage return); 2 MiB at most."""
+    probe = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")  # a character a byte
+    odd = F.length(F.regexp_replace(probe, r"[^\x01-\x08\x0E-\x1F]+", ""))
+    return (F.length(content) <= 2 * 1024 * 1024) & (F.instr(probe, "\0") == 0) & (odd * 100 <= F.length(probe) * 5)
 
 
 def selection(length: Column, probe: Column, max_bytes: int = 0, skip_minified: bool = True) -> Column:
@@ -78,16 +79,17 @@ def selection(length: Column, probe: Column, max_bytes: int = 0, skip_minified:
     return found.when(F.lit(skip_minified) & (length >= MINIFIED_BYTES) & (F.instr(F.substring(probe, 1, PROBE_BYTES), "\n") == 0), "minified").otherwise("index")
 
 
-def directory_features(files: DataFrame) -> DataFrame:
-    """Per ``directory`` of ``files (directory, extension, bytes, minified)``: counts, sizes and shares in ten-thousandths."""
+def directory_features(files: DataFrame, documents: list[str] = DOC_EXTENSIONS, code: list[str] = CODE_EXTENSIONS) -> DataFrame:
+    """Per ``directory`` of ``files (directory, extension, bytes, minified)``: counts, sizes and shares in ten-thousandths.
+    Files without an extension (empty) are no kind of their own."""
     by_kind = files.groupBy("directory", "extension").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("most"), F.sum(F.col("minified").cast("int")).alias("min"))
     total = by_kind.groupBy("directory").agg(
         F.sum("n").alias("file_count"),
         F.sum("b").alias("total_bytes"),
         F.max("most").alias("max_bytes"),
-        F.max("n").alias("most_of_one"),
-        F.sum(F.when(F.col("extension").isin(*DOC_EXTENSIONS), F.col("n")).otherwise(0)).alias("docs"),
-        F.sum(F.when(F.col("extension").isin(*CODE_EXTENSIONS), F.col("n")).otherwise(0)).alias("code"),
+        F.coalesce(F.max(F.when(F.col("extension") != "", F.col("n"))), F.lit(0)).alias("most_of_one"),
+        F.sum(F.when(F.col("extension").isin(*documents), F.col("n")).otherwise(0)).alias("docs"),
+        F.sum(F.when(F.col("extension").isin(*code), F.col("n")).otherwise(0)).alias("code"),
         F.sum("min").alias("minified"),
     )
     share = {"single_ext_share": "most_of_one", "doc_share": "docs", "code_share": "code", "minified_share": "minified"}
@@ -118,21 +120,53 @@ def blobs(files: DataFrame) -> DataFrame:
     return keyed.groupBy("digest").agg(F.first("bytes").alias("bytes"), F.count("*").alias("paths")).withColumn("place", F.concat_ws("/", F.substring("digest", 1, 2), "digest"))
 
 
-def meta_content(html: Column, name: str) -> Column:
-    """Content of the first ``<meta name|property=name content=...>``; empty if there is none."""
-    return F.regexp_extract(html, rf"""<meta\s+(?:name|property)=["']{name}["']\s+content=["']([^"']*)["']""", 1)
+#: An attribute of a tag: its name, then a quoted value (to the tag's end if the quote stays open) or a bare one.
+_ATTRIBUTE = r"""([A-Za-z:_][A-Za-z0-9:_-]*)[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*(?:"|$)|'[^']*(?:'|$)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*|)"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of a name, in any case and place; null if there is none, or its quote stays open."""
+    pairs = F.arrays_zip(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1).alias("k"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2).alias("v"))
+    value = F.get(F.filter(pairs, lambda x: F.lower(x["k"]) == name), F.lit(0))["v"]
+    quote = F.substring(value, 1, 1)
+    inner = F.substring(value, F.lit(2), F.length(value) - 2)
+    closed = (F.length(value) > 1) & value.endswith(quote)
+    return F.when(quote.isin('"', "'"), F.when(closed, inner)).otherwise(value)
+
+
+def metas(html: Column) -> Column:
+    """``(name, content)`` of all meta tags in order; the name in lower case, from ``name`` or else ``property``."""
+    tags = F.regexp_extract_all(html, F.lit("(?i)(<meta[^>]*>)"), 1)
+    return F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"))).alias("name"), attribute(t, "content").alias("content")))
+
+
+def meta_content(found: Column, name: str) -> Column:
+    """Trimmed content of the first of ``metas`` with a name; null if it is empty or there is none."""
+    content = F.get(F.filter(found, lambda m: m["name"] == name.lower()), F.lit(0))["content"]
+    return F.nullif(F.regexp_replace(content, r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+# Texts by which a page is taken as rendered by scripts or behind a paywall.
+DYNAMIC_MARKERS = ["__next_data__", "data-reactroot"]
+PAYWALL_MARKERS = ["subscribe to continue", "subscription required", "sign in to read", "paywall"]
 
 
 def web_metadata(pages: DataFrame) -> DataFrame:
-    """``page_id``, title, description, author, date, and the dynamic and paywall flags."""
+    """``page_id``, the dates that a page's meta tags give (the first name that has one), and its flags."""
     html = F.lower("html")
-    date = F.coalesce(*[F.nullif(meta_content(F.col("html"), n), F.lit("")) for n in ("article:published_time", "date", "datePublished")])
-    return pages.select(
+    dynamic = html.contains("<script") & html.contains("enable javascript")
+    for marker in DYNAMIC_MARKERS:
+        dynamic = dynamic | html.contains(marker)
+    paywalled = F.lit(False)
+    for marker in PAYWALL_MARKERS:
+        paywalled = paywalled | html.contains(marker)
+    found = pages.select("page_id", metas(F.col("html")).alias("metas"), dynamic.alias("is_dynamic"), paywalled.alias("is_paywalled"))
+    m = F.col("metas")
+    return found.select(
         "page_id",
-        F.nullif(F.trim(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), F.lit("")).alias("title"),
-        F.nullif(meta_content(F.col("html"), "description"), F.lit("")).alias("description"),
-        F.nullif(meta_content(F.col("html"), "author"), F.lit("")).alias("author"),
-        date.alias("published"),
-        (html.contains("enable javascript") | html.contains("<noscript")).alias("dynamic"),
-        html.contains("paywall").alias("paywall"),
+        F.coalesce(meta_content(m, "article:published_time"), meta_content(m, "datePublished")).alias("published_at"),
+        F.coalesce(meta_content(m, "article:modified_time"), meta_content(m, "dateModified")).alias("updated_at"),
+        meta_content(m, "dateEffective").alias("effective_at"),
+        "is_dynamic",
+        "is_paywalled",
     )

@@ -196,3 +196,35 @@ def test_gates(spark):
     assert {(r.query_id, r.ord) for r in governance.within_budget(rows, 5, 60).collect()} == {("q", 1), ("q", 2)}
     counters = spark.createDataFrame([("a", 3), ("b", 1)], "name string, next_id long")
     assert {(r.name, r.next_id) for r in governance.advanced_counters(counters, spark.createDataFrame([("a", 2), ("c", 9)], "name string, next_id long")).collect()} == {("a", 3), ("b", 1), ("c", 9)}
+
+
+def test_meta_tags_in_any_form(spark):
+    pages = [
+        "<META CONTENT='2026-07-20' PROPERTY = 'ARTICLE:PUBLISHED_TIME'>\n<meta CONTENT=\"2026-07-21\" name = 'dateModified'>\n<meta name='dateEffective' content='2026-07-22'>",
+        "<meta name=datePublished content=2026-07-23>",
+        "<meta name='datePublished' content='open>",
+        "<meta name='article:published_time' content=' '><meta name='datePublished' content='b'>",
+        None,
+    ]
+    got = files.web_metadata(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id").collect()
+    assert [(r.published_at, r.updated_at, r.effective_at) for r in got] == [("2026-07-20", "2026-07-21", "2026-07-22"), ("2026-07-23", None, None), (None, None, None), ("b", None, None), (None, None, None)]
+
+
+@pytest.mark.parametrize("ref, fine", [("a" * 40, True), ("A1B2C3D", True), ("HEAD", True), ("HEAD~", True), ("HEAD~2", True), ("HEAD^1", True), ("HEAD^2", True), ("", False), ("not-a-commit", False), ("a" * 6, False), ("g" * 40, False), ("HEAD~x", False), ("HEAD~1~1", False), ("a" * 41, False), ("HEAD\n", False)])
+def test_commit_references(spark, ref, fine):
+    assert value(spark, text.plausible_commit(F.lit(ref))) is fine
+
+
+def test_taint_inherits_a_scope_that_only_one_has(spark):
+    base = dict(k=1, trust_zone="Verified", authority="User", integrity="Verified", sensitivity="Public", review_status="Approved", scope_id=5, prompt_injection_risk=False, poisoning_flags=["a"], read_allowed=True, write_allowed=True)
+    rows = [base, base | dict(scope_id=None, write_allowed=False, review_status="Rejected"), base | dict(k=2), base | dict(k=2, scope_id=6), base | dict(k=3, scope_id=None)]
+    schema = "k int, trust_zone string, authority string, integrity string, sensitivity string, review_status string, scope_id long, prompt_injection_risk boolean, poisoning_flags array<string>, read_allowed boolean, write_allowed boolean"
+    got = {r.k: r for r in policy.taint(spark.createDataFrame([tuple(r.values()) for r in rows], schema), "k").collect()}
+    assert [got[k].scope_id for k in (1, 2, 3)] == [5, None, None]
+    assert got[1].write_allowed is False and got[1].review_status == "Rejected" and got[2].write_allowed is True
+
+
+def test_sniff(spark):
+    rows = [(0, b"\x0b\x0c\x7f" * 100), (1, b"\x01" * 5 + b"a" * 95), (2, b"\x01" * 6 + b"a" * 94), (3, b"a\x00b"), (4, b"a" * 8192 + b"\x00"), (5, b""), (6, "größe".encode()), (7, b"\xff\xfe\x80" * 9), (8, b"a" * ((2 << 20) + 1))]
+    got = spark.createDataFrame(rows, "i int, content binary").select("i", files.looks_like_text(F.col("content")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [True, True, False, False, True, True, True, True, False]
