@@ -199,8 +199,8 @@ def query(table: DataFrame, condition: Column, limit: int) -> DataFrame:
     """Matches in the order of file, line and qualified name with how many matched in all."""
     found = table.filter(condition)
     order = [F.col("file_path"), F.col("start_line"), F.col("qualified_name"), F.col("record_id")]
-    total = found.agg(F.count("*").alias("matched"))
-    return found.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("matched") > limit)
+    total = found.count()
+    return found.orderBy(*order).limit(limit).withColumn("matched", F.lit(total).cast("long")).withColumn("truncated", F.lit(total > limit))
 
 
 def changed(table: DataFrame, files: DataFrame) -> DataFrame:

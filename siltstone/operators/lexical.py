@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,18 +34,68 @@ def bm25(docs: DataFrame, terms: list[str], allowed: DataFrame | None = None, id
     """``id, score`` of documents with any of the distinct ``terms``.
 
     Statistics are those of all of ``docs``; ``allowed`` (ids) is semi-joined before
-    scoring, so a filter changes which documents are ranked but not their scores.
-    One row of statistics and one a query term are broadcast.
+    scoring, so a filter changes which documents are ranked but not their scores. For
+    texts that are searched once; others are better written as ``Postings``.
     """
-    terms = sorted(set(terms))
-    found = postings(docs, id_col, text_col, terms)
-    stats = corpus_stats(docs, id_col, text_col)
-    weights = document_frequency(found).crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    if allowed is not None:
-        found = found.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
-    scored = found.join(F.broadcast(weights), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"))
+    stats = corpus_stats(docs, id_col, text_col).first()
+    once = Postings(postings(docs, id_col, text_col, sorted(set(terms))), stats.n, stats.avgdl or 0.0)
+    return once.search({0: terms}, allowed).select("id", "score")
+
+
+@dataclass(frozen=True)
+class Postings:
+    """A written full-text index of one field: ``rows (id, dl, term, tf)`` sorted by term, so that a scan for a few
+    terms reads a few row groups, and the corpus's document count and mean length."""
+
+    rows: DataFrame
+    n: int
+    avgdl: float
+
+    @staticmethod
+    def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Postings:
+        """Tokenize once, count within documents, sort by term."""
+        spark = docs.sparkSession
+        made = postings(docs, id_col, text_col)
+        made.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        # a document without words has no postings, but counts
+        corpus_stats(docs, id_col, text_col).write.parquet(f"{path}/stats")
+        return Postings.read(spark, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Postings:
+        stats = spark.read.parquet(f"{path}/stats").first()
+        return Postings(spark.read.parquet(f"{path}/postings"), stats.n, stats.avgdl or 0.0)
+
+    def search(self, terms: dict[int, list[str]], allowed: DataFrame | None = None) -> DataFrame:
+        """``q, id, score``: BM25 of all queries (their number and words) in one scan and one aggregate. ``allowed``
+        ids are semi-joined before anything is scored; statistics are those of the whole corpus."""
+        askers: dict[str, list[int]] = {}
+        for q, words in terms.items():
+            for w in dict.fromkeys(words):
+                askers.setdefault(w, []).append(q)
+        found = self.rows.filter(F.col("term").isin(*askers)) if askers else self.rows.limit(0)
+        counts = {r.term: r["count"] for r in found.groupBy("term").count().collect()}  # a row a query's word
+        if not counts:
+            return self.rows.sparkSession.createDataFrame([], self.schema())
+        weights = {t: math.log(1 + (self.n - df + 0.5) / (df + 0.5)) for t, df in counts.items()}
+        idf = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w)])
+        who = F.create_map(*[x for t in weights for x in (F.lit(t), F.array(*[F.lit(q) for q in askers[t]]))])
+        if allowed is not None:
+            found = found.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
+        part = idf[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(self.avgdl) or 1.0)))
+        scored = found.select("id", part.alias("part"), F.explode(who[F.col("term")]).alias("q"))
+        return scored.groupBy("q", "id").agg(F.sum("part").alias("score"))
+
+    def schema(self) -> str:
+        return f"q int, id {self.rows.schema['id'].dataType.simpleString()}, score double"
+
+
+def best_of_each(scored: DataFrame, k: int) -> DataFrame:
+    """``q, id, score_milli, rank``: the first k of each query of ``scored (q, id, score)``; the window's limit is
+    pushed before its shuffle."""
+    rows = scored.select("q", "id", F.round(F.col("score") * 1000).cast("long").alias("score_milli"))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score_milli"), "id"))
+    return rows.withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
 def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:

@@ -197,15 +197,16 @@ def golden_comparison(baseline: DataFrame, candidate: DataFrame, material: int =
     ``material`` or more (five points at least), no mean and no query got worse, no cost rose, and telemetry and budgets
     are complete."""
 
-    def means(df: DataFrame, prefix: str) -> DataFrame:
-        mean = [F.floor(F.sum(c) / F.count("*")).alias(f"{prefix}_{c}") for c in QUALITIES]
-        # a cost that one report lacks is unknown
-        return df.agg(*mean, *[F.when(F.count(c) == F.count("*"), F.sum(c)).alias(f"{prefix}_{c}") for c in COSTS])
-
     old, new = baseline.alias("o"), candidate.alias("n")
+    both = old.join(new, F.col("o.query_id") == F.col("n.query_id"), "full_outer")
     worse = reduce(lambda a, b: a | b, [F.col(f"n.{c}") < F.col(f"o.{c}") for c in QUALITIES])
-    fell = old.join(new, F.col("o.query_id") == F.col("n.query_id")).agg(F.coalesce(F.bool_or(worse), F.lit(False)).alias("query_fell"))
-    one = means(baseline, "o").crossJoin(means(candidate, "n")).crossJoin(fell)  # one row each
+    folded = [F.coalesce(F.bool_or(worse), F.lit(False)).alias("query_fell")]
+    for p in "on":
+        reports = F.count(f"{p}.query_id")
+        folded += [F.floor(F.sum(f"{p}.{c}") / reports).alias(f"{p}_{c}") for c in QUALITIES]
+        # a cost that one report lacks is unknown
+        folded += [F.when(F.count(f"{p}.{c}") == reports, F.sum(f"{p}.{c}")).alias(f"{p}_{c}") for c in COSTS]
+    one = both.agg(*folded)
     pair = lambda c: (F.col(f"o_{c}"), F.col(f"n_{c}"))
     bad = [F.when(n < o, F.lit(f"mean_{c}")) for c in QUALITIES for o, n in [pair(c)]]
     bad += [F.when(F.coalesce(n > o, F.lit(False)), F.lit(c)) for c in COSTS for o, n in [pair(c)]]

@@ -48,15 +48,16 @@ def _select(rows: pd.DataFrame, needs: Requirements, max_results: int) -> pd.Dat
     chosen: list[tuple] = []
     sources, documents, sections, covered, clusters = set(), set(), set(), set(), set()
     stop, stale = None, []
+    required = set(needs.required_keys)
     for r in rows.itertuples():
-        if max_results and len([c for c in chosen if c[2] == "Selected"]) >= max_results:
+        if max_results and len(stale) >= max_results:
             stop = "ResultsLimit"
             break
         keys = set(r.coverage_keys) if r.coverage_keys is not None else set()
         if pd.notna(r.dup_cluster) and r.dup_cluster in clusters:
             chosen.append((r.evidence_id, r.rank, "Duplicate", 0))
             continue
-        gain = (r.source not in sources) + (r.document not in documents) + (r.section not in sections) + len((keys & set(needs.required_keys)) - covered)
+        gain = (r.source not in sources) + (r.document not in documents) + (r.section not in sections) + len((keys & required) - covered)
         if gain == 0 and needs.met(covered, len(sources), len(documents), len(sections)):
             stop = "LowMarginalGain"  # the scan ends here, it doesn't skip
             break
@@ -68,7 +69,7 @@ def _select(rows: pd.DataFrame, needs: Requirements, max_results: int) -> pd.Dat
             clusters.add(r.dup_cluster)
         stale.append(r.freshness == "Stale")
         chosen.append((r.evidence_id, r.rank, "Selected", gain))
-    n = sum(c[2] == "Selected" for c in chosen)
+    n = len(stale)
     met = needs.met(covered, len(sources), len(documents), len(sections))
     stop = stop or ("NoEvidence" if not n else "ResultsLimit" if max_results and n >= max_results else "EvidenceComplete" if met else "RequirementsUnmet")
     matched = sum(k in covered for k in needs.required_keys)

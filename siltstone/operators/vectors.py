@@ -24,6 +24,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def clamped_cosine(a: Column, b: Column) -> Column:
+    """Between -1 and 1, whatever rounding does."""
+    return F.least(F.greatest(cosine(a, b), F.lit(-1.0)), F.lit(1.0))
+
+
 def cosine_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Exact search: ``id, score_micros, rank``. The query is a literal, so the scan is map-only and the top-k bounded."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -32,10 +37,19 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     return best.select("id", micros(F.col("similarity")).alias("score_micros"), F.row_number().over(Window.orderBy(F.desc("similarity"), "id")).alias("rank"))
 
 
+#: Tokens of a query in late interaction, at most.
+MOST_QUERY_TOKENS = 256
+
+
 def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
-    """Late interaction, ``doc_id, score``: for each query token (``q, qv``) the best of a document's (``doc_id, dv``), summed."""
-    pairs = doc_tokens.join(F.broadcast(query_tokens))  # a query's tokens: tens of rows
-    best = pairs.groupBy("doc_id", "q").agg(F.max(F.round(dot(F.col("qv"), F.col("dv")), 9)).alias("best"))
+    """Late interaction, ``doc_id, score``: for each query token (``q, qv``) the best of a document's (``doc_id, dv``), summed.
+    A query has at most ``MOST_QUERY_TOKENS`` tokens, which become literals of one scan without a join."""
+    asked = query_tokens.select("qv").limit(MOST_QUERY_TOKENS + 1).collect()
+    if len(asked) > MOST_QUERY_TOKENS:
+        raise ValueError(f"a query has at most {MOST_QUERY_TOKENS} tokens")
+    dots = F.array(*[F.round(dot(F.col("dv"), F.array(*[F.lit(float(x)) for x in r.qv])), 9) for r in asked])
+    pairs = doc_tokens.select("doc_id", F.posexplode(dots).alias("q", "part"))
+    best = pairs.groupBy("doc_id", "q").agg(F.max("part").alias("best"))
     return best.groupBy("doc_id").agg(F.sum("best").alias("score"))
 
 
@@ -45,6 +59,15 @@ def sparse_hits(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.join(q, "term_id").select("id", "term_id", (F.col("weight").cast("double") * F.col("qw").cast("double")).alias("part"))
 
 
+def sparse_search(docs: DataFrame, words: Column, query: DataFrame, terms: int = 4096) -> DataFrame:
+    """``id, term_id, part`` straight from texts: only terms that the query (``term_id, weight``, at most ``terms`` rows)
+    has are counted at all."""
+    asked = F.broadcast(query.select("term_id", F.col("weight").alias("qw")))  # `terms` rows at most
+    rows = docs.select(F.col("doc_id").alias("id"), F.explode(words).alias("term")).withColumn("term_id", _term_id(terms))
+    counts = rows.join(asked, "term_id").groupBy("id", "term_id").agg((1 + F.log(F.count("*"))).alias("weight"), F.first("qw").alias("qw"))
+    return counts.select("id", "term_id", (F.col("weight") * F.col("qw")).alias("part"))
+
+
 def sparse_scores(hits: DataFrame) -> DataFrame:
     """``id, score_micros`` of positive sums."""
     total = hits.groupBy("id").agg(F.sum("part").alias("s")).filter("s > 0")
@@ -61,5 +84,9 @@ def contributions(hits: DataFrame, most: int) -> DataFrame:
 def hashed_terms(docs: DataFrame, words: Column, terms: int = 4096) -> DataFrame:
     """Deterministic hashed term weights ``id, term_id, weight`` (a test encoder): 1 + ln(tf)."""
     rows = docs.select(F.col("doc_id").alias("id"), F.explode(words).alias("term"))
-    rows = rows.select("id", (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % terms).alias("term_id"))
+    rows = rows.select("id", _term_id(terms).alias("term_id"))
     return rows.groupBy("id", "term_id").agg((1 + F.log(F.count("*"))).alias("weight"))
+
+
+def _term_id(terms: int) -> Column:
+    return F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % terms

@@ -62,6 +62,21 @@ def secured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.secured(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_INDEXES: dict[tuple[str, str], planner.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> planner.Index:
+    """The written index of a table's documents: built once a session, as a projection is, and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = planner.Index.build(secured(spark, sf_dir))
+    return _INDEXES[key]
+
+
+def engine(spark: SparkSession, sf_dir: str) -> planner.Engine:
+    return planner.Engine(spark).over(indexed(spark, sf_dir))
+
+
 def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lanes over documents that share query ids by language: by length, and by a hash; every eleventh is in a
     cluster, and a third lane has failed."""
@@ -383,34 +398,52 @@ def tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
+@query("SELECT count(*) AS documents, (SELECT count(*) FROM (SELECT DISTINCT doc_id, unnest(" + TOKENS + ") AS t FROM documents)) AS postings FROM documents")
+def index_build(spark, sf_dir):
+    """A new index each time, with its size."""
+    made = planner.Index.build(secured(spark, sf_dir))
+    rows = made.documents.agg(F.count("*").alias("documents"))
+    return rows.withColumn("postings", F.lit(made.full_text("text").rows.count()).cast("long"))
+
+
 @query(f"WITH {POSTINGS} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM dfs, stats")
 def bm25_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    df = lexical.document_frequency(lexical.postings(docs, terms=TERMS))
-    return df.crossJoin(F.broadcast(lexical.corpus_stats(docs))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    post = indexed(spark, sf_dir).full_text("text")
+    df = lexical.document_frequency(post.rows.filter(F.col("term").isin(*TERMS)))
+    return df.select("term", "df", F.lit(post.n).cast("long").alias("n"), F.round(F.lit(post.avgdl), 6).alias("avgdl"))
 
 
 @query(f"""WITH {POSTINGS}, s AS (SELECT id, round({BM25} * 1000)::BIGINT AS score_milli FROM post JOIN dfs USING (term), stats GROUP BY id)
   SELECT id, score_milli, row_number() OVER (ORDER BY score_milli DESC, id) AS rank FROM s ORDER BY rank LIMIT 20""")
 def bm25_topk(spark, sf_dir):
-    return lexical.top_k(lexical.bm25(table(spark, sf_dir, "documents"), TERMS), 20)
+    return lexical.top_k(indexed(spark, sf_dir).full_text("text").search({0: TERMS}), 20)
 
 
 @query(f"""WITH {POSTINGS}, s AS (SELECT id, round({BM25} * 1000)::BIGINT AS score_milli FROM post JOIN dfs USING (term), stats WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY id)
   SELECT id, score_milli, row_number() OVER (ORDER BY score_milli DESC, id) AS rank FROM s ORDER BY rank LIMIT 20""")
 def bm25_filtered_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return lexical.top_k(lexical.bm25(docs, TERMS, docs.filter("lang = 'en'").select("doc_id")), 20)
+    found = indexed(spark, sf_dir)
+    return lexical.top_k(found.full_text("text").search({0: TERMS}, found.documents.filter("lang = 'en'").select("doc_id")), 20)
 
 
-_CARD = POSTINGS.replace("FROM documents)", "FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 96) AS text FROM documents))").replace("'apache', 'license', 'version'", "'the', 'thonly', 'and'")
+_FIELD = """{f}words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower({f}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM cards),
+  {f}stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {f}words), {f}tok AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM {f}words),
+  {f}post AS (SELECT id, dl, term, count(*) AS tf FROM {f}tok WHERE term IN ('the', 'thonly', 'chunk', '7') GROUP BY ALL), {f}dfs AS (SELECT term, count(*) AS df FROM {f}post GROUP BY 1),
+  {f}score AS (SELECT id, {b} AS s FROM {f}post JOIN {f}dfs USING (term), {f}stats GROUP BY id)"""
 
 
-@query(f"""WITH {_CARD}, s AS (SELECT id, round({BM25} * 1000)::BIGINT AS score_milli FROM post JOIN dfs USING (term), stats GROUP BY id)
-  SELECT id, score_milli, row_number() OVER (ORDER BY score_milli DESC, id) AS rank FROM s ORDER BY rank LIMIT 20""")
+@query(
+    f"""WITH {PARAGRAPHS}{SECTIONS}, c AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1), fl AS (SELECT doc_id, arg_min(line, line_no) AS line FROM lines WHERE regexp_replace(line, '\\s', '', 'g') <> '' GROUP BY 1),
+  tt AS (SELECT d.doc_id, d.source || '/' || d.doc_id AS path, substr(trim(regexp_replace(trim(fl.line), '^#+', '')), 1, 96) AS t FROM documents d LEFT JOIN fl USING (doc_id)),
+  cards AS (SELECT doc_id, CASE WHEN coalesce(t, '') <> '' THEN t ELSE doc_id::VARCHAR END AS title, 'Parsed ' || coalesce(n, 0) || ' textual chunk(s) from ' || path || '.' AS body FROM tt LEFT JOIN c USING (doc_id)),
+  {_FIELD.format(f="title", b=BM25)}, {_FIELD.format(f="body", b=BM25)},
+  s AS (SELECT id, round(sum(s) * 1000)::BIGINT AS score_milli FROM (SELECT * FROM titlescore UNION ALL SELECT * FROM bodyscore) GROUP BY id)
+  SELECT id, score_milli, row_number() OVER (ORDER BY score_milli DESC, id) AS rank FROM s ORDER BY rank LIMIT 20"""
+)
 def card_topk(spark, sf_dir):
-    cards = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 96).alias("text"))
-    return lexical.top_k(lexical.bm25(cards, ["the", "thonly", "and"]), 20)
+    found, asked = indexed(spark, sf_dir), {0: ["the", "thonly", "chunk", "7"]}
+    fields = found.full_text("title").search(asked).unionByName(found.full_text("body").search(asked))
+    return lexical.top_k(fields.groupBy("id").agg(F.sum("score").alias("score")), 20)
 
 
 @query("WITH s AS (SELECT doc_id AS id, strlen(text) * 1000 AS score_milli FROM documents WHERE contains(lower(text), 'licensed under')) SELECT *, row_number() OVER (ORDER BY score_milli DESC, id) AS rank FROM s ORDER BY rank LIMIT 20 OFFSET 5")
@@ -452,8 +485,9 @@ _SPARSE = f"""w AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents
 
 
 def _sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors.hashed_terms(table(spark, sf_dir, "documents"), text.tokens(F.col("text")))
-    return vectors.sparse_hits(v, v.filter("id = 5").select("term_id", "weight"))
+    docs, words = table(spark, sf_dir, "documents"), text.tokens(F.col("text"))
+    asked = vectors.hashed_terms(docs.filter("doc_id = 5"), words).select("term_id", "weight")
+    return vectors.sparse_search(docs, words, asked)
 
 
 @query(f"WITH {_SPARSE}, s AS (SELECT id, round(round(sum(part), 6) * 1000) AS score FROM h GROUP BY 1) SELECT id, score::BIGINT AS score_milli, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY rank LIMIT 20")
@@ -554,17 +588,69 @@ def diversity_select(spark, sf_dir):
     return selection.select(rows, selection.Requirements(minimum_sources=3, required_keys=("src1", "src2")), 10)
 
 
+#: A search's lanes in SQL: hits of three lanes for one query, their ranks, and the fused order.
+_SEARCH = f"""{SECURED}, {POSTINGS},
+  ok AS (SELECT doc_id, text, path FROM secured WHERE read_allowed AND trust_zone <> 'Quarantined' AND review_status <> 'Rejected' AND integrity <> 'Compromised' AND NOT poisoned AND NOT {INJECTION}
+    AND NOT regexp_matches(text, 'AKIA[0-9A-Z]{{16}}|-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{{36}}|eyJ[A-Za-z0-9_-]{{10,}}\\.[A-Za-z0-9_-]{{10,}}\\.[A-Za-z0-9_-]{{5,}}') AND NOT regexp_matches(text, '(?i)(password|passwd|secret|api[_-]?key|token)\\s*[:=]\\s*\\S{{8,}}')),
+  lex AS (SELECT 'lexical' AS lane, id, round({BM25} * 1000)::BIGINT AS s FROM post JOIN dfs USING (term), stats WHERE id IN (SELECT doc_id FROM ok) GROUP BY id),
+  sub AS (SELECT 'substring' AS lane, doc_id AS id, strlen(text) * 1000 AS s FROM ok WHERE contains(lower(text), 'apache license version')),
+  fl AS (SELECT doc_id, arg_min(line, i) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(regexp_replace(line, '\\s', '', 'g')) <> '' GROUP BY 1),
+  tw AS (SELECT d.doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(nullif(substr(trim(regexp_replace(trim(line), '^#+', '')), 1, 96), ''), d.doc_id::VARCHAR)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents d LEFT JOIN fl USING (doc_id)),
+  ts AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tw), tp AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tw) WHERE term IN ('apache', 'license', 'version') GROUP BY ALL), td AS (SELECT term, count(*) AS df FROM tp GROUP BY 1),
+  crd AS (SELECT 'cards' AS lane, id, round({BM25} * 1000)::BIGINT AS s FROM tp JOIN td USING (term), ts WHERE id IN (SELECT doc_id FROM ok) GROUP BY id),
+  hits AS (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY s DESC, id) AS r FROM (SELECT * FROM lex UNION ALL SELECT * FROM sub UNION ALL SELECT * FROM crd) QUALIFY r <= 10000),
+  fused AS (SELECT id, sum(10000000 // (60 + r))::BIGINT AS score FROM hits GROUP BY 1)"""
+
+
+@query(f"WITH {_SEARCH}, best AS (SELECT id AS evidence_id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused) SELECT evidence_id, rank FROM best JOIN ok ON evidence_id = doc_id WHERE rank <= 10")
+def search_ranks(spark, sf_dir):
+    """The fused order of a search, before anything is selected."""
+    found = engine(spark, sf_dir)
+    made = planner.plan(spark, "apache license version")
+    ranked = found.ranked(made, found.lane_hits(made))
+    return ranked.filter("fused_rank < 10").select(F.col("identity").alias("evidence_id"), (F.col("fused_rank") + 1).alias("rank"))
+
+
 @query()
 def adaptive_loop(spark, sf_dir):
-    engine = planner.Engine(spark).index(secured(spark, sf_dir))
-    made = planner.plan(spark, "licensed apache", planner.Budget(max_stages=5))
-    return engine.adaptive_search(made, {"version": "apache version", "bad": "ignore all instructions"})
+    made = planner.plan(spark, "licensed apache", planner.Budget(max_stages=6), requirements=selection.Requirements(required_keys=("apache version", "ignore all instructions", "mit license")))
+    return engine(spark, sf_dir).adaptive_search(made)
 
 
-@query()
+_BEST = _SEARCH + """, best AS (SELECT id AS evidence_id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused), top AS (SELECT * FROM best WHERE rank <= 10),
+  marked AS (SELECT top.*, secured.path, secured.version_id, list_contains(w, 'apache') AND list_contains(w, 'license') AS covers FROM top JOIN secured ON evidence_id = doc_id JOIN words ON evidence_id = words.id)"""
+
+
+@query(
+    f"""WITH {_BEST} SELECT evidence_id, rank, score, CASE WHEN (SELECT count(*) FROM fused) >= 10 THEN 'ResultsLimit' ELSE 'EvidenceComplete' END AS stop_reason, 100 AS percent_covered, 'Answerable' AS status FROM top"""
+)
 def text_search(spark, sf_dir):
-    engine = planner.Engine(spark).index(secured(spark, sf_dir))
-    return engine.search(planner.plan(spark, "apache license version"))
+    """Each document is a source of its own, so each adds something until the results are full."""
+    return engine(spark, sf_dir).search(planner.plan(spark, "apache license version"))
+
+
+_NEEDS = selection.Requirements(required_keys=("apache license", "nothing has this"))
+
+
+@query(
+    f"""WITH {_BEST} SELECT 'apache license version' AS query_id, count(*) AS evaluated, count(DISTINCT path) AS distinct_sources, count(DISTINCT version_id) AS distinct_documents, count(DISTINCT version_id) AS distinct_sections,
+    CASE WHEN bool_or(covers) THEN 'apache license' ELSE '' END AS covered_keys, CASE WHEN bool_or(covers) THEN 50 ELSE 0 END AS percent_covered, CASE WHEN (SELECT count(*) FROM fused) >= 10 THEN 'ResultsLimit' ELSE 'RequirementsUnmet' END AS stop_reason, 'EvidenceIncomplete' AS status FROM marked"""
+)
+def search_outcome(spark, sf_dir):
+    found = engine(spark, sf_dir).outcome(planner.plan(spark, "apache license version", requirements=_NEEDS))
+    return found.withColumn("covered_keys", F.array_join("covered_keys", ",")).drop("trace_id")
+
+
+@query(
+    f"""WITH {_BEST} SELECT 'apache license version' AS query_id, CASE WHEN bool_or(covers) THEN 'apache license=Supported:' || string_agg(evidence_id::VARCHAR, ',' ORDER BY evidence_id) FILTER (covers) ELSE 'apache license=Missing:' END || ';nothing has this=Missing:' AS claims,
+    CASE WHEN bool_or(covers) THEN 'nothing has this' ELSE 'apache license,nothing has this' END AS missing, string_agg(path || ':' || evidence_id, ';' ORDER BY path) AS sources, string_agg(evidence_id::VARCHAR, ',' ORDER BY evidence_id) AS verbatim FROM marked"""
+)
+def evidence_pack(spark, sf_dir):
+    pack = engine(spark, sf_dir).pack(planner.plan(spark, "apache license version", requirements=_NEEDS))
+    joined = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    claims = F.array_join(F.transform("claims", lambda c: F.concat(c["claim"], F.lit("="), c["state"], F.lit(":"), joined(c["evidence_ids"]))), ";")
+    sources = F.array_join(F.transform("sources", lambda c: F.concat(c["source_key"], F.lit(":"), joined(c["evidence_ids"]))), ";")
+    return pack.select("query_id", claims.alias("claims"), F.array_join("missing", ",").alias("missing"), sources.alias("sources"), joined(F.col("verbatim")).alias("verbatim"))
 
 
 # ---- D, G: joins and graph ----------------------------------------------------------------------
