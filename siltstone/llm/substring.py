@@ -26,7 +26,7 @@ from siltstone.session import scratch
 
 #: Super-k-mers of one minimiser from which its windows are dealt one by one.
 HOT = 2000
-#: Windows of a super-k-mer, at most: a longer run of one minimiser is cut.
+#: Windows of a packed string, at most: a longer super-k-mer is cut, and what it loses is joined again in its bucket.
 RUN = 64
 #: Packed bytes that a task gathers before it hands them on.
 GATHER_BYTES = 16 << 20
@@ -36,8 +36,8 @@ _CLASS = spans.space_class()
 _LAST = (1 << 63) - 1  # where a null doc_id sorts
 
 
-def _runs(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """Super-k-mers of a chunk: (row, first word, windows, minimiser), and the words' spans."""
+def _runs(part: pa.RecordBatch, window: int, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """Super-k-mers of a chunk, cut at ``most`` windows: (row, first word, windows, minimiser), and the words' spans."""
     data, offsets = spans.text_buffer(part.column("text"))
     starts, ends, first = spans.word_spans(data, offsets, _CLASS)
     gram = min(GRAM, window)
@@ -49,9 +49,10 @@ def _runs(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     begins[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     begins = np.flatnonzero(begins)
     sizes = np.diff(np.append(begins, len(at)))
-    pieces = -(-sizes // RUN)
-    begins = np.repeat(begins, pieces) + RUN * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    sizes = np.diff(np.append(begins, len(at)))
+    if most:
+        pieces = -(-sizes // most)
+        begins = np.repeat(begins, pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        sizes = np.diff(np.append(begins, len(at)))
     return owner[begins], at[begins], sizes, least[begins], data, starts, ends, first
 
 
@@ -60,6 +61,17 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.monotonically_increasing_id().alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _joined(ranges: np.ndarray) -> np.ndarray:
+    """Ranges (row, begin, end) of a bucket, those that touch as one."""
+    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
+    row, begin, end = ranges.T
+    fresh = np.ones(len(row), bool)
+    # a run of one minimiser has its ranges in order and of like length, so the one before decides
+    fresh[1:] = (row[1:] != row[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(fresh)
+    return np.stack([row[first], begin[first], np.maximum.reduceat(end, first)], axis=1)
+
+
 def _ids(part: pa.RecordBatch) -> pa.Array:
     return part.column("doc_id").fill_null(_LAST)
 
@@ -103,7 +115,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
 
         for batch in batches:
             for part in spans.chunks(batch, "text"):
-                row, word, sizes, least, data, starts, ends, first = _runs(part, window)
+                row, word, sizes, least, data, starts, ends, first = _runs(part, window, RUN)
                 ask = []
                 for name in ("keys", "hot_keys"):
                     lists = part.column(name)
@@ -145,7 +157,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
 
         def close() -> None:
             """Windows of a bucket, sorted, so that equal ones are neighbours. A bucket that isn't hot has at most ``hot``
-            super-k-mers of at most RUN windows."""
+            super-k-mers, and equal strings of a long one once a task."""
             windows, low, sizes = [], [], []
             for text, places in group:
                 words = text.split(b" ")
@@ -162,7 +174,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
                 equal = order[at:to]
                 least_of[equal] = min(low[i] for i in equal)
                 at = to
-            at = 0
+            at, found = 0, []
             for (_, places), n in zip(group, sizes, strict=True):
                 start = least_of[at : at + n]
                 at += n
@@ -171,7 +183,9 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
                     if len(bad):
                         gap = np.flatnonzero(np.diff(bad) > 1)
                         begin, end = bad[np.concatenate([[0], gap + 1])], bad[np.append(gap, len(bad) - 1)]
-                        out.append(np.stack([np.full(len(begin), row), begin + first, end + first + window], axis=1))
+                        found.append(np.stack([np.full(len(begin), row), begin + first, end + first + window], axis=1))
+            if found:
+                out.append(_joined(np.concatenate(found)))
             group.clear()
 
         def ready() -> pa.RecordBatch:
