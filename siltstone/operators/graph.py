@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges at either end of ``nodes (node)``: a union of two equi joins, each edge once per node."""
@@ -16,22 +18,80 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``node, depth`` reached from ``seeds (node)`` over undirected edges, seeds at depth 0.
+#: Bounds of a context that a request may ask for.
+MAX_DEPTH, MAX_NODES, MAX_VISITS = 16, 1024, 16_384
+
+
+def _ends(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+    """``from_, to_, id, kind, src, dst``: the steps that a direction and kinds of relations allow."""
+    some = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
+    out = some.select(F.col("src").alias("from_"), F.col("dst").alias("to_"), "id", "kind", "src", "dst")
+    back = some.select(F.col("dst").alias("from_"), F.col("src").alias("to_"), "id", "kind", "src", "dst")
+    return out if direction == "outgoing" else back if direction == "incoming" else out.unionByName(back.filter("src <> dst"))
+
+
+def expand(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+    """``node, depth`` reached from ``seeds (node)``, seeds at depth 0.
 
-    max_depth is the number of rounds (a plan has four at most): each is an equi join of
-    the frontier and an anti join against what was visited.
+    Each round is an equi join of the frontier and an anti join against what was visited;
+    the frontier is cut, so the plan grows by one scan a round. It ends when nothing is new.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    steps = _ends(edges, direction, kinds).select("from_", "to_")
+    front = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = front
     for depth in range(1, max_depth + 1):
-        reached = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
-        front = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        reached = front.join(steps, front["node"] == steps["from_"]).select(F.col("to_").alias("node")).distinct()
+        front = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def context(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 64, direction: str = "both", kinds: list[str] | None = None, max_visits: int = MAX_VISITS) -> tuple[DataFrame, DataFrame, bool]:
+    """Bounded context of ``seeds (node)``: nodes ``node, depth, seeds``, relations ``id, kind, src, dst, depth`` and whether
+    a bound cut anything.
+
+    A node's seeds are all that reach it within the depth. Beyond the bound, nodes count in the
+    order in which they are met: by the node they are met from, then kind, source and target.
+    Relations are visited in that order as well, ``max_visits`` of them in all.
+    """
+    steps, nodes_left, visits_left = _ends(edges, direction, kinds), min(max_nodes, MAX_NODES), max_visits
+    order = [F.col(c) for c in ("from_", "kind", "src", "dst", "id")]
+    start = seeds.select("node").distinct().orderBy("node")
+    n, truncated = start.count(), False
+    if n > nodes_left:
+        start, n, truncated = start.limit(nodes_left), nodes_left, True
+    front = cut(start.select("node", F.col("node").alias("seed")))
+    pairs, known, relations = front, cut(front.select("node", F.lit(0).alias("depth"))), None
+    nodes_left -= n
+    for depth in range(1, min(max_depth, MAX_DEPTH) + 1):
+        met = front.join(steps, front["node"] == steps["from_"]).drop("node")
+        n = met.select(F.count_distinct("from_", "id")).first()[0]
+        if n > visits_left:  # a bounded number of relations
+            first = met.select("from_", "kind", "src", "dst", "id").distinct().orderBy(*order).limit(visits_left)
+            met, n, truncated = met.join(first.select("from_", "id"), ["from_", "id"], "left_semi"), visits_left, True
+        visits_left -= n
+        met = cut(met)
+        fresh = met.join(known.select(F.col("node").alias("to_")), "to_", "left_anti").groupBy("to_").agg(F.min(F.struct("from_", "kind", "src", "dst", "id")).alias("at"))
+        n = fresh.count()
+        if n > nodes_left:
+            fresh, n, truncated = fresh.orderBy("at", "to_").limit(nodes_left), nodes_left, True
+        nodes_left -= n
+        known = cut(known.unionByName(fresh.select(F.col("to_").alias("node"), F.lit(depth).alias("depth"))))
+        kept = met.join(known.select(F.col("node").alias("to_")), "to_", "left_semi")
+        reached = kept.select("id", "kind", "src", "dst", F.lit(depth).alias("depth")).distinct()
+        relations = reached if relations is None else relations.unionByName(reached)
+        front = cut(kept.select(F.col("to_").alias("node"), "seed").distinct().join(pairs, ["node", "seed"], "left_anti"))
+        pairs = pairs.unionByName(front)
+        if front.isEmpty():
+            break
+    by_node = pairs.groupBy("node").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
+    none = steps.select("id", "kind", "src", "dst", F.lit(0).alias("depth")).limit(0)
+    found = none if relations is None else relations.groupBy("id", "kind", "src", "dst").agg(F.min("depth").alias("depth"))
+    return known.join(by_node, "node"), found, truncated
+
+
 def path_scores(edges: DataFrame, ranked_seeds: DataFrame) -> DataFrame:
     """First-hop scores ``other, score``: the best over seeds (``node, seed_rank``) and edges."""
     met = neighbours(edges, ranked_seeds)
@@ -46,11 +106,14 @@ def graph_score(confidence_milli: Column, seed_rank: Column, depth: Column) -> C
 
 
 def lineage(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``node, seed, depth``: least depth at which each seed reaches each node over directed edges."""
-    seen = seeds.select("node", F.col("node").alias("seed"), F.lit(0).alias("depth"))
-    front = seen
+    """``node, seed, depth``: least depth at which each seed reaches each node over directed edges; each round is cut."""
+    steps = _ends(edges, "outgoing").select("from_", "to_")
+    front = cut(seeds.select("node", F.col("node").alias("seed"), F.lit(0).alias("depth")))
+    seen = front
     for depth in range(1, max_depth + 1):
-        reached = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), "seed").distinct()
-        front = reached.join(seen.select("node", "seed"), ["node", "seed"], "left_anti").withColumn("depth", F.lit(depth))
+        reached = front.join(steps, front["node"] == steps["from_"]).select(F.col("to_").alias("node"), "seed").distinct()
+        front = cut(reached.join(seen.select("node", "seed"), ["node", "seed"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen

@@ -681,14 +681,31 @@ def graph_path_scores(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES}, walk AS (SELECT 'order:' || o_orderkey AS node, 'order:' || o_orderkey AS seed, 0 AS depth FROM orders WHERE o_orderkey % 100 = 0
+    f"""WITH RECURSIVE {EDGES}, walk AS (SELECT 'order:' || o_orderkey AS node, 'order:' || o_orderkey AS seed, 0 AS depth FROM orders
   UNION SELECT e.dst, w.seed, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3) SELECT node, seed, min(depth) AS depth FROM walk GROUP BY ALL"""
 )
 def code_context(spark, sf_dir):
-    seeds = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))
+    """From every order to what it depends on."""
+    seeds = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))
     return graph.lineage(edges(spark, sf_dir), seeds, 3)
 
 
+_CONTEXT = f"""WITH RECURSIVE {EDGES}, steps AS (SELECT dst AS f, src AS t, id FROM edges WHERE kind <> 'PlacedBy' UNION ALL SELECT src, dst, id FROM edges WHERE kind <> 'PlacedBy'),
+  walk AS (SELECT n AS node, n AS seed, 0 AS depth FROM (SELECT unnest(['region:0', 'nation:3', 'supplier:1']) AS n) UNION SELECT t, seed, depth + 1 FROM walk JOIN steps ON f = node WHERE depth < 2)"""
+
+
+def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bool]:
+    seeds = spark.createDataFrame([("region:0",), ("nation:3",), ("supplier:1",)], "node string")
+    return graph.context(edges(spark, sf_dir), seeds, max_depth=2, max_nodes=1024, kinds=["PartOf", "LocatedIn"])
+
+
+@query(_CONTEXT + " SELECT node, min(depth) AS depth, string_agg(DISTINCT seed, ',' ORDER BY seed) AS seeds FROM walk WHERE (SELECT count(DISTINCT node) FROM walk) <= 1024 GROUP BY 1")
+def context_nodes(spark, sf_dir):
+    """Two rounds from three seeds; where the bound of 1024 nodes cuts, only that many."""
+    nodes, _, truncated = _context(spark, sf_dir)
+    return nodes.filter(F.lit(not truncated)).select("node", "depth", F.array_join("seeds", ",").alias("seeds"))
+
+
 @query("SELECT l.doc_id, d.source, b.quality FROM documents d JOIN labels l USING (doc_id) JOIN labels b USING (doc_id)")
 def hit_enrichment(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")

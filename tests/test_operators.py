@@ -228,3 +228,36 @@ def test_sniff(spark):
     rows = [(0, b"\x0b\x0c\x7f" * 100), (1, b"\x01" * 5 + b"a" * 95), (2, b"\x01" * 6 + b"a" * 94), (3, b"a\x00b"), (4, b"a" * 8192 + b"\x00"), (5, b""), (6, "größe".encode()), (7, b"\xff\xfe\x80" * 9), (8, b"a" * ((2 << 20) + 1))]
     got = spark.createDataFrame(rows, "i int, content binary").select("i", files.looks_like_text(F.col("content")).alias("x")).orderBy("i").collect()
     assert [r.x for r in got] == [True, True, False, False, True, True, True, True, False]
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(i, f"n{i:04d}", "next", f"n{i + 1:04d}", 500) for i in range(n)], "id long, src string, kind string, dst string, confidence_milli int")
+
+
+def test_deep_walks_stay_linear(spark):
+    seeds = spark.createDataFrame([("n0000",)], "node string")
+    got = graph.expand(chain(spark, 30), seeds, 16)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert sorted((r.depth, r.node) for r in got.collect()) == [(i, f"n{i:04d}") for i in range(17)]
+    assert {r.node: r.depth for r in graph.lineage(chain(spark, 5), seeds, 9).collect()} == {f"n{i:04d}": i for i in range(6)}
+
+
+def test_context_respects_depth_and_node_caps(spark):
+    rows = [(1, "a", "Calls", "b"), (2, "a", "Calls", "c"), (3, "b", "Imports", "d"), (4, "c", "Calls", "d"), (5, "d", "Calls", "a"), (6, "x", "Calls", "c")]
+    edges = spark.createDataFrame(rows, "id long, src string, kind string, dst string")
+    seeds = spark.createDataFrame([("a",), ("x",)], "node string")
+
+    def run(**kw):
+        nodes, relations, cut_off = graph.context(edges, seeds, **kw)
+        return {r.node: (r.depth, r.seeds) for r in nodes.collect()}, {r.id: r.depth for r in relations.collect()}, cut_off
+
+    nodes, relations, cut_off = run(max_depth=1, direction="outgoing")
+    assert nodes == {"a": (0, ["a"]), "x": (0, ["x"]), "b": (1, ["a"]), "c": (1, ["a", "x"])} and relations == {1: 1, 2: 1, 6: 1} and not cut_off
+    nodes, relations, _ = run(max_depth=3, direction="outgoing", kinds=["Calls"])
+    assert nodes["d"] == (2, ["a", "x"]) and nodes["a"] == (0, ["a", "x"]) and 3 not in relations
+    nodes, _, cut_off = run(max_depth=5, max_nodes=3, direction="outgoing")
+    assert set(nodes) == {"a", "x", "b"} and cut_off
+    nodes, relations, cut_off = run(max_depth=5, max_visits=1, direction="outgoing")
+    assert set(relations) == {1} and cut_off
+    assert set(run(max_depth=0)[0]) == {"a", "x"} and run(max_nodes=1)[2]
+    assert run(max_depth=1, direction="incoming")[0] == {"a": (0, ["a"]), "x": (0, ["x"]), "d": (1, ["a"])}
