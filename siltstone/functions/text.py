@@ -104,6 +104,25 @@ def human_bytes(n: Column) -> Column:
     )
 
 
+def human_size(n: Column) -> Column:
+    """Bytes in binary units with one decimal, from KiB to GiB."""
+    found = F.concat(n.cast("string"), F.lit(" B"))
+    for unit, size in (("KiB", 1 << 10), ("MiB", 1 << 20), ("GiB", 1 << 30)):
+        found = F.when(n >= size, F.format_string(f"%.1f {unit}", n / F.lit(float(size)))).otherwise(found)
+    return found
+
+
+def human_duration(seconds: Column) -> Column:
+    """Whole seconds as ``h:mm:ss``, or ``m:ss`` below an hour."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+
+
+def one_line(text: Column) -> Column:
+    """Words joined by one space: a snippet for display."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def marker_kind(comment: Column) -> Column:
     """TODO, FIXME or HACK that opens a comment's text, else null."""
     found = F.regexp_extract(comment, r"^[!*]?\s*(TODO|FIXME|HACK)(?:[\s(\[:]|$)", 1)

@@ -16,15 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.operators.repository import comment_markers
+
 SYMBOLS = (
     "record_id string, kind string, name string, qualified_name string, visibility string, signature string, imports array<string>, "
     "doc_comment string, markers array<string>, is_unsafe boolean, is_test boolean, file_path string, start_line int, end_line int, calls array<string>, bases array<string>"
 )
 
-_MARK = re.compile(r"^[!*]?\s*(TODO|FIXME|HACK)(?:[\s(\[:]|$)")
 _RUST = re.compile(r"^\s*(pub(?:\([^)]*\))?\s+)?((?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*)(fn|struct|enum|trait|mod|impl|type|const|static)\s+(?:<[^>]*>\s*)?([A-Za-z_][A-Za-z0-9_]*)")
 _SCRIPT = re.compile(r"^\s*(export\s+(?:default\s+)?)?(?:abstract\s+|async\s+)*(class|function|interface|type|enum|const|let)\s+\*?\s*([A-Za-z_$][\w$]*)(.*)$")
 _SCRIPT_IMPORT = re.compile(r"""^\s*import\s+(?:.+?\s+from\s+)?['"]([^'"]+)['"]""")
+_METHOD = re.compile(r"^\s+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{;=]+)?\{")
+_NO_METHOD = {"if", "for", "while", "switch", "catch", "function", "return", "with"}
 _CALL = re.compile(r"\b([A-Za-z_][\w]*)\s*\(")
 
 
@@ -40,7 +43,7 @@ def python_symbols(path: str, text: str) -> list[dict]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
         return []
-    source = text.split("\n")
+    source, found = text.split("\n"), comment_markers(text, "python")
     imports = sorted({a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names} | {f"{n.module or ''}.{a.name}" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) for a in n.names})
     module = re.sub(r"(?:/__init__)?\.py$", "", path).replace("/", ".")
     out = [_row(path, "module", module.rsplit(".", 1)[-1], module, True, module, 1, max(1, len(source)), imports=imports, doc_comment=ast.get_docstring(tree))]
@@ -54,7 +57,7 @@ def python_symbols(path: str, text: str) -> list[dict]:
             qualified = f"{prefix}.{child.name}"
             calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name | ast.Attribute)})
             bases = [ast.unparse(b) for b in child.bases] if kind == "class" else []
-            marks = [m[1].lower() for line in source[child.lineno - 1 : child.end_lineno] if "#" in line and (m := _MARK.match(line.split("#", 1)[1].strip()))]
+            marks = [kind for kind, first, _ in found if child.lineno <= first <= child.end_lineno]
             out.append(
                 _row(path, kind, child.name, qualified, not child.name.startswith("_"), source[child.lineno - 1].strip(), child.lineno, child.end_lineno)
                 | {"doc_comment": ast.get_docstring(child), "markers": marks, "is_test": child.name.startswith("test_"), "calls": calls, "bases": bases}
@@ -83,6 +86,7 @@ def _braced(lines: list[str], start: int) -> int:
 def rust_symbols(path: str, text: str) -> list[dict]:
     """Items found line by line (no macro expansion, no nested generics: lower fidelity than a syntax tree)."""
     lines, out, doc, attributes = text.split("\n"), [], [], []
+    found = comment_markers(text, "rust")
     scope: list[tuple[int, str]] = []
     for i, line in enumerate(lines):
         stripped = line.strip()
@@ -99,7 +103,7 @@ def rust_symbols(path: str, text: str) -> list[dict]:
             name = m[4]
             qualified = "::".join([*(n for _, n in scope), name])
             body = lines[i:end]
-            marks = [x[1].lower() for b in body if "//" in b and (x := _MARK.match(b.split("//", 1)[1].strip()))]
+            marks = [kind for kind, first, _ in found if i < first <= end]
             out.append(
                 _row(path, m[3], name, qualified, bool(m[1]), stripped.rstrip("{").strip(), i + 1, end)
                 | {"doc_comment": "\n".join(doc) or None, "markers": marks, "is_unsafe": "unsafe" in m[2] or any("unsafe {" in b for b in body)}
@@ -114,17 +118,32 @@ def rust_symbols(path: str, text: str) -> list[dict]:
 
 
 def script_symbols(path: str, text: str) -> list[dict]:
-    """TypeScript and JavaScript declarations, line by line."""
+    """TypeScript and JavaScript declarations and the methods of classes, line by line."""
     lines, out = text.split("\n"), []
     imports = sorted({m[1] for line in lines if (m := _SCRIPT_IMPORT.match(line))})
+    found = comment_markers(text, "typescript")
+
+    def more(first: int, end: int) -> dict:
+        return {"imports": imports, "markers": [kind for kind, at, _ in found if first < at <= end], "calls": sorted(set(_CALL.findall("\n".join(lines[first + 1 : end]))))}
+
     for i, line in enumerate(lines):
-        if m := _SCRIPT.match(line):
-            arrow = m[2] in ("const", "let")
-            if arrow and "=>" not in line and "function" not in m[4]:
-                continue
-            end = _braced(lines, i)
-            bases = re.findall(r"(?:extends|implements)\s+([\w$]+)", m[4])
-            out.append(_row(path, "function" if arrow else m[2], m[3], f"{path}::{m[3]}", bool(m[1]), line.strip().rstrip("{").strip(), i + 1, end, imports=imports, bases=bases, calls=sorted(set(_CALL.findall("\n".join(lines[i + 1 : end]))))))
+        if not (m := _SCRIPT.match(line)):
+            continue
+        arrow = m[2] in ("const", "let")
+        if arrow and "=>" not in line and "function" not in m[4]:
+            continue
+        end = _braced(lines, i)
+        bases = re.findall(r"(?:extends|implements)\s+([\w$]+)", m[4])
+        out.append(_row(path, "function" if arrow else m[2], m[3], f"{path}::{m[3]}", bool(m[1]), line.strip().rstrip("{").strip(), i + 1, end, bases=bases, **more(i, end)))
+        at = i + 1
+        while m[2] == "class" and at < end:
+            method = _METHOD.match(lines[at])
+            if method and method[1] not in _NO_METHOD:
+                close = _braced(lines, at)
+                out.append(_row(path, "method", method[1], f"{path}::{m[3]}::{method[1]}", True, lines[at].strip().rstrip("{").strip(), at + 1, close, **more(at, close)))
+                at = close
+            else:
+                at += 1
     return out
 
 
@@ -141,7 +160,7 @@ def symbols(files: DataFrame) -> DataFrame:
                     rows += python_symbols(path, text)
                 elif text is not None and kind == "rs":
                     rows += rust_symbols(path, text)
-                elif text is not None and kind in ("ts", "tsx", "js", "jsx"):
+                elif text is not None and kind in ("ts", "tsx", "js", "jsx", "mjs", "cjs"):
                     rows += script_symbols(path, text)
             yield pd.DataFrame(rows, columns=names)
 

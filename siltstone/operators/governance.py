@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.functions import policy, text
+
 # Decisions by autonomy profile group and risk class.
 RISKS = ["Low", "Medium", "High", "Critical"]
 APPROVAL = {
@@ -101,6 +103,33 @@ def _stale_code() -> Column:
     return (F.col("lane") == "code") & (F.col("freshness") == "Stale")
 
 
+def eligible_chunks(artifacts: DataFrame, chunks: DataFrame, evidence: DataFrame, auth: policy.Authorization) -> DataFrame:
+    """Chunks ``(chunk_id, artifact_id, ord, body)`` that may be scored, with their artifact and evidence: the artifact is
+    indexed and may be read, the chunk's text is clean, and its evidence exists, may be read and has a clean excerpt."""
+    mine = policy.authorized(artifacts.filter("index_status = 'Indexed'"), auth).select("artifact_id", "path")
+    cited = policy.authorized(evidence, auth).filter(~text.has_secret(F.col("excerpt"))).select("evidence_id")
+    clean = chunks.filter(~text.has_secret(F.col("body"))).withColumn("evidence_id", text.evidence_id(F.col("artifact_id"), F.col("ord")))
+    return clean.join(mine, "artifact_id").join(cited, "evidence_id")
+
+
+def eligible_cards(cards: DataFrame, artifacts: DataFrame, chunks: DataFrame, evidence: DataFrame, auth: policy.Authorization) -> DataFrame:
+    """Cards ``(card_id, artifact_id, node, card_body)`` with security columns that may be scored: the card may be read and
+    its body is clean, and of the chunks at its node the first by order and id may be scored."""
+    first = chunks.groupBy("artifact_id", "node").agg(F.min(F.struct("ord", "chunk_id")).alias("at"))
+    at_node = chunks.join(first.select("artifact_id", "node", "at.ord", "at.chunk_id"), ["artifact_id", "node", "ord", "chunk_id"], "left_semi")
+    fine = policy.authorized(cards, auth).filter(~text.has_secret(F.col("card_body"))).select("card_id", "artifact_id", "node")
+    return fine.join(eligible_chunks(artifacts, at_node, evidence, auth), ["artifact_id", "node"])
+
+
+def of_model(vectors: DataFrame, dimension: int, **identity: str) -> DataFrame:
+    """Vectors of a dimension whose identity columns (provider, model, version, generation, representation, fingerprint)
+    are those that are asked for; others may be anything."""
+    rows = vectors.filter(F.col("dimension") == dimension)
+    for name, value in identity.items():
+        rows = rows.filter(F.col(name) == value)
+    return rows
+
+
 def within_budget(expanded: DataFrame, max_candidates: int, max_bytes: int) -> DataFrame:
     """Expansion candidates (``query_id, ord, bytes, is_seed``) whose running use stays in budget; seeds are free."""
     before = Window.partitionBy("query_id").orderBy("ord").rangeBetween(Window.unboundedPreceding, 0)  # equal places stand or fall together
@@ -114,6 +143,50 @@ def incomplete_observations(cases: DataFrame, observed: DataFrame) -> DataFrame:
     return cases.join(observed.select("case_id", "route").distinct(), ["case_id", "route"], "left_anti")
 
 
+# Bounds of what one realm may read of another.
+FEDERATED_RESULTS, FEDERATED_BYTES = (1, 100), (1, 65_536)
+
+
+def federated_read(provider: Column, consumer: Column, operation: Column) -> Column:
+    """Why a grant (``provider, consumer, state, access, max_results, max_bytes``) doesn't cover a read, or Allowed."""
+    c = F.col
+    bounds = c("max_results").between(*FEDERATED_RESULTS) & c("max_bytes").between(*FEDERATED_BYTES)
+    return (
+        F.when(c("provider") != provider, "ProviderRealmMismatch")
+        .when(c("consumer") != consumer, "ConsumerRealmMismatch")
+        .when(c("state") != "Active", "GrantRevoked")
+        .when((operation == "OpenEvidence") & (c("access") != "SearchAndOpenEvidence"), "UnsupportedAccess")
+        .when(~bounds, "InvalidBounds")
+        .otherwise("Allowed")
+    )
+
+
+def federated_results(evidence: DataFrame) -> DataFrame:
+    """Evidence ``(grant_id, rank, bytes, sensitivity_level, max_results, max_bytes, ceiling_level)`` that a grant lets
+    out: at or below its sensitivity ceiling, then the first results and no evidence above its bytes."""
+    fine = evidence.filter(F.col("sensitivity_level") <= F.col("ceiling_level")).filter(F.col("bytes") <= F.col("max_bytes"))
+    nth = F.row_number().over(Window.partitionBy("grant_id").orderBy("rank"))
+    return fine.withColumn("nth", nth).filter(F.col("nth") <= F.col("max_results"))
+
+
+_MOST = (1 << 63) - 1
+
+
+def usage(rows: DataFrame, key: str, resources: list[str]) -> DataFrame:
+    """What executions used by ``key``: sums that stop at the largest number instead of overflowing."""
+    return rows.groupBy(key).agg(*[F.least(F.sum(F.col(r).cast("decimal(38,0)")), F.lit(_MOST).cast("decimal(38,0)")).cast("long").alias(r) for r in resources])
+
+
+def compared(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Two recorded searches side by side: ``key``, each column of both, and whether they are equal."""
+    a, b = left.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]), right.select(key, *[F.col(c).alias(f"b_{c}") for c in columns])
+    same = [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in columns]
+    equal = same[0]
+    for s in same[1:]:
+        equal = equal & s
+    return a.join(b, key, "full_outer").withColumn("equal", equal)
+
+
 def advanced_counters(old: DataFrame, new: DataFrame) -> DataFrame:
     """Counter upsert ``name, next_id``: the larger of both."""
     joined = old.withColumnRenamed("next_id", "o").join(new.withColumnRenamed("next_id", "n"), "name", "full_outer")

@@ -51,6 +51,17 @@ def latest(events: DataFrame, entity: str, order: str, *values: str) -> DataFram
     return events.groupBy(entity).agg(F.max(order).alias(order), *[F.max_by(v, order).alias(v) for v in values], F.count("*").alias("n_events"))
 
 
+def tombstoned(documents: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``documents`` with what is in ``gone`` marked (``tombstoned``), not deleted; marks stay."""
+    marks = gone.select(*keys).distinct().withColumn("mark_", F.lit(True))
+    was = F.col("tombstoned") if "tombstoned" in documents.columns else F.lit(False)
+    return documents.join(marks, keys, "left").withColumn("tombstoned", was | F.col("mark_").isNotNull()).drop("mark_")
+
+
+def live(documents: DataFrame) -> DataFrame:
+    return documents.filter(~F.col("tombstoned")).drop("tombstoned")
+
+
 def active_versions(events: DataFrame) -> DataFrame:
     """Per source of ``events (id, source, kind, artifact, hash)`` the last start that no later stale event of the
     same artifact and hash removed."""

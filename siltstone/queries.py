@@ -350,11 +350,6 @@ def injection_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.injection_risk(told).alias("risk"))
 
 
-@query()
-def secret_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.has_secret(F.col("text")).alias("has_secret"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def source_filter_semi(spark, sf_dir):
     chosen = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
@@ -577,17 +572,6 @@ def section_identity(spark, sf_dir):
     return secured(spark, sf_dir).select("doc_id", text.section_identity(F.col("version_id"), node, F.col("path"), F.lit(1), F.size(F.split("text", "\n"))).alias("section"))
 
 
-@query()
-def diversity_select(spark, sf_dir):
-    fused = fusion.rrf(lane_hits(spark, sf_dir)).filter("id_kind = 1")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("identity"), "source")
-    rows = fused.join(docs, "identity").select(
-        "query_id", F.col("fused_rank").alias("rank"), F.col("identity").alias("evidence_id"), F.lit(None).cast("long").alias("dup_cluster"), "source",
-        F.md5(F.col("identity").cast("string")).alias("document"), F.concat_ws(":", "source", F.lit("s")).alias("section"), F.lit("Current").alias("freshness"), F.array("source").alias("coverage_keys"),
-    )
-    return selection.select(rows, selection.Requirements(minimum_sources=3, required_keys=("src1", "src2")), 10)
-
-
 #: A search's lanes in SQL: hits of three lanes for one query, their ranks, and the fused order.
 _SEARCH = f"""{SECURED}, {POSTINGS},
   ok AS (SELECT doc_id, text, path FROM secured WHERE read_allowed AND trust_zone <> 'Quarantined' AND review_status <> 'Rejected' AND integrity <> 'Compromised' AND NOT poisoned AND NOT {INJECTION}
@@ -754,49 +738,6 @@ def innermost_symbol(spark, sf_dir):
     return code.innermost(points, ranges)
 
 
-# ---- B16, C12, D8, D9: code ---------------------------------------------------------------------
-
-SOURCES = {
-    "shop/items.py": 'import json\nfrom shop.store import Store\n\n\nclass Item:\n    """One thing to buy."""\n\n    def price(self):\n        # TODO: taxes\n        return rounded(self.amount)\n\n\ndef rounded(x):\n    return round(x, 2)\n\n\ndef test_price():\n    assert Item().price() == rounded(1)\n',
-    "shop/store.py": "class Base:\n    pass\n\n\nclass Store(Base):\n    def load(self):\n        return rounded(3)\n",
-    "src/lib.rs": "use std::fmt;\n\n/// A point.\npub struct Point {\n    x: i32,\n}\n\nimpl Point {\n    pub fn norm(&self) -> i32 {\n        // FIXME later\n        unsafe { helper(self.x) }\n    }\n}\n\nfn helper(x: i32) -> i32 {\n    x\n}\n\n#[test]\nfn test_norm() {\n    helper(1);\n}\n",
-    "web/cart.ts": "import { api } from './api';\n\nexport class Cart extends Basket {\n  total() {\n    return sum(1);\n  }\n}\n\nexport const sum = (x: number) => {\n  return x;\n};\n",
-    "web/broken.py": "def oops(:\n",
-}
-
-
-def _symbols(spark: SparkSession) -> DataFrame:
-    return code.symbols(spark.createDataFrame(list(SOURCES.items()), "path string, text string"))
-
-
-def _code(name: str, kind: str, value: str | None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return code.query(_symbols(spark), code.matches(kind, value), 20).select("file_path", "start_line", "end_line", "qualified_name", "kind", "matched", "truncated")
-
-    run.__name__ = name
-    query()(run)
-
-
-for _name, _kind, _value in (("code_symbol", "symbol", "price"), ("code_path", "path", "src/"), ("code_regex", "regex", "^(test_|Cart)"), ("code_doc", "doc", "point"), ("code_markers", "marker", "unsafe"), ("code_all", "all", None)):
-    _code(_name, _kind, _value)
-
-
-@query()
-def code_changed(spark, sf_dir):
-    return code.changed(_symbols(spark), spark.createDataFrame([("src/lib.rs",)], "file_path string")).select("file_path", "qualified_name", "start_line")
-
-
-@query()
-def code_relations(spark, sf_dir):
-    return code.relations(_symbols(spark))
-
-
-@query()
-def code_references(spark, sf_dir):
-    found = _symbols(spark)
-    return code.references(found, code.relations(found), found.filter("name = 'rounded'"))
-
-
 # ---- I: scalars ---------------------------------------------------------------------------------
 
 ASKED = ["how does {} work", "latest {} news", '"{}"', "summarize {} across files", "similar to {}", "table of {}", "rust module {}", "before {}", "must have {} without x", "where is {} used by", "fix PR #12 in src/{} v1.2", "{}-id"]
@@ -879,11 +820,6 @@ def event_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
-def excerpts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
-
-
 # ---- E, M: aggregates and evaluation ------------------------------------------------------------
 
 _DIRS = f"""{PATHS}, f AS (SELECT split_part(path, '/', 2) AS directory, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE {EXT} END AS extension, p_size AS bytes, p_size % 3 = 0 AS minified FROM paths),
@@ -1130,13 +1066,6 @@ def structural_starts(spark, sf_dir):
     return chunking.structural_starts(rows, c.startswith("In"), c.startswith("Th"), c.startswith("E"))
 
 
-@query()
-def source_chunks(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(SOURCES.items())], "doc_id long, text string, path string")
-    parts = [chunking.structural_chunks(rows.filter(F.col("path").endswith(e)), *chunking.language_rules(n)) for e, n in ((".py", "python"), (".rs", "rust"), (".ts", "typescript"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 _PROFILES = list(governance.APPROVAL)
 
 
@@ -1283,15 +1212,3 @@ def latest_generation(spark, sf_dir):
 def keep_set_cleanup(spark, sf_dir):
     keep = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     return maintenance.stale_rows(table(spark, sf_dir, "lineitem").select("l_suppkey").distinct(), keep, ["l_suppkey"])
-
-
-@query()
-def incremental_rebuild(spark, sf_dir):
-    """Symbols of changed files over those of unchanged ones: equal to a full rebuild."""
-    new = spark.createDataFrame([(p, t + "\n\ndef added():\n    pass\n" if p == "shop/store.py" else t) for p, t in SOURCES.items()], "path string, text string")
-    old = spark.createDataFrame(list(SOURCES.items()), "path string, text string")
-    delta = streams.snapshot_delta(old.select("path", F.md5("text").alias("hash")), new.select("path", F.md5("text").alias("hash")))
-    touched = delta.select(F.col("path").alias("file_path"))
-    kept = code.symbols(old).join(touched, "file_path", "left_anti")
-    fresh = code.symbols(new.join(delta.select("path"), "path", "left_semi"))
-    return kept.unionByName(fresh).select("file_path", "qualified_name", "start_line")
