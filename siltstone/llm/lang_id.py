@@ -37,9 +37,9 @@ KNOWN_BITS, KNOWN_BYTES = 20, 64 << 20
 #: Text bytes that Viterbi steps through side by side, with up to STEP_LANGUAGES languages; with more, fewer bytes.
 STEP_BYTES, STEP_LANGUAGES = 4 << 20, 16
 #: Words whose n-grams are looked up at once.
-PART_WORDS = 1 << 14
+PART_WORDS = 1 << 11
 #: Bytes of distinct words whose n-grams are counted at once.
-WORD_BYTES = 1 << 17
+WORD_BYTES = 1 << 15
 _START, _SCRIPTS = np.array([a for a, _ in SCRIPT_RANGES]), [n for _, n in SCRIPT_RANGES]
 SCRIPTS = list(dict.fromkeys(_SCRIPTS))
 
@@ -93,13 +93,13 @@ def _scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (length and bytes, below 2^35) of the n-grams of given words, edges marked, and how many each word has."""
+    """Codes (length and bytes, below 2^35) of the n-grams of given words, edges marked, and the word of each."""
     sizes = ends - starts
     at = np.repeat(np.cumsum(sizes + 2) - sizes - 1 - starts, sizes) + _spread(starts, sizes)
     padded = np.full(int((sizes + 2).sum()), 0x20, np.uint64)
     padded[at] = data[_spread(starts, sizes)]
     begin = np.cumsum(sizes + 2) - sizes - 2
-    owner = np.repeat(np.arange(len(sizes)), sizes + 2)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
     end = begin + sizes + 2
     codes, owners = [], []
     for n in GRAMS:
@@ -109,9 +109,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         fits = np.arange(len(code)) + n <= end[owner[: len(code)]]
         codes.append(code[fits].astype(np.int64))
         owners.append(owner[: len(code)][fits])
-    gram, owner = np.concatenate(codes), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return gram[order], np.bincount(owner, minlength=len(sizes))
+    return np.concatenate(codes), np.concatenate(owners)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -144,10 +142,10 @@ class Model:
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
     def _scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        gram, count = _grams(data, starts, ends)
-        n, m = len(count), len(self.languages)
+        gram, word = _grams(data, starts, ends)
+        n, m = len(starts), len(self.languages)
+        count = np.bincount(word, minlength=n)
         at = np.searchsorted(self.grams, gram)
-        word = np.repeat(np.arange(n), count)
         hit = np.append(self.grams, -1)[at] == gram
         at, word = at[hit], word[hit]
         many = self.bounds[at + 1] - self.bounds[at]
@@ -242,10 +240,10 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
                 names, times = part.column("lang").dictionary_encode(), part.column("n").to_numpy()
                 lang = names.indices.to_numpy().astype(np.int64)
                 data, offsets = spans.text_buffer(part.column("word"))
-                gram, n = _grams(data, offsets[:-1], offsets[1:])
+                gram, word = _grams(data, offsets[:-1], offsets[1:])
                 # frequent words count by the square root of their number, so that rare ones have a say
-                key, back = np.unique(np.repeat(lang << 40, n) | gram, return_inverse=True)
-                n = np.bincount(back, np.repeat((np.sqrt(times) * 16).astype(np.int64), n)).astype(np.int64)
+                key, back = np.unique(lang[word] << 40 | gram, return_inverse=True)
+                n = np.bincount(back, (np.sqrt(times) * 16).astype(np.int64)[word]).astype(np.int64)
                 yield pa.record_batch({"lang": names.dictionary.take(pa.array(key >> 40)), "gram": pa.array(key & (1 << 40) - 1), "n": pa.array(n)})
                 script = np.zeros(len(names.dictionary) * len(SCRIPTS), np.int64)
                 np.add.at(script, lang * len(SCRIPTS) + _scripts(data, offsets[:-1], offsets[1:]), times)
@@ -270,7 +268,7 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
     allowed = share > 0.001
     allowed[~allowed.any(axis=1)] = True
     bounds = np.searchsorted(at, np.arange(len(grams) + 1))
-    return Model(languages, grams, bounds, seen, np.log1p(2 * times).astype(np.float32), np.log(0.5 / total), allowed, switch)
+    return Model(languages, grams, bounds, seen.astype(np.min_scalar_type(len(languages))), np.log1p(2 * times).astype(np.float32), np.log(0.5 / total), allowed, switch)
 
 
 def _judged(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
