@@ -72,8 +72,9 @@ class ByteBpe:
         self.known = spans.Interner(bits)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 20, np.uint8), 0
-        self.at, self.count = np.zeros(self.known.most, np.int64), np.zeros(self.known.most, np.int64)
-        self.text_at, self.text_size = np.zeros(self.known.most, np.int64), np.zeros(self.known.most, np.int64)
+        # of each remembered pre-token: where its ids and bytes are, and how many
+        self.at, self.text_at = (np.zeros(self.known.most, np.int32) for _ in range(2))
+        self.count, self.text_size = (np.zeros(self.known.most, np.uint8) for _ in range(2))
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.characters = _byte_characters()
         self.classes, self.unknown = _classes(), _unknown()
@@ -142,8 +143,9 @@ class ByteBpe:
         at = np.flatnonzero(same)
         n = sizes[at]
         total = np.cumsum(n)
-        step = np.arange(int(total[-1]) if len(total) else 0)
-        differ = data[np.repeat(starts[at] - total + n, n) + step] != self.text[np.repeat(self.text_at[number[at]] - total + n, n) + step]
+        step = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
+        mine = data[np.repeat((starts[at] - total + n).astype(np.int32), n) + step]
+        differ = mine != self.text[np.repeat((self.text_at[number[at]] - total + n).astype(np.int32), n) + step]
         if differ.any():
             same[at[np.searchsorted(total, np.flatnonzero(differ), "right")]] = False
         return same
@@ -164,7 +166,7 @@ class ByteBpe:
         number = self.known.find(keys)
         seen = np.flatnonzero(number >= 0)
         number[seen[~self._same(data, starts[seen], sizes[seen], number[seen])]] = -1
-        at, count = self.at[number], self.count[number]
+        at, count = self.at[number].astype(np.int64), self.count[number].astype(np.int64)
         missing = np.flatnonzero(number < 0)
         pools = [self.end]
         if len(missing):

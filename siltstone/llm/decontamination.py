@@ -11,6 +11,7 @@ length, whose hash is kept at every position.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,11 +150,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 5, fil
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows with a hash that an item has, each once, with its places."""
-        held: dict[tuple[int, bytes], list[int]] = {}
+        held: dict[tuple[int, bytes], array] = {}
         bytes_ = 0
 
         def flush() -> pa.RecordBatch:
-            places = [np.array(x, "<i8").tobytes() for x in held.values()]
+            places = [x.tobytes() for x in held.values()]
             return pa.record_batch({"size": pa.array([n for n, _ in held], pa.int32()), "words": pa.array([w for _, w in held], pa.binary()), "places": pa.array(places, pa.binary())})
 
         for batch in batches:
@@ -166,9 +167,13 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 5, fil
                     hit = np.isin(values ^ salt[owner], asked)
                     owner, at = owner[hit].tolist(), at[hit]
                     for text, o, i in zip(_texts(words, size, at), owner, at.tolist(), strict=True):
-                        to = held.setdefault((size, text), [])
-                        bytes_ += 16 if to else 100 + len(text)
-                        to += (row[o], i - first[o])
+                        to = held.get((size, text))
+                        if to is None:
+                            held[size, text] = array("q", (row[o], i - first[o]))
+                            bytes_ += 280 + len(text)
+                        else:
+                            to.extend((row[o], i - first[o]))
+                            bytes_ += 18
                     if bytes_ >= GATHER_BYTES:
                         yield flush()
                         held.clear()

@@ -13,6 +13,7 @@ the list of places they come from.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -98,11 +99,20 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     again = rows.join(wanted, "row_")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool, bytes], list[int]] = {}
+        held: dict[tuple[int, bool, bytes], array] = {}
         size = 0
 
+        def put(key: tuple[int, bool, bytes], row: int, id_: int, at: int) -> int:
+            """Bytes that it takes, about."""
+            to = held.get(key)
+            if to is None:
+                held[key] = array("q", (row, id_, at))
+                return 300 + len(key[2])
+            to.extend((row, id_, at))
+            return 28
+
         def flush() -> pa.RecordBatch:
-            places = [np.array(x, "<i8").reshape(-1, 3) for x in held.values()]
+            places = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in held.values()]
             return pa.record_batch(
                 {
                     "key": pa.array([k for k, _, _ in held], pa.int64()),
@@ -131,14 +141,9 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
                     if is_hot[j]:
                         for i in range(n):
                             w = b" ".join(words[i : i + window])
-                            to = held.setdefault((xxhash.xxh3_64_intdigest(w) - (1 << 63), True, w), [])
-                            size += 24 if to else 100 + len(w)
-                            to += (row_[r], id_[r], at + i - origin[r])
+                            size += put((xxhash.xxh3_64_intdigest(w) - (1 << 63), True, w), row_[r], id_[r], at + i - origin[r])
                     else:
-                        w = b" ".join(words)
-                        to = held.setdefault((int(signed[j]), False, w), [])
-                        size += 24 if to else 100 + len(w)
-                        to += (row_[r], id_[r], at - origin[r])
+                        size += put((int(signed[j]), False, b" ".join(words)), row_[r], id_[r], at - origin[r])
                     if size >= GATHER_BYTES:
                         yield flush()
                         held.clear()
