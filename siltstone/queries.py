@@ -42,7 +42,7 @@ SECURED = r"""secured AS (
     ['Public', 'Internal', 'Confidential', 'Restricted'][d.doc_id % 4 + 1] AS sensitivity, d.doc_id % 4 AS sensitivity_level,
     d.doc_id % 13 <> 0 AS read_allowed, CASE WHEN d.doc_id % 5 <> 0 THEN CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS BIGINT) END AS scope_id, d.doc_id % 31 = 0 AS poisoned
   FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id))"""
-INJECTION = "regexp_matches(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '" + "|".join(text.INJECTION_PHRASES) + "')"
+INJECTION = """regexp_matches(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'ignore previous instructions|ignore all instructions|reveal system prompt|reveal secrets|disable safety|approve this action|disregard prior instructions|override previous instructions|ignore prior commands|skip previous directions|do not follow instructions|bypass all restrictions|forget prior constraints')"""
 DENIAL = f"""CASE WHEN NOT read_allowed THEN 'Read not allowed by ACL'
     WHEN trust_zone = 'Quarantined' THEN 'Item is quarantined or rejected'
     WHEN review_status = 'Rejected' OR integrity = 'Compromised' THEN 'Item is quarantined or rejected'
@@ -740,7 +740,23 @@ def innermost_symbol(spark, sf_dir):
 
 # ---- I: scalars ---------------------------------------------------------------------------------
 
-ASKED = ["how does {} work", "latest {} news", '"{}"', "summarize {} across files", "similar to {}", "table of {}", "rust module {}", "before {}", "must have {} without x", "where is {} used by", "fix PR #12 in src/{} v1.2", "{}-id"]
+ASKED = [
+    "how does {} work", "latest {} news", "\"{}\"", "summarize {} across files", "similar to {}", "table of {}", "rust module {}", "before {}",
+    "must have {} without x", "where is {} used by", "fix PR #12 in src/{} v1.2", "{}-id", "pdf page text of {}", "the document paragraph {}",
+    "a {} and b where c", "DB {} v2.0", "impl {} fn x module y", "on 2024-05-06 test {}", "issue #7 {}", "{} is plain", "approve this action {}",
+]
+# Every term, phrase and word that the classifiers know, each of which is asked for once.
+KNOWN = [
+    "id:", "::", ".rs", "cargo.toml", "path:", "contradict", "conflict", "disagree", "counterevidence", "latest", "today", "current", "web", "news",
+    "http", "table", "chart", "figure", "image", "visual", "pdf", "formula", "equation", "diagram", "scan", "ocr", "rust", "cargo", "function",
+    "struct", "trait", "module", "repository", "when", "before", "after", "history", "previous", "last", "how does", "relationship", "connected",
+    "multi-hop", "summarize", "summary", "overview", "across", "compare", "synthesis", "must", "without", "requires", "constraint", "similar",
+    "related", "discover", "explore", "stale", "worktree", "out of date", "don't know", "unknown", "not in the repository", "abstain", "issue #",
+    "issue ", "test", "tested by", "depends on", "dependency", "call chain", "used by", "callers of", "where is", "usages of", "definition",
+    "references", "reference", "doc comment", "docs for", "documented", "todo", "fixme", "unsafe block", "marker", "symbol", "struct ", "function ",
+    "fn ", "scanned", "mathematical", "graph",
+]
+ASKED += [f"{{}} tell me {t}" for t in KNOWN]
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -749,19 +765,21 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.element_at(forms, (F.col("p_partkey") % len(ASKED) + 1).cast("int")), F.lit("{}"), word).alias("q"))
 
 
-_ASKED = "asked AS (SELECT p_partkey, replace([" + ", ".join("'" + a + "'" for a in ASKED) + "][p_partkey % " + str(len(ASKED)) + " + 1], '{}', split_part(p_name, ' ', 1)) AS q FROM part), low AS (SELECT *, lower(trim(q)) AS l FROM asked)"
+_ASKED = "asked AS (SELECT p_partkey, replace([" + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKED) + "][p_partkey % " + str(len(ASKED)) + " + 1], '{}', split_part(p_name, ' ', 1)) AS q FROM part), low AS (SELECT *, lower(trim(q)) AS l FROM asked)"
 
 
-def _sql_has(terms: list[str]) -> str:
-    words = [t for t in terms if t.replace("_", "").isalnum()]
-    found = [f"regexp_matches(l, '(^|[^a-z0-9_])({'|'.join(words)})')"] if words else []
-    return "(" + " OR ".join(found + [f"contains(l, '{t}')" for t in terms if t not in words]) + ")"
-
-
-_INTENT = "CASE WHEN l = '' OR (starts_with(l, '\"') AND ends_with(l, '\"')) OR (NOT regexp_matches(l, '\\s') AND contains(l, '-') AND regexp_matches(l, '[a-z0-9]')) OR " + _sql_has(classify.INTENT_TERMS[0][1]) + " THEN 'ExactLookup' "
-for _n, _t in classify.INTENT_TERMS[1:]:
-    _INTENT += f"WHEN {_sql_has(_t)}" + (" OR (contains(l, ' and ') AND contains(l, ' where '))" if _n == "CompositionalConstraints" else "") + f" THEN '{_n}' "
-_INTENT += "ELSE 'FactualLocal' END"
+# The classifiers' rules, written out in SQL.
+_INTENT = """CASE 
+  WHEN l = '' OR (starts_with(l, '"') AND ends_with(l, '"')) OR (NOT regexp_matches(l, '\\s') AND contains(l, '-') AND regexp_matches(l, '[a-z0-9]')) OR (contains(l, 'id:') OR contains(l, '::') OR contains(l, '.rs') OR contains(l, 'cargo.toml') OR contains(l, 'path:')) THEN 'ExactLookup'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(contradict|conflict|disagree|counterevidence)')) THEN 'ContradictionAudit'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(latest|today|current|web|news|http)')) THEN 'CurrentWeb'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(table|chart|figure|image|visual|pdf|formula|equation|diagram|scan|ocr)')) THEN 'VisualDocument'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(rust|cargo|function|struct|trait|module|repository)')) THEN 'RepositoryCode'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(when|before|after|history|previous|last)')) THEN 'TemporalMemory'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(relationship|connected)') OR contains(l, 'how does') OR contains(l, 'multi-hop')) THEN 'MultiHop'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(summarize|summary|overview|across|compare|synthesis)')) THEN 'CorpusSynthesis'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(must|without|requires|constraint)')) OR (contains(l, ' and ') AND contains(l, ' where ')) THEN 'CompositionalConstraints'
+  WHEN (regexp_matches(l, '(^|[^a-z0-9_])(similar|related|discover|explore)')) THEN 'SemanticDiscovery' ELSE 'FactualLocal' END"""
 
 
 @query(f"WITH {_ASKED} SELECT p_partkey, {_INTENT} AS intent FROM low")
@@ -769,12 +787,22 @@ def intent_classify(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", classify.intent(F.col("q")).alias("intent"))
 
 
-@query(f"WITH {_ASKED}, i AS (SELECT p_partkey, {_INTENT} AS intent FROM low) SELECT p_partkey, CASE intent WHEN 'ExactLookup' THEN 'ExactLiteral' WHEN 'SemanticDiscovery' THEN 'VocabularyExpansion' WHEN 'CompositionalConstraints' THEN 'MultiTerm' ELSE 'DomainTerminology' END AS class FROM i")
+@query(f"WITH {_ASKED}, i AS (SELECT p_partkey, {_INTENT} AS intent, {INJECTION.replace('lower(text)', 'l')} AS injected FROM low) SELECT p_partkey, CASE WHEN injected THEN 'Security' ELSE CASE intent WHEN 'ExactLookup' THEN 'ExactLiteral' WHEN 'SemanticDiscovery' THEN 'VocabularyExpansion' WHEN 'CompositionalConstraints' THEN 'MultiTerm' ELSE 'DomainTerminology' END END AS class FROM i")
 def query_class(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", classify.query_class(F.col("q")).alias("class"))
 
 
-_REPO = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(q), '" + p.replace("'", "''") + "')" for p in ps) + f" THEN '{n}'" for n, ps in classify.REPOSITORY_PHRASES) + " END"
+_REPO = """CASE 
+  WHEN contains(lower(q), 'stale') OR contains(lower(q), 'worktree') OR contains(lower(q), 'out of date') THEN 'StaleWorktree'
+  WHEN contains(lower(q), 'don''t know') OR contains(lower(q), 'unknown') OR contains(lower(q), 'not in the repository') OR contains(lower(q), 'abstain') THEN 'CorrectAbstention'
+  WHEN contains(lower(q), 'issue #') OR contains(lower(q), 'issue ') THEN 'IssueToFile'
+  WHEN contains(lower(q), 'test') OR contains(lower(q), 'tested by') THEN 'TestAssociation'
+  WHEN contains(lower(q), 'depends on') OR contains(lower(q), 'dependency') OR contains(lower(q), 'call chain') THEN 'MultiHopDependency'
+  WHEN contains(lower(q), 'used by') OR contains(lower(q), 'callers of') OR contains(lower(q), 'where is') OR contains(lower(q), 'usages of') THEN 'ReferenceUsage'
+  WHEN contains(lower(q), 'definition') OR contains(lower(q), 'references') OR contains(lower(q), 'reference') THEN 'DefinitionReference'
+  WHEN contains(lower(q), 'doc comment') OR contains(lower(q), 'docs for') OR contains(lower(q), 'documented') THEN 'DocComment'
+  WHEN contains(lower(q), 'todo') OR contains(lower(q), 'fixme') OR contains(lower(q), 'unsafe block') OR contains(lower(q), 'marker') THEN 'CodeMarker'
+  WHEN contains(lower(q), 'symbol') OR contains(lower(q), 'struct ') OR contains(lower(q), 'function ') OR contains(lower(q), 'fn ') OR contains(lower(q), '::') THEN 'ExactSymbol' END"""
 
 
 @query(f"WITH {_ASKED} SELECT p_partkey, {_REPO} AS class FROM low")
@@ -782,7 +810,14 @@ def repo_class(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", classify.repository_class(F.col("q")).alias("class"))
 
 
-_VISUAL = "CASE " + " ".join("WHEN list_has_any(w, [" + ", ".join(f"'{x}'" for x in ws) + f"]) THEN '{n}'" for n, ws in classify.VISUAL_WORDS) + " END"
+_VISUAL = """CASE 
+  WHEN list_has_any(w, ['scanned', 'scan', 'ocr']) THEN 'ScannedPage'
+  WHEN list_has_any(w, ['formula', 'equation', 'mathematical']) THEN 'Formula'
+  WHEN list_has_any(w, ['table']) THEN 'Table'
+  WHEN list_has_any(w, ['chart', 'graph']) THEN 'Chart'
+  WHEN list_has_any(w, ['figure', 'diagram']) THEN 'Figure'
+  WHEN list_contains(w, 'pdf') OR list_contains(w, 'page') OR list_contains(w, 'document') THEN CASE
+  WHEN list_contains(w, 'text') OR list_contains(w, 'paragraph') THEN 'Text' END END"""
 
 
 @query(f"WITH {_ASKED}, v AS (SELECT p_partkey, regexp_split_to_array(lower(q), '[^a-z0-9]+') AS w FROM low) SELECT p_partkey, {_VISUAL} AS class FROM v")
@@ -790,10 +825,21 @@ def visual_class(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", classify.visual_class(F.col("q")).alias("class"))
 
 
-_REWRITE = ", ".join(["CASE WHEN contains(q, '" + m + "')" + (f" AND NOT contains(q, '{n}')" if n else "") + f" THEN replace(q, '{a}', '{b}') END" for m, n, a, b in classify.REWRITES] + ["CASE WHEN regexp_matches(q, '^[^#]*#[0-9]') THEN replace(q, '#', 'Issue ') END"] + [f"CASE WHEN contains(q, '{a}') THEN replace(q, '{a}', '{b}') END" for a, b in classify.VERSION_REWRITES])
+_REWRITE = """
+  CASE WHEN contains(q, 'PR') THEN replace(q, 'PR', 'Pull Request') END, 
+  CASE WHEN contains(q, 'DB') THEN replace(q, 'DB', 'Database') END, 
+  CASE WHEN contains(q, '-') THEN replace(q, '-', '_') END, 
+  CASE WHEN contains(q, 'src/') THEN replace(q, 'src/', 'crates/') END, 
+  CASE WHEN contains(q, 'test') AND NOT contains(q, 'tests/') THEN replace(q, 'test', 'tests/') END, 
+  CASE WHEN contains(q, 'fn ') THEN replace(q, 'fn ', 'function ') END, 
+  CASE WHEN contains(q, 'impl ') THEN replace(q, 'impl ', 'implementation ') END, 
+  CASE WHEN contains(q, 'module') THEN replace(q, 'module', 'mod') END, 
+  CASE WHEN regexp_matches(q, '^[^#]*#[0-9]') THEN replace(q, '#', 'Issue ') END, 
+  CASE WHEN contains(q, 'v1.') THEN replace(q, 'v1.', 'version 1.') END, 
+  CASE WHEN contains(q, 'v2.') THEN replace(q, 'v2.', 'version 2.') END"""
 
 
-@query(f"WITH {_ASKED} SELECT p_partkey, array_to_string(list_filter([{_REWRITE}], lambda x: x IS NOT NULL), '|') AS rewrites FROM low")
+@query(f"WITH {_ASKED} SELECT p_partkey, array_to_string(list_filter([{_REWRITE}, CASE WHEN regexp_matches(q, '(^|\\s)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(\\s|$)') THEN regexp_replace(q, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 'date \\1') END], lambda x: x IS NOT NULL), '|') AS rewrites FROM low")
 def rewrites(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", F.array_join(classify.rewrites(F.col("q")), "|").alias("rewrites"))
 
@@ -930,9 +976,10 @@ def memory_gate(spark, sf_dir):
 
 
 _STATES = ["building", "evaluated", "shadow", "active", "retired", "collectable", "tombstoned"]
+_STEPS = ["building>evaluated", "evaluated>shadow", "shadow>active", "active>retired", "retired>collectable", "retired>active", "collectable>tombstoned"]
 
 
-@query(f"""WITH s AS (SELECT unnest({_STATES}) AS state) SELECT a.state AS from_state, b.state AS to_state, a.state || '>' || b.state IN ({", ".join("'" + a + ">" + b + "'" for a, b in maintenance.GENERATION_NEXT)}) AS allowed FROM s a, s b""")
+@query(f"""WITH s AS (SELECT unnest({_STATES}) AS state) SELECT a.state AS from_state, b.state AS to_state, a.state || '>' || b.state IN ({', '.join(repr(x) for x in _STEPS)}) AS allowed FROM s a, s b""")
 def lifecycle_next(spark, sf_dir):
     pairs = spark.createDataFrame([(a, b) for a in _STATES for b in _STATES], "from_state string, to_state string")
     return pairs.withColumn("allowed", maintenance.generation_step(F.col("from_state"), F.col("to_state")))
@@ -1066,7 +1113,7 @@ def structural_starts(spark, sf_dir):
     return chunking.structural_starts(rows, c.startswith("In"), c.startswith("Th"), c.startswith("E"))
 
 
-_PROFILES = list(governance.APPROVAL)
+_PROFILES = ["ReadOnly", "Assisted", "ScopedAutonomy", "StrictResearch", "TrustedWorkspace"]
 
 
 @query(
@@ -1079,10 +1126,17 @@ def approval_matrix(spark, sf_dir):
     return pairs.withColumn("decision", governance.approval(F.col("profile"), F.col("risk")))
 
 
-_TASKS = [*governance.TASK_NEXT, "CompletedVerified", "CompletedWithWarnings", "Failed", "Cancelled"]
+_TASKS = ["Draft", "Open", "Active", "Validating", "Blocked", "CompletedVerified", "CompletedWithWarnings", "Failed", "Cancelled"]
+_TASK_STEPS = [
+    "Draft>Open", "Draft>Cancelled",
+    "Open>Active", "Open>Cancelled",
+    "Active>Validating", "Active>Blocked", "Active>Failed", "Active>Cancelled",
+    "Validating>CompletedVerified", "Validating>CompletedWithWarnings", "Validating>Failed", "Validating>Active",
+    "Blocked>Active", "Blocked>Failed", "Blocked>Cancelled",
+]
 
 
-@query(f"WITH s AS (SELECT unnest({_TASKS}) AS s) SELECT a.s AS from_state, b.s AS to_state, a.s || '>' || b.s IN ({', '.join(chr(39) + a + '>' + b + chr(39) for a, f in governance.TASK_NEXT.items() for b in f)}) AS allowed FROM s a, s b")
+@query(f"WITH s AS (SELECT unnest({_TASKS}) AS s) SELECT a.s AS from_state, b.s AS to_state, a.s || '>' || b.s IN ({', '.join(repr(x) for x in _TASK_STEPS)}) AS allowed FROM s a, s b")
 def task_transitions(spark, sf_dir):
     pairs = spark.createDataFrame([(a, b) for a in _TASKS for b in _TASKS], "from_state string, to_state string")
     return pairs.withColumn("allowed", governance.task_step(F.col("from_state"), F.col("to_state")))
