@@ -94,6 +94,11 @@ def has_secret(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in SECRET_PATTERNS)), F.lit(False))
 
 
+def payload(**fields: Column) -> Column:
+    """An event's payload as JSON; fields that are null are left out."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
 def human_bytes(n: Column) -> Column:
     """Whole MiB or KiB where it divides, else bytes."""
     mib, kib = 1 << 20, 1 << 10

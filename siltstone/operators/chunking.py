@@ -92,14 +92,18 @@ def line_ranges(starts: DataFrame) -> DataFrame:
 
 
 def node_type(text: Column) -> Column:
-    first = F.split(F.ltrim(text), "\n")[0]
-    return F.when(first.rlike(HEADING), "Section").when(first.startswith("```"), "Code").when(first.contains("|"), "Table").otherwise("Paragraph")
+    """By the first line, trimmed: a heading with a title, a code fence, a row of a table, or else a paragraph."""
+    first = F.regexp_replace(F.split(F.ltrim(text), "\n")[0], r"\s+$", "")
+    return F.when(first.rlike(r"^#{1,6}\s"), "Section").when(first.startswith("```"), "Code").when(first.contains("|"), "Table").otherwise("Paragraph")
 
 
 def structure_tree(chunks: DataFrame) -> DataFrame:
-    """One node per chunk below the document's root (node 0) with its next sibling."""
+    """One node per chunk below the document's root (node 0) with its next sibling; a section's path is its heading."""
     order = Window.partitionBy("doc_id").orderBy("ord")
-    return chunks.select("doc_id", (F.col("ord") + 1).alias("node"), F.lit(0).alias("parent"), (F.lead("ord").over(order) + 1).alias("next_sibling"), node_type(F.col("text")).alias("node_type"), "start_line", "end_line")
+    kind = node_type(F.col("text"))
+    heading = F.trim(F.regexp_replace(F.split(F.ltrim("text"), "\n")[0], r"^#{1,6}|\s+$", ""))
+    path = F.when(kind == "Section", F.array(heading)).otherwise(F.array().cast("array<string>"))
+    return chunks.select("doc_id", (F.col("ord") + 1).alias("node"), F.lit(0).alias("parent"), (F.lead("ord").over(order) + 1).alias("next_sibling"), kind.alias("node_type"), path.alias("section_path"), "start_line", "end_line")
 
 
 def summary_cards(docs: DataFrame, chunks: DataFrame, path: Column) -> DataFrame:

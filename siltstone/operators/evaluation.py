@@ -80,16 +80,17 @@ def budget_violations(observed: DataFrame, budgets: DataFrame, key: str, resourc
 
 
 def promotion(metrics: DataFrame, baseline: str, challenger: str, material: int = 500) -> DataFrame:
-    """``wins`` and its reasons for ``metrics (route, metric, value, higher_is_better, is_resource)``: no quality falls,
-    one rises by ``material`` or more, resources at most double."""
+    """``wins`` and its reasons for ``metrics (route, metric, value, higher_is_better, is_resource, measured)``: all are
+    measured, no quality falls (one of which lower is better may double), one improves by ``material`` or more, and
+    resources at most double."""
     pair = metrics.groupBy("metric", "higher_is_better", "is_resource").agg(
-        F.max(F.when(F.col("route") == baseline, F.col("value"))).alias("old"), F.max(F.when(F.col("route") == challenger, F.col("value"))).alias("new")
+        F.max(F.when(F.col("route") == baseline, F.col("value"))).alias("old"), F.max(F.when(F.col("route") == challenger, F.col("value"))).alias("new"), F.bool_and("measured").alias("measured")
     )
     quality = ~F.col("is_resource")
     gain = F.when(F.col("higher_is_better"), F.col("new") - F.col("old")).otherwise(F.col("old") - F.col("new"))
     summary = pair.agg(
-        F.bool_and(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("complete"),
-        F.coalesce(F.bool_or(quality & (gain < 0)), F.lit(False)).alias("regressed"),
+        F.bool_and(F.col("old").isNotNull() & F.col("new").isNotNull() & F.col("measured")).alias("complete"),
+        F.coalesce(F.bool_or(quality & F.when(F.col("higher_is_better"), gain < 0).otherwise(F.col("new") > 2 * F.col("old"))), F.lit(False)).alias("regressed"),
         F.coalesce(F.bool_or(quality & (gain >= material)), F.lit(False)).alias("material"),
         F.coalesce(F.bool_or(F.col("is_resource") & (F.col("new") > 2 * F.col("old"))), F.lit(False)).alias("too_costly"),
     )
@@ -98,3 +99,18 @@ def promotion(metrics: DataFrame, baseline: str, challenger: str, material: int
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def route_quality(observed: DataFrame, metrics: list[str]) -> DataFrame:
+    """Per route of ``observed (case_id, route, <metric>, <metric>_measured)``: integer means, null unless every
+    observation measured the metric."""
+    return observed.groupBy("route").agg(*[mean_metric(F.col(m), F.col(f"{m}_measured")).alias(m) for m in metrics])
+
+
+def over_budget(observed: DataFrame, cases: DataFrame, resources: list[str]) -> DataFrame:
+    """``route, budget_violations``: observations that use more of any resource than their case allows (``most_<resource>``);
+    what wasn't measured (null) is no violation."""
+    beyond = F.lit(False)
+    for r in resources:
+        beyond = beyond | F.coalesce(F.col(r) > F.col(f"most_{r}"), F.lit(False))
+    return observed.join(cases, "case_id").groupBy("route").agg(F.count(F.when(beyond, 1)).alias("budget_violations"))

@@ -121,6 +121,31 @@ def eligible_cards(cards: DataFrame, artifacts: DataFrame, chunks: DataFrame, ev
     return fine.join(eligible_chunks(artifacts, at_node, evidence, auth), ["artifact_id", "node"])
 
 
+def candidates(hits: DataFrame, artifacts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Candidates of ``hits (artifact_id, node, evidence_id, start_line, end_line)`` with their ``problem``, null if fine.
+
+    The version is the artifact's content hash, the place that of the evidence's kind: a
+    file's lines, a page, a region, or a symbol. Trust and freshness begin as unknown. A hit
+    without its artifact or evidence is dropped.
+    """
+    own = evidence.select("evidence_id", F.col("artifact_id").alias("owner"), "kind", "path", "page")
+    met = hits.join(artifacts.select("artifact_id", "content_hash"), "artifact_id").join(own, "evidence_id")
+    paged = F.col("start_line").isNull()
+    place = (
+        F.when(F.col("kind") == "FileSpan", F.concat_ws(":", F.lit("file"), "path", "start_line", "end_line"))
+        .when(F.col("kind").isin("PdfSpan", "PdfRegion"), F.concat_ws(":", F.lit("page"), F.col("page").cast("string")))
+        .when(F.col("kind") == "WebSnapshot", F.concat_ws(":", F.lit("symbol"), "path", F.lit("web_snapshot")))
+        .otherwise(F.concat(F.lit("symbol:evidence:"), F.col("evidence_id").cast("string")))
+    )
+    problem = F.when(F.col("owner") != F.col("artifact_id"), "foreign evidence").when((F.col("kind") == "FileSpan") & paged, "span").when(F.col("content_hash").isNull(), "no version")
+    return met.select("evidence_id", "artifact_id", "node", "content_hash", place.alias("location"), F.lit("Unverified").alias("trust"), F.lit("Unknown").alias("freshness"), problem.alias("problem"))
+
+
+def lineage_broken(seeds: DataFrame, expanded: DataFrame, keys: list[str]) -> DataFrame:
+    """Seeds that an expansion lost or changed: it may only add."""
+    return seeds.join(expanded.select(*keys).distinct(), keys, "left_anti")
+
+
 def of_model(vectors: DataFrame, dimension: int, **identity: str) -> DataFrame:
     """Vectors of a dimension whose identity columns (provider, model, version, generation, representation, fingerprint)
     are those that are asked for; others may be anything."""

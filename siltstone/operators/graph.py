@@ -92,6 +92,15 @@ def context(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: i
     return known.join(by_node, "node"), found, truncated
 
 
+def hierarchy(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, chunks: DataFrame, max_depth: int, max_relations: int = MAX_VISITS) -> DataFrame:
+    """``node, depth, ord, chunk_id``: chunks of what ``seeds (node)`` reach through relations whose both ends may be read
+    (``allowed (node)``), within a depth and a number of relations."""
+    ends = [allowed.select(F.col("node").alias(c)) for c in ("src", "dst")]
+    readable = edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
+    nodes, _, _ = context(readable, seeds.join(allowed, "node", "left_semi"), max_depth, MAX_NODES, max_visits=max_relations)
+    return nodes.select("node", "depth").join(chunks.select("node", "ord", "chunk_id"), "node")
+
+
 def path_scores(edges: DataFrame, ranked_seeds: DataFrame) -> DataFrame:
     """First-hop scores ``other, score``: the best over seeds (``node, seed_rank``) and edges."""
     met = neighbours(edges, ranked_seeds)

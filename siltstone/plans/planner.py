@@ -346,6 +346,17 @@ class Engine:
         row = found.select(F.explode("coverage_keys").alias("k")).agg(F.collect_set("k").alias("k")).first()
         return sorted(set(plan.requirements.required_keys) - set(row.k))
 
+    def explain(self, plan: SearchPlan) -> dict:
+        """What a plan is and how it runs: its identity and fields, its lanes, and the optimized plan of its fusion."""
+        validate(plan)
+        fused = self.ranked(plan, self.lane_hits(plan))
+        return {"trace_id": plan.trace_id(), "plan": asdict(plan), "lanes": [r.descriptor.id for r in self.active(plan)], "shadow": [r.descriptor.id for r in self.shadows(plan)], "physical": fused._jdf.queryExecution().optimizedPlan().toString()}
+
+    def shadow(self, plan: SearchPlan) -> DataFrame | None:
+        """Hits of the lanes that run beside a search, to be recorded and never served; none without such a lane."""
+        lanes = self.shadows(plan)
+        return self.lane_hits(plan, lanes=lanes) if lanes else None
+
     def code_search(self, kind: str, value: str | None = None, limit: int = 20) -> DataFrame:
         """A code query; an invalid pattern gives no rows (see ``code.regex_error``)."""
         if kind == "regex" and code.regex_error(value):

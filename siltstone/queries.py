@@ -220,10 +220,12 @@ def line_ranges(spark, sf_dir):
 
 @query(
     f"""WITH {PARAGRAPHS}{SECTIONS} SELECT doc_id, ord + 1 AS node, 0 AS parent, lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) + 1 AS next_sibling,
-  CASE WHEN regexp_matches(split_part(ltrim(text), chr(10), 1), '^#{{1,6}}([ \\t]|$)') THEN 'Section' WHEN starts_with(ltrim(text), '```') THEN 'Code' WHEN contains(split_part(ltrim(text), chr(10), 1), '|') THEN 'Table' ELSE 'Paragraph' END AS node_type, start_line, end_line FROM chunks"""
+  CASE WHEN regexp_matches(rtrim(split_part(ltrim(text), chr(10), 1)), '^#{{1,6}}[ \\t]') THEN 'Section' WHEN starts_with(ltrim(text), '```') THEN 'Code' WHEN contains(split_part(ltrim(text), chr(10), 1), '|') THEN 'Table' ELSE 'Paragraph' END AS node_type,
+  CASE WHEN regexp_matches(rtrim(split_part(ltrim(text), chr(10), 1)), '^#{{1,6}}[ \\t]') THEN trim(regexp_replace(split_part(ltrim(text), chr(10), 1), '^#+', '')) ELSE '' END AS section_path, start_line, end_line FROM chunks"""
 )
 def structure_tree(spark, sf_dir):
-    return chunking.structure_tree(chunking.markdown_chunks(table(spark, sf_dir, "documents")))
+    tree = chunking.structure_tree(chunking.markdown_chunks(table(spark, sf_dir, "documents")))
+    return tree.withColumn("section_path", F.array_join("section_path", "/"))
 
 
 @query(
@@ -690,12 +692,6 @@ def context_nodes(spark, sf_dir):
     return nodes.filter(F.lit(not truncated)).select("node", "depth", F.array_join("seeds", ",").alias("seeds"))
 
 
-@query("SELECT l.doc_id, d.source, b.quality FROM documents d JOIN labels l USING (doc_id) JOIN labels b USING (doc_id)")
-def hit_enrichment(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
-    return docs.join(labels.select("doc_id"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id")
-
-
 @query("WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT c_custkey, o_orderkey FROM customer JOIN o ON c_custkey = o_custkey AND n = 1")
 def card_chunk_first(spark, sf_dir):
     first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
@@ -949,16 +945,35 @@ def budget_violations(spark, sf_dir):
 
 @query(
     """WITH m AS (SELECT o_orderpriority AS metric, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS old, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS new_, starts_with(o_orderpriority, '5') AS res FROM orders GROUP BY 1),
-  g AS (SELECT true AS complete, coalesce(bool_or(NOT res AND new_ < old), false) AS regressed, coalesce(bool_or(NOT res AND new_ - old >= 500), false) AS material, coalesce(bool_or(res AND new_ > 2 * old), false) AS too_costly FROM m)
+  g AS (SELECT bool_and(metric <> 'x') AS complete, coalesce(bool_or(NOT res AND new_ < old), false) AS regressed, coalesce(bool_or(NOT res AND new_ - old >= 500), false) AS material, coalesce(bool_or(res AND new_ > 2 * old), false) AS too_costly FROM m)
   SELECT *, complete AND NOT regressed AND material AND NOT too_costly AS wins FROM g"""
 )
 def promotion_gate(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.filter(F.col("o_orderstatus").isin("F", "O")).groupBy(F.when(F.col("o_orderstatus") == "F", "old").otherwise("new").alias("route"), F.col("o_orderpriority").alias("metric")).agg(F.count("*").alias("value"))
-    rows = rows.withColumn("is_resource", F.col("metric").startswith("5")).withColumn("higher_is_better", F.lit(True))
+    rows = rows.withColumn("is_resource", F.col("metric").startswith("5")).withColumn("higher_is_better", F.lit(True)).withColumn("measured", F.lit(True))
     return evaluation.promotion(rows, "old", "new")
 
 
+@query(
+    """SELECT a AS arm, a IN ('double redundancy', 'better') AS wins FROM (SELECT unnest(['better', 'double redundancy', 'triple redundancy', 'one worse', 'too small', 'slow', 'unmeasured']) AS a)"""
+)
+def sparse_gate(spark, sf_dir):
+    """The gate on planted routes: redundancy may double, latency may double, telemetry must be complete."""
+    base = {"recall": (5000, True, False), "ndcg": (6000, True, False), "redundancy": (1000, False, False), "p95": (100, False, True)}
+    arms = {
+        "better": {"recall": 5600}, "double redundancy": {"recall": 5600, "redundancy": 2000}, "triple redundancy": {"recall": 5600, "redundancy": 3000}, "one worse": {"recall": 5600, "ndcg": 5999},
+        "too small": {"recall": 5499}, "slow": {"recall": 5600, "p95": 201}, "unmeasured": {"recall": 5600},
+    }
+    out = None
+    for arm, changes in arms.items():
+        rows = [("old", m, v, h, r, True) for m, (v, h, r) in base.items()] + [("new", m, changes.get(m, v), h, r, arm != "unmeasured" or m != "ndcg") for m, (v, h, r) in base.items()]
+        metrics = spark.createDataFrame(rows, "route string, metric string, value long, higher_is_better boolean, is_resource boolean, measured boolean")
+        one = evaluation.promotion(metrics, "old", "new").select(F.lit(arm).alias("arm"), "wins")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def corpus_validation(spark, sf_dir):
     return evaluation.duplicate_keys(table(spark, sf_dir, "documents").select(F.md5("text").alias("key")), "key")

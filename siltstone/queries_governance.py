@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import policy, text
-from siltstone.operators import governance, maintenance, outcome, selection, validators
+from siltstone.operators import evaluation, governance, graph, maintenance, outcome, selection, validators
 from siltstone.plans import extensions, planner
-from siltstone.queries import AUTH, DENIAL, SECURED, query, secured
+from siltstone.queries import AUTH, DENIAL, SECURED, edges, query, secured
 from siltstone.session import table
+from siltstone.streaming import events
 
 # ---- validators: orders are outcomes and tasks, their lines claims and candidates ---------------
 
@@ -344,8 +346,6 @@ def secret_scan(spark, sf_dir):
 def diversity_select(spark, sf_dir):
     """By language in the order of ids, three sources at least: one document and section a source, so the scan ends at the
     first candidate of a known source once three are there."""
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
     rows = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("query_id"), rank.alias("rank"), F.col("doc_id").alias("evidence_id"), F.lit(None).cast("long").alias("dup_cluster"), "source", F.col("source").alias("document"), F.col("source").alias("section"),
@@ -353,3 +353,96 @@ def diversity_select(spark, sf_dir):
     )
     found = selection.select(rows, selection.Requirements(minimum_sources=3, minimum_documents=3, minimum_sections=3), 10)
     return found.filter("placement = 'Selected'").select("query_id", "evidence_id", "original_rank")
+
+
+# ---- candidates, lineage, routes ----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SECURED}, hit AS (SELECT doc_id, doc_id * 1000003 + 500001 AS evidence_id, CASE WHEN doc_id % 21 <> 0 THEN 1 END AS a FROM secured), ev AS (SELECT evidence_id, CASE WHEN doc_id % 16 = 0 THEN doc_id + 1 ELSE doc_id END AS owner, ['FileSpan', 'PdfSpan', 'WebSnapshot', 'Other'][doc_id % 4 + 1] AS kind FROM hit WHERE doc_id % 18 <> 0)
+  SELECT evidence_id, s.doc_id AS artifact_id, CASE kind WHEN 'FileSpan' THEN 'file:' || path || CASE WHEN a IS NULL THEN '' ELSE ':1:9' END WHEN 'PdfSpan' THEN 'page:' || (s.doc_id % 7) WHEN 'WebSnapshot' THEN 'symbol:' || path || ':web_snapshot' ELSE 'symbol:evidence:' || evidence_id END AS location,
+    CASE WHEN owner <> s.doc_id THEN 'foreign evidence' WHEN kind = 'FileSpan' AND a IS NULL THEN 'span' WHEN s.doc_id % 22 = 0 THEN 'no version' END AS problem FROM secured s JOIN hit ON hit.doc_id = s.doc_id JOIN ev USING (evidence_id)"""
+)
+def hit_enrichment(spark, sf_dir):
+    """Hits to candidates through their artifacts and evidence; a hit without evidence is dropped."""
+    d, rows = F.col("doc_id"), secured(spark, sf_dir)
+    eid = text.evidence_id(d, F.lit(0))
+    line = F.when(d % 21 != 0, F.lit(1))
+    hits = rows.select(d.alias("artifact_id"), F.lit(1).alias("node"), eid.alias("evidence_id"), line.cast("string").alias("start_line"), F.when(line.isNotNull(), "9").alias("end_line"))
+    artifacts = rows.select(d.alias("artifact_id"), F.when(d % 22 != 0, F.md5("text")).alias("content_hash"))
+    kinds = F.array(*[F.lit(k) for k in ("FileSpan", "PdfSpan", "WebSnapshot", "Other")])
+    evidence = rows.filter("doc_id % 18 <> 0").select(eid.alias("evidence_id"), F.when(d % 16 == 0, d + 1).otherwise(d).alias("artifact_id"), F.element_at(kinds, (d % 4 + 1).cast("int")).alias("kind"), "path", (d % 7).alias("page"))
+    return governance.candidates(hits, artifacts, evidence).select("evidence_id", "artifact_id", "location", "problem")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 4 OR o_orderkey % 10 = 0")
+def expansion_lineage(spark, sf_dir):
+    """Seeds that an expansion dropped, or changed the price of."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    changed = o.filter("o_orderkey % 9 <> 4").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return governance.lineage_broken(o, changed, ["o_orderkey", "o_totalprice"]).select("o_orderkey")
+
+
+@query(
+    """WITH o AS (SELECT o_orderstatus AS route, o_custkey % 10000 AS recall, o_custkey % 97 <> 0 OR o_orderstatus = 'F' AS ok FROM orders) SELECT route, CASE WHEN bool_and(ok) THEN (sum(recall) // count(*))::BIGINT END AS recall FROM o GROUP BY 1"""
+)
+def route_quality(spark, sf_dir):
+    c = F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("route"), (c % 10_000).alias("recall"), ((c % 97 != 0) | (F.col("o_orderstatus") == "F")).alias("recall_measured"))
+    return evaluation.route_quality(rows, ["recall"])
+
+
+@query(
+    "SELECT o_orderstatus AS route, count(*) FILTER (o_orderkey % 4 <> 0 AND o_custkey % 100 > o_orderkey % 90 OR o_custkey % 50 > 40) AS budget_violations FROM orders GROUP BY 1"
+)
+def route_budgets(spark, sf_dir):
+    k, c, o = F.col("o_orderkey"), F.col("o_custkey"), table(spark, sf_dir, "orders")
+    observed = o.select(k.alias("case_id"), F.col("o_orderstatus").alias("route"), F.when(k % 4 != 0, c % 100).alias("p95"), (c % 50).alias("memory"))
+    return evaluation.over_budget(observed, o.select(k.alias("case_id"), (k % 90).alias("most_p95"), F.lit(40).alias("most_memory")), ["p95", "memory"])
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"kind":"' || event_type || '","id":' || event_id || '}' ELSE '{"kind":"' || event_type || '","id":' || event_id || ',"user":' || user_id || '}' END AS payload, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN user_id END AS "user" FROM events"""
+)
+def event_payloads(spark, sf_dir):
+    """Payloads written as JSON and read back."""
+    made = text.payload(kind=F.col("event_type"), id=F.col("event_id"), user=F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
+    rows = table(spark, sf_dir, "events").select("event_id", made.alias("payload"))
+    back = F.from_json("payload", "kind string, id long, user long")
+    return rows.select("event_id", "payload", back["kind"].alias("kind"), back["user"].alias("user"))
+
+
+@query(
+    """WITH b AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM b)
+  SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s.n"""
+)
+def event_sessions(spark, sf_dir):
+    return events.sessions(table(spark, sf_dir, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT 'same' AS state, true AS clean UNION ALL SELECT 'another event', false UNION ALL SELECT 'another row', false UNION ALL SELECT 'another configuration', false"""
+)
+def projection_watermark(spark, sf_dir):
+    """Whether a projection's state is still the one that was reconciled."""
+    e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    state = lambda e, d, config="c": events.watermark(e.agg(F.max("event_id")).first()[0], config, {"documents": d.count()}, "f")
+    kept = state(e, d)
+    cases = [("same", state(e, d)), ("another event", state(e.withColumn("event_id", F.col("event_id") + 1), d)), ("another row", state(e, d.filter("doc_id > 0"))), ("another configuration", state(e, d, "other"))]
+    return spark.createDataFrame([(n, x == kept) for n, x in cases], "state string, clean boolean")
+
+
+@query(
+    """WITH RECURSIVE ok AS (SELECT 'nation:' || n_nationkey AS node FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0),
+  e AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier), fine AS (SELECT * FROM e WHERE src IN (SELECT node FROM ok) AND dst IN (SELECT node FROM ok)),
+  b AS (SELECT src AS f, dst AS t FROM fine UNION ALL SELECT dst, src FROM fine), w AS (SELECT 'region:2' AS node, 0 AS depth UNION SELECT t, depth + 1 FROM w JOIN b ON f = node WHERE depth < 2)
+  SELECT node, min(depth) AS depth, s_suppkey % 3 AS ord, s_suppkey AS chunk_id FROM w JOIN supplier ON node = 'supplier:' || s_suppkey GROUP BY ALL"""
+)
+def hierarchy_expansion(spark, sf_dir):
+    """Chunks (of suppliers) that a region reaches through what may be read."""
+    s = table(spark, sf_dir, "supplier")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("node")
+    allowed = table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select(name("nation", "n_nationkey")).unionByName(table(spark, sf_dir, "region").select(name("region", "r_regionkey"))).unionByName(s.filter("s_suppkey % 4 <> 0").select(name("supplier", "s_suppkey")))
+    chunks = s.select(name("supplier", "s_suppkey"), (F.col("s_suppkey") % 3).alias("ord"), F.col("s_suppkey").alias("chunk_id"))
+    relations = edges(spark, sf_dir).filter("kind <> 'PlacedBy' AND NOT startswith(src, 'customer')")
+    return graph.hierarchy(relations, spark.createDataFrame([("region:2",)], "node string"), allowed, chunks, 2)
