@@ -11,14 +11,13 @@ a text part it and get their own ids, as in the library's ``encode``.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from siltstone.llm import spans
 
@@ -57,17 +56,16 @@ def _byte_characters() -> dict[int, str]:
 
 class ByteBpe:
     def __init__(self, path: str, end_id: int | None, bits: int = 21) -> None:
-        spec = json.loads(open(path, encoding="utf-8").read())
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        if not plain or spec.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges"):
+        tokenizer = Tokenizer.from_file(path)
+        pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
+        plain = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        if not plain or tokenizer.normalizer or not isinstance(self.model, models.BPE) or self.model.ignore_merges:
             raise ValueError("a byte-level BPE tokenizer without normalizer or prefix space is needed")
-        added = spec.get("added_tokens") or []
-        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens that take white space or whole words only aren't known")
-        self.model = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None})).model
         self.pattern = regex.compile(PATTERN)
-        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.added = {t.content.encode(): i for i, t in added.items()}
         self.marks = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.known = spans.Interner(bits)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0

@@ -108,7 +108,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 5, fil
                         }
                     )
 
-    item_windows = cut(bench.mapInArrow(of_items, "item_id string, size int, fp long, words binary"))
+    item_windows = cut(bench.mapInArrow(spans.tidy(of_items), "item_id string, size int, fp long, words binary"))
     short = [r.size for r in item_windows.filter(F.col("size") < window).select("size").distinct().collect()]  # fewer than `window` rows
     distinct = item_windows.select("fp").distinct()
     allowed = None
@@ -142,7 +142,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 5, fil
                 row += part.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(rows.mapInArrow(of_docs, "row_ long, doc_id long, n_words long, fps array<long>, text string"))
+    seen = cut(rows.mapInArrow(spans.tidy(of_docs), "row_ long, doc_id long, n_words long, fps array<long>, text string"))
     asking = seen.filter("text IS NOT NULL").select("row_", "fps", "text")
     if allowed is None:
         met = lookup(asking.select("row_", F.explode("fps").alias("fp")), distinct.withColumn("there", F.lit(True)), ["fp"]).filter("there")
@@ -189,8 +189,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 5, fil
             take = pa.array(np.repeat(np.arange(len(many)), many))
             yield pa.record_batch({"row_": pa.array(all_[:, 0]), "begin": pa.array(all_[:, 1]), "size": batch.column("size").take(take), "set_": batch.column("set_").take(take)})
 
-    met = asking.mapInArrow(gather, "size int, words binary, places binary").join(of_window.select("size", "words", "set_"), ["size", "words"])
-    places = met.select("size", "set_", "places").mapInArrow(spread, "row_ long, begin long, size int, set_ string")
+    met = asking.mapInArrow(spans.tidy(gather), "size int, words binary, places binary").join(of_window.select("size", "words", "set_"), ["size", "words"])
+    places = met.select("size", "set_", "places").mapInArrow(spans.tidy(spread), "row_ long, begin long, size int, set_ string")
     by_row = cut(places.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("found"), F.collect_set("set_").alias("sets")))
     named = lookup(by_row.select("row_", F.explode("sets").alias("set_")), sets, ["set_"]).select("row_", F.explode("item_ids").alias("item_id"))
     named = named.groupBy("row_").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))

@@ -35,7 +35,7 @@ GRAMS = (1, 2, 3, 4)
 #: Distinct words a worker keeps scores of, and bytes of these scores, at most.
 KNOWN_BITS, KNOWN_BYTES = 20, 64 << 20
 #: Text bytes that Viterbi steps through side by side, with up to STEP_LANGUAGES languages; with more, fewer bytes.
-STEP_BYTES, STEP_LANGUAGES = 4 << 20, 16
+STEP_BYTES, STEP_LANGUAGES = 2 << 20, 16
 #: Words whose n-grams are looked up at once.
 PART_WORDS = 1 << 11
 #: Bytes of distinct words whose n-grams are counted at once.
@@ -251,8 +251,8 @@ def fit(rows: DataFrame, switch: float = 6.0) -> Model:
                 yield pa.record_batch({"lang": names.dictionary.take(pa.array(seen // len(SCRIPTS))), "gram": pa.array(seen % len(SCRIPTS) - len(SCRIPTS)), "n": pa.array(script[seen])})
 
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    totals = known.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = totals.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    totals = known.mapInArrow(spans.tidy(words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = totals.mapInArrow(spans.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").combine_chunks().dictionary_encode()
     languages = sorted(names.dictionary.to_pylist())
     lang = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
@@ -313,7 +313,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 got = _judged(model, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, *got], [*part.schema.names, "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(spans.tidy(run), schema)
 
 
 def identify(docs: DataFrame, switch: float = 6.0) -> DataFrame:

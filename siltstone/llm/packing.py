@@ -55,7 +55,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: i
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(spans.tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     row = F.col(row_col) if row_col else F.lit(0)
     rows = docs.select(row.cast("long").alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row_ long, doc_id long, fp long")
+    return rows.mapInArrow(spans.tidy(run), "row_ long, doc_id long, fp long")
 
 
 def block_masks(distance: int = 4, blocks: int = 7) -> list[int]:
@@ -141,7 +141,7 @@ def _edges(keyed: DataFrame, keys: list[str], distance: int) -> DataFrame:
             held_k, held_v = k[last:], v[last:]
         yield from emit(held_k, held_v)
 
-    return keyed.select(*keys, "fp").mapInArrow(run, "a long, b long")
+    return keyed.select(*keys, "fp").mapInArrow(spans.tidy(run), "a long, b long")
 
 
 def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell: int = CELL) -> DataFrame:

@@ -7,7 +7,8 @@ Hashes only route or pre-filter: operators that promise exact results compare by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,24 @@ _BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives the memory that it freed back to the system, where the C library can.
+
+    Workers live for many tasks of many kinds, and would keep the largest of what each one used.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def space_class() -> np.ndarray:
     """True for bytes of words ``[^\\x20\\x09-\\x0D]+``."""
     table = np.ones(256, bool)

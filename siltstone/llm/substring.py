@@ -90,7 +90,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
                 yield pa.record_batch({"row_": part.column("row_").take(take), "id_": _ids(part).take(take), "key": pa.array(least.view(np.int64))})
 
     path = scratch(spark, "minimisers")  # a table: three times smaller than a checkpoint of the same rows
-    rows.mapInArrow(keys, "row_ long, id_ long, key long").write.parquet(path)
+    rows.mapInArrow(spans.tidy(keys), "row_ long, id_ long, key long").write.parquet(path)
     placed = spark.read.parquet(path)
     shared = placed.groupBy("key").agg(F.min("id_").alias("low"), F.max("id_").alias("high"), F.count("*").alias("n"))
     shared = shared.filter("low < high").select("key", (F.col("n") > hot).alias("hot"))
@@ -151,7 +151,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
         if held:
             yield flush()
 
-    packed = again.mapInArrow(pack, "key long, hot boolean, packed binary, low long, places binary")
+    packed = again.mapInArrow(spans.tidy(pack), "key long, hot boolean, packed binary, low long, places binary")
     buckets = packed.repartition("key").sortWithinPartitions("key", "hot", "packed", "low")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
         close()
         yield ready()
 
-    return buckets.mapInArrow(count, "row_ long, begin long, end long")
+    return buckets.mapInArrow(spans.tidy(count), "row_ long, begin long, end long")
 
 
 def _finish(docs: DataFrame, window: int, hot: int, each: Callable[[bytes, list], dict], schema: str) -> DataFrame:
@@ -234,7 +234,7 @@ def _finish(docs: DataFrame, window: int, hot: int, each: Callable[[bytes, list]
                 yield pa.RecordBatch.from_pylist([{"row_": r, "doc_id": i} | x for (r, i), x in zip(ids, made, strict=True)], schema=_arrow(schema))
 
     joined = rows.join(ranges, "row_", "left").select("row_", "doc_id", "text", "ranges")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(spans.tidy(run), schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -290,4 +290,4 @@ def without_repeats(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFr
                     columns["n_chars"] = pa.array([n if not r else len(t) for n, t, r in zip(part.column("n_chars").to_pylist(), left, ranges, strict=True)], part.schema.field("n_chars").type)
                 yield pa.record_batch(columns).filter(stays)
 
-    return joined.mapInArrow(run, docs.select(*others).schema)
+    return joined.mapInArrow(spans.tidy(run), docs.select(*others).schema)

@@ -179,7 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
     tasks = size // TASK_BYTES if size < 1 << 60 else 0  # an unknown size is told as the largest long
     more = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (rows.repartitionByRange(tasks, *order) if more else rows.repartitionByRange(*order)).sortWithinPartitions(*order).select("doc_id", "text")
-    made = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
+    made = ordered.mapInArrow(spans.tidy(run), "block binary").select(F.col("block").cast("string").alias("value"))
     made.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
@@ -206,7 +206,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    found = cut(files.mapInArrow(run, "number int, sequence int, doc_id long, begin long, n_tokens long, ids_crc32 long"))
+    found = cut(files.mapInArrow(spans.tidy(run), "number int, sequence int, doc_id long, begin long, n_tokens long, ids_crc32 long"))
     sizes = found.groupBy("number", "sequence").agg(F.sum("n_tokens").alias("ids"))
     earlier = Window.partitionBy("number").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     inner = sizes.select("number", "sequence", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("inner"))

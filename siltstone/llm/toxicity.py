@@ -272,7 +272,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     sizes = np.zeros((FOLDS, 2))
     for r in rows.groupBy("fold", "toxic").count().collect():  # two rows a fold
         sizes[r.fold, int(r.toxic)] = r["count"]
-    counts = rows.select("text", "toxic").mapInArrow(toxic_only, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
+    counts = rows.select("text", "toxic").mapInArrow(spans.tidy(toxic_only), "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
     got = counts.filter(F.col("t") >= LEAST).select("key").toArrow()  # of the bounded sample
     keys = np.sort(got.column("key").to_numpy().view(np.uint64))
 
@@ -288,7 +288,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         at, kind = np.nonzero(table)
         yield pa.record_batch({"at": pa.array(at, pa.int32()), "kind": pa.array(kind, pa.int32()), "n": pa.array(table[at, kind].astype(np.int64))})
 
-    got = rows.select("text", "toxic", "fold").mapInArrow(of_candidates, "at int, kind int, n long").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text", "toxic", "fold").mapInArrow(spans.tidy(of_candidates), "at int, kind int, n long").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(keys), FOLDS * 2))
     table[got.column("at").to_numpy(), got.column("kind").to_numpy()] = got.column("n").to_numpy()
     out = []
@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
                     yield pa.record_batch({"toxic": own.column("toxic"), "words": pa.array(f.words), **lists})
 
     # of `most` rows at most, what their matched clauses emit
-    got = rows.select("text", "toxic", "fold").mapInArrow(match, "toxic boolean, words long, clause array<long>, arc array<long>, weight array<double>").toArrow().combine_chunks()
+    got = rows.select("text", "toxic", "fold").mapInArrow(spans.tidy(match), "toxic boolean, words long, clause array<long>, arc array<long>, weight array<double>").toArrow().combine_chunks()
     y, words = got.column("toxic").to_numpy().astype(float), got.column("words").to_numpy()
     clause, arc, weight = (got.column(c).combine_chunks() for c in ("clause", "arc", "weight"))
     owner = np.repeat(np.arange(len(y)), clause.value_lengths().to_numpy().astype(np.int64))
@@ -398,7 +398,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(spans.tidy(run), "doc_id long, score double, predicted int")
 
 
 def clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,7 +413,7 @@ def clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch({"doc_id": ids, "clause": pa.array([t.decode() for t in found.text], pa.string()), "score": pa.array(found.scores(weights))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, clause string, score double")
+    return rows.mapInArrow(spans.tidy(run), "doc_id long, clause string, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:

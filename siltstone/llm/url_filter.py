@@ -147,7 +147,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 yield pa.record_batch({"pack": pa.array([number]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "contexts": lists})
                 number += 1
 
-    return session.cut(rows.mapInArrow(pack, "pack long, rows binary, contexts array<long>"))
+    return session.cut(rows.mapInArrow(spans.tidy(pack), "pack long, rows binary, contexts array<long>"))
 
 
 def _counted(packed: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _counted(packed: DataFrame) -> DataFrame:
                     n = np.bincount(back * 2 + allow[owner], minlength=2 * len(key)).reshape(-1, 2)
                     yield pa.record_batch({"context": pa.array(context[at].view(np.int64)), "pair": pa.array(key.view(np.int64)), "bad": pa.array(n[:, 0]), "good": pa.array(n[:, 1])})
 
-    pairs = packed.select("rows").mapInArrow(count, "context long, pair long, bad long, good long").groupBy("context", "pair").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    pairs = packed.select("rows").mapInArrow(spans.tidy(count), "context long, pair long, bad long, good long").groupBy("context", "pair").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     nexts = pairs.groupBy("context").agg(F.collect_list(F.struct("pair", "bad", "good")).alias("next"))
     return nexts.select("context", "next.pair", "next.bad", "next.good")
 
