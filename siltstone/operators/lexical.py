@@ -90,12 +90,21 @@ class Postings:
         return f"q int, id {self.rows.schema['id'].dataType.simpleString()}, score double"
 
 
+#: Parts in which the hits of one query are ranked before the best of all parts are.
+SALTS = 256
+
+
 def best_of_each(scored: DataFrame, k: int) -> DataFrame:
-    """``q, id, score_milli, rank``: the first k of each query of ``scored (q, id, score)``; the window's limit is
-    pushed before its shuffle."""
+    """``q, id, score_milli, rank``: the first k of each query of ``scored (q, id, score)``.
+
+    A query may match most of the corpus, so its hits are ranked in salted parts first: one
+    task then sees no more than ``SALTS * k`` of them.
+    """
     rows = scored.select("q", "id", F.round(F.col("score") * 1000).cast("long").alias("score_milli"))
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score_milli"), "id"))
-    return rows.withColumn("rank", nth).filter(F.col("rank") <= k)
+    order = [F.desc("score_milli"), F.col("id")]
+    parted = rows.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parted = parted.withColumn("nth_", F.row_number().over(Window.partitionBy("q", "salt_").orderBy(*order))).filter(F.col("nth_") <= k).drop("salt_", "nth_")
+    return parted.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
