@@ -38,8 +38,8 @@ KNOWN_BITS, KNOWN_BYTES = 20, 64 << 20
 STEP_BYTES, STEP_LANGUAGES = 2 << 20, 16
 #: Words whose n-grams are looked up at once.
 PART_WORDS = 1 << 11
-#: Bytes of distinct words whose n-grams are counted at once.
-WORD_BYTES = 1 << 15
+#: Above the codes of n-grams: where those of scripts are counted.
+_SCRIPT_CODE = 1 << 39
 _START, _SCRIPTS = np.array([a for a, _ in SCRIPT_RANGES]), [n for _, n in SCRIPT_RANGES]
 SCRIPTS = list(dict.fromkeys(_SCRIPTS))
 
@@ -215,55 +215,51 @@ def is_training(doc_id: str = "doc_id") -> F.Column:
 def fit(rows: DataFrame, switch: float = 6.0) -> Model:
     """Learn from ``rows (text, lang)``, all of them. A count for each n-gram of each language is collected.
 
-    Words are counted over all rows first, so that their weights don't depend on the rows' layout.
+    An n-gram weighs the square root of its total count, so that those of rare words have a
+    say; totals are sums over all rows, so weights don't depend on the rows' layout.
     """
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in spans.chunks(batch, "text"):
-                names = part.column("lang").dictionary_encode()
-                lang = names.indices.to_numpy().astype(np.int64)
-                data, starts, ends, first = _words(part)
-                if not len(starts):
-                    continue
-                owner = np.repeat(lang, np.diff(first))
-                keys = spans.mix(spans.hash_spans(data, starts, ends) + owner.astype(np.uint64))
-                _, at, times = np.unique(keys, return_index=True, return_counts=True)
-                sizes = ends[at] - starts[at]
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                word = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spread(starts[at], sizes)])])
-                yield pa.record_batch({"lang": names.dictionary.take(pa.array(owner[at])), "word": word.cast(pa.string()), "n": pa.array(times)})
+    def counted(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(language and n-gram or script, count) of a chunk: each distinct word once, by how often it occurs."""
+        lang = part.column("lang_").to_numpy().astype(np.int64)
+        data, starts, ends, first = _words(part)
+        owner = np.repeat(lang, np.diff(first))
+        _, at, times = np.unique(spans.mix(spans.hash_spans(data, starts, ends) + owner.astype(np.uint64)), return_index=True, return_counts=True)
+        at = at[order := np.argsort(at)]
+        times, starts, ends, owner = times[order], starts[at], ends[at], owner[at]
+        for i in range(0, len(at), PART_WORDS):
+            some = slice(i, i + PART_WORDS)
+            gram, word = _grams(data, starts[some], ends[some])
+            key, back = np.unique(owner[some][word] << 40 | gram, return_inverse=True)
+            yield key, np.bincount(back, times[some][word]).astype(np.int64)
+            script = _scripts(data, starts[some], ends[some])
+            key, back = np.unique(owner[some] << 40 | _SCRIPT_CODE | script.astype(np.int64), return_inverse=True)
+            yield key, np.bincount(back, times[some]).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.chunks(batch, "word", WORD_BYTES):
-                names, times = part.column("lang").dictionary_encode(), part.column("n").to_numpy()
-                lang = names.indices.to_numpy().astype(np.int64)
-                data, offsets = spans.text_buffer(part.column("word"))
-                gram, word = _grams(data, offsets[:-1], offsets[1:])
-                # frequent words count by the square root of their number, so that rare ones have a say
-                key, back = np.unique(lang[word] << 40 | gram, return_inverse=True)
-                n = np.bincount(back, (np.sqrt(times) * 16).astype(np.int64)[word]).astype(np.int64)
-                yield pa.record_batch({"lang": names.dictionary.take(pa.array(key >> 40)), "gram": pa.array(key & (1 << 40) - 1), "n": pa.array(n)})
-                script = np.zeros(len(names.dictionary) * len(SCRIPTS), np.int64)
-                np.add.at(script, lang * len(SCRIPTS) + _scripts(data, offsets[:-1], offsets[1:]), times)
-                seen = np.flatnonzero(script)
-                yield pa.record_batch({"lang": names.dictionary.take(pa.array(seen // len(SCRIPTS))), "gram": pa.array(seen % len(SCRIPTS) - len(SCRIPTS)), "n": pa.array(script[seen])})
+            names = batch.column("lang").dictionary_encode()
+            numbered = pa.record_batch({"text": batch.column("text"), "lang_": names.indices})
+            keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+            for part in spans.chunks(numbered, "text"):
+                found = [(keys, counts), *counted(part)]
+                keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+            yield pa.record_batch({"lang": names.dictionary.take(pa.array(keys >> 40)), "gram": pa.array(keys & (1 << 40) - 1), "n": pa.array(counts)})
 
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    totals = known.mapInArrow(spans.tidy(words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = totals.mapInArrow(spans.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    got = known.mapInArrow(spans.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").combine_chunks().dictionary_encode()
     languages = sorted(names.dictionary.to_pylist())
     lang = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
     gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-    is_gram = gram >= 0
+    is_gram = gram < _SCRIPT_CODE
     grams, at = np.unique(gram[is_gram], return_inverse=True)
     order = np.lexsort((lang[is_gram], at))
-    at, seen, times = at[order], lang[is_gram][order], n[is_gram][order] / 16
+    at, seen, times = at[order], lang[is_gram][order], np.sqrt(n[is_gram][order])
     total = np.bincount(seen, times, len(languages)) + 0.5 * (len(grams) + 1)  # half a count for each n-gram, and for all others together
     scripts = np.zeros((len(SCRIPTS), len(languages)))
-    scripts[gram[~is_gram] + len(SCRIPTS), lang[~is_gram]] += n[~is_gram]
+    scripts[gram[~is_gram] - _SCRIPT_CODE, lang[~is_gram]] += n[~is_gram]
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     allowed = share > 0.001
     allowed[~allowed.any(axis=1)] = True

@@ -93,7 +93,7 @@ def test_language_paths_against_plain_viterbi(languages):
 
 
 def test_language_scores_against_plain_counts(spark):
-    """Word scores are mean n-gram log likelihoods, with half a count for every n-gram."""
+    """Word scores are mean n-gram log likelihoods by the roots of total counts, with half a count for every n-gram."""
     rows = [(1, "abba abc xyz abc", "aa"), (2, "abba xyz", "bb"), (3, "", "bb"), (4, None, "aa"), (1, "abba abc xyz abc", "aa"), (5, "zz", None)]
     model = lang_id.fit(frame(spark, rows).select("text", "lang"))
     words = {"aa": Counter("abba abc xyz abc abba abc xyz abc".split()), "bb": Counter("abba xyz".split())}
@@ -106,7 +106,8 @@ def test_language_scores_against_plain_counts(spark):
     for lang, of in words.items():
         for word, n in of.items():
             for g in grams(word):
-                counts[lang][g] += int(math.sqrt(n) * 16) / 16
+                counts[lang][g] += n
+        counts[lang] = Counter({g: math.sqrt(n) for g, n in counts[lang].items()})
     every = set(counts["aa"]) | set(counts["bb"])
     for word in ("abba", "abc", "new"):
         data = np.frombuffer(word.encode(), np.uint8)
