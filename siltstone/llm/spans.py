@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once inside a task.
 CHUNK_BYTES = 1 << 20
+#: Text bytes that are hashed at once, each taking eight for its prefix sum and eight for its power.
+HASH_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -92,11 +94,11 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``data[start:end]``; starts ascending. Works through large buffers piecewise."""
-    if len(data) <= 2 * CHUNK_BYTES or not len(starts):
+    if len(data) <= HASH_BYTES or not len(starts):
         return _hash_piece(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK_BYTES)))
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + HASH_BYTES)))
         low, high = int(starts[at]), int(ends[at:to].max())
         out[at:to] = _hash_piece(data[low:high], starts[at:to] - low, ends[at:to] - low)
         at = to
