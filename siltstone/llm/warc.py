@@ -151,8 +151,10 @@ def rows_per_file(sizes: DataFrame) -> int:
 
 
 def _write(rows: DataFrame, path: str, separator: str, each: int) -> None:
-    """Gzip files of ``each`` rows: the records are text, the separator ends each."""
-    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    """Gzip files of ``each`` rows: the records are text, the separator ends each. The fastest level makes files an eighth
+    larger in a third of the time."""
+    written = rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    written.option("maxRecordsPerFile", each).text(path)
 
 
 def _opened(content: pa.Scalar) -> memoryview:
