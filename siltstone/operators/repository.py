@@ -174,52 +174,6 @@ def rebuild(indexed: DataFrame, files: DataFrame, delta: DataFrame, extract) ->
 # ---- trees --------------------------------------------------------------------------------------
 
 
-def ignore_rules(gitignore: str, base: str = "") -> list[tuple[str, bool]]:
-    """(pattern over ``/``-separated paths, whether it re-includes) of a gitignore file below ``base``."""
-    out = []
-    for line in gitignore.splitlines():
-        rule = line.rstrip()
-        if not rule or rule.startswith("#"):
-            continue
-        again = rule.startswith("!")
-        rule = rule[1:] if again else rule.removeprefix("\\")
-        folder, rule = rule.endswith("/"), rule.rstrip("/")
-        anchored, rule = "/" in rule, rule.lstrip("/")
-        made, at = "", 0
-        while at < len(rule):
-            if rule.startswith("**/", at):
-                made, at = made + "(?:.*/)?", at + 3
-            elif rule.startswith("**", at):
-                made, at = made + ".*", at + 2
-            elif rule[at] == "*":
-                made, at = made + "[^/]*", at + 1
-            elif rule[at] == "?":
-                made, at = made + "[^/]", at + 1
-            elif rule[at] == "[" and (end := rule.find("]", at + 2)) > 0:
-                made, at = made + "[" + rule[at + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
-            else:
-                made, at = made + re.escape(rule[at]), at + 1
-        prefix = re.escape(base.rstrip("/") + "/") if base else ""
-        out.append((f"^{prefix}{'' if anchored else '(?:.*/)?'}{made}{'/' if folder else '/?'}$", again))
-    return out
-
-
-def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """Whether the last rule that fits a path or one of its folders excludes it; what is below an excluded folder stays
-    excluded."""
-    parts = F.split(path, "/")
-    n = F.size(parts)
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
-
-    def excluded(p: Column) -> Column:
-        found = F.lit(False)
-        for pattern, again in rules:
-            found = F.when(p.rlike(pattern), F.lit(not again)).otherwise(found)
-        return found
-
-    return F.exists(prefixes, excluded) if rules else F.lit(False)
-
-
 def repository_files(files: DataFrame, rules: list[tuple[str, bool]] | None = None) -> DataFrame:
     """Files of a repository scan among ``files (path, ...)``, sorted: no hidden ones, none of private names or below
     output folders, none that ignore rules exclude."""
@@ -227,7 +181,7 @@ def repository_files(files: DataFrame, rules: list[tuple[str, bool]] | None = No
     hidden = F.exists(parts, lambda x: x.startswith("."))
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     skipped = F.exists(folders, lambda x: x.isin(*sources.REPOSITORY_SKIPPED) | x.endswith(".egg-info"))
-    return files.filter(~hidden & ~skipped & ~sources.is_excluded(F.col("path")) & ~ignored(F.col("path"), rules or [])).orderBy("path")
+    return files.filter(~hidden & ~skipped & ~sources.is_excluded(F.col("path")) & ~sources.ignored(F.col("path"), rules or [])).orderBy("path")
 
 
 def candidate_tree(files: DataFrame, documents: list[str] = sources.REPOSITORY_DOC_EXTENSIONS, code: list[str] = sources.REPOSITORY_CODE_EXTENSIONS) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.operators import chunking, code, repository
 from siltstone.queries import query
+from siltstone.plans import extensions
 from siltstone.session import table
+from siltstone.sources import files
 from siltstone.streaming import events as streams
 
 #: One source file a part, in three languages; {k} is the part's key, {b} its base class, {n} its name.
@@ -184,6 +186,21 @@ def packages(spark, sf_dir):
     return found.select("manifest", "ecosystem", "name", "version", F.array_join("dependencies", ",").alias("dependencies"), F.col("warning").isNotNull().alias("warned"))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS k FROM part), c AS (SELECT k, k % 3 AS t, 's' AS f FROM p UNION ALL SELECT k, k % 7, 'm' FROM p)
+  SELECT CASE WHEN f = 's' THEN ['python', 'rust', 'typescript'][t + 1] WHEN t IN (0, 6) THEN 'cargo_toml' WHEN t = 3 THEN 'python' ELSE 'generic_text' END AS parser, count(*) AS files,
+    sum(CASE WHEN f = 's' THEN [5, 6, 2][t + 1] ELSE [3, 1, 2, 1, 1, 1, 1][t + 1] END)::BIGINT AS chunks FROM c GROUP BY 1"""
+)
+def parsed_files(spark, sf_dir):
+    """Chunks by the parser that takes a file: sources and manifests of every part."""
+    k = F.col("p_partkey")
+    sources = source_files(spark, sf_dir).select((k * 2).alias("doc_id"), "path", "text")
+    joined = table(spark, sf_dir, "part").select(k, F.concat(F.lit("m"), k.cast("string"), F.lit("/")).alias("folder"))
+    named = manifests(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^(m[0-9]+/)", 1)).join(joined, "folder")
+    chunks = extensions.parse(sources.unionByName(named.select((k * 2 + 1).alias("doc_id"), "path", "text")))
+    return chunks.groupBy("parser").agg(F.count_distinct("doc_id").alias("files"), F.count("*").alias("chunks"))
+
+
 #: Rust files with what tells web routes, queries, build scripts and generated code.
 FRAMED = [("build.rs", 'println!("cargo:rerun-if-changed=x");'), ("a.pb.rs", "fn a() {}"), ("r.rs", '#[axum::get("/")]\nfn h() {}\nlet app = Router::new().route("/x", post(h));'), ("q.rs", 'sqlx::query_as!(T, "select 1").fetch_all(&db);\nlet x = requery(1);'), ("g.rs", "// Do not EDIT\nfn b() {}"), ("p.rs", "fn plain() {}")]
 
@@ -251,7 +268,7 @@ def repository_scan(spark, sf_dir):
     """Files that a repository scan takes of a tree below each part; ignore rules are those of the root."""
     names = F.explode(F.array(*[F.lit(x) for x in _TREE])).alias("f")
     rows = table(spark, sf_dir, "part").select("p_partkey", names).select(F.concat_ws("/", F.col("p_partkey").cast("string"), "f").alias("path"))
-    return repository.repository_files(rows, repository.ignore_rules(IGNORE))
+    return repository.repository_files(rows, files.ignore_rules(IGNORE))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,76 @@ def parser_for(path: Column) -> Column:
     )
 
 
+def ignore_rules(gitignore: str, base: str = "") -> list[tuple[str, bool]]:
+    """(pattern over ``/``-separated paths, whether it re-includes) of a gitignore file below ``base``."""
+    out = []
+    for line in gitignore.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        again = rule.startswith("!")
+        rule = rule[1:] if again else rule.removeprefix("\\")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        anchored, rule = "/" in rule, rule.lstrip("/")
+        made, at = "", 0
+        while at < len(rule):
+            if rule.startswith("**/", at):
+                made, at = made + "(?:.*/)?", at + 3
+            elif rule.startswith("**", at):
+                made, at = made + ".*", at + 2
+            elif rule[at] == "*":
+                made, at = made + "[^/]*", at + 1
+            elif rule[at] == "?":
+                made, at = made + "[^/]", at + 1
+            elif rule[at] == "[" and (end := rule.find("]", at + 2)) > 0:
+                made, at = made + "[" + rule[at + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+            else:
+                made, at = made + re.escape(rule[at]), at + 1
+        prefix = re.escape(base.rstrip("/") + "/") if base else ""
+        out.append((f"^{prefix}{'' if anchored else '(?:.*/)?'}{made}{'/' if folder else '/?'}$", again))
+    return out
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that fits a path or one of its folders excludes it; what is below an excluded folder stays
+    excluded."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
+
+    def excluded(p: Column) -> Column:
+        found = F.lit(False)
+        for pattern, again in rules:
+            found = F.when(p.rlike(pattern), F.lit(not again)).otherwise(found)
+        return found
+
+    return F.exists(prefixes, excluded) if rules else F.lit(False)
+
+
+def small_file(spark: SparkSession, path: str) -> str:
+    """Text of one small file of any store, hidden ones included; empty if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return ""
+    stream = fs.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``path, length, text`` of eligible files below ``root``; ordering is the reader's choice of a sort."""
+    """``path, length, text`` of eligible files below ``root``, sorted; none of private names, hidden, or excluded by the
+    root's ``.gitignore`` and ``.ignore``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     below = F.regexp_replace(F.regexp_replace("path", "^file:", ""), f"^{posixpath.normpath(root)}/", "")
     rows = files.select(below.alias("path"), "length", "content")
-    return rows.filter(is_source(F.col("path")) & ~is_excluded(F.col("path"))).withColumn("is_text", looks_like_text(F.col("content"))).withColumn("text", F.when(F.col("is_text"), F.decode("content", "UTF-8")))
+    rules = [r for name in (".gitignore", ".ignore") for r in ignore_rules(small_file(spark, f"{root.rstrip('/')}/{name}"))]
+    hidden = F.exists(F.split("path", "/"), lambda x: x.startswith("."))
+    rows = rows.filter(is_source(F.col("path")) & ~is_excluded(F.col("path")) & ~hidden & ~ignored(F.col("path"), rules))
+    rows = rows.withColumn("is_text", looks_like_text(F.col("content")))
+    return rows.withColumn("text", F.when(F.col("is_text"), F.decode("content", "UTF-8"))).orderBy("path")
 
 
 def looks_like_text(content: Column) -> Column:

@@ -141,6 +141,8 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.text for r in files.scan(spark, str(tmp_path)).collect()}
     assert got == {"a.md": "# x", "src/b.rs": "fn a() {}", "e.txt": None}
+    (tmp_path / ".gitignore").write_text("src/\n!src/b.rs\n*.txt\n")
+    assert [r.path for r in files.scan(spark, str(tmp_path)).collect()] == ["a.md"]  # below an excluded folder nothing comes back
     assert files.normalize("/r", "a/../b") == "/r/b" and files.normalize("/r", "../x") is None
 
 
@@ -400,9 +402,9 @@ def test_comment_markers_know_strings():
 
 
 def test_ignore_rules(spark):
-    rules = repository.ignore_rules("*.log\n!keep.log\n/only/\nsub/**/x\n", "base")
+    rules = files.ignore_rules("*.log\n!keep.log\n/only/\nsub/**/x\n", "base")
     paths = {"a.log": False, "base/a.log": True, "base/d/a.log": True, "base/keep.log": False, "base/only/f": True, "base/d/only/f": False, "base/sub/x": True, "base/sub/1/2/x": True, "base/y": False}
-    got = {r.path: r.x for r in spark.createDataFrame([(p,) for p in paths], "path string").select("path", repository.ignored(F.col("path"), rules).alias("x")).collect()}
+    got = {r.path: r.x for r in spark.createDataFrame([(p,) for p in paths], "path string").select("path", files.ignored(F.col("path"), rules).alias("x")).collect()}
     assert got == paths
 
 
