@@ -1,12 +1,20 @@
-"""Documents to chunks, structure trees and summary cards, by window islands over lines."""
+"""Documents to chunks, structure trees and summary cards.
+
+A document's lines are one array of its row, and chunks are slices of it, so nothing is
+shuffled: texts stay where they were read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HEADING = r"^#{1,6}(?:[ \t]|$)"
+#: What a rule says of one line (for structures: of its code, without what it is indented by).
+Rule = Callable[[Column], Column]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -14,73 +22,97 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def _merge(islands: DataFrame) -> DataFrame:
-    """Chunks from lines with an ``island`` number: trimmed text, 1-based inclusive span, order from 0."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    text = F.array_join(F.transform(ordered, lambda x: x.line), "\n")
-    merged = islands.groupBy("doc_id", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), text.alias("text"))
-    merged = merged.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_line")) - 1
-    return merged.select("doc_id", order.alias("ord"), "start_line", "end_line", "text")
+def _split(docs: DataFrame) -> DataFrame:
+    """``doc_id, lines, places``: an array of the lines, and of their numbers from 1."""
+    rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    return rows.withColumn("places", F.sequence(F.lit(1), F.size("lines"))).filter("lines IS NOT NULL")
+
+
+def _pieces(rows: DataFrame, spans: Column) -> DataFrame:
+    """Chunks from ``spans`` (structs of first and last line): trimmed text, 1-based inclusive span, order from 0; blank
+    ones go."""
+
+    def cut_out(x: Column) -> Column:
+        joined = F.array_join(F.slice("lines", x["first"], x["last"] - x["first"] + 1), "\n")
+        return F.struct(x["first"].alias("start_line"), x["last"].alias("end_line"), F.regexp_replace(joined, r"^\s+|\s+$", "").alias("text"))
+
+    found = F.filter(F.transform(spans, cut_out), lambda x: x["text"] != "")
+    return rows.select("doc_id", F.posexplode(found).alias("ord", "x")).select("doc_id", "ord", "x.start_line", "x.end_line", "x.text")
+
+
+def _between(starts: Column) -> Column:
+    """Spans from each of some ascending line numbers to the line before the next; what is before the first as well."""
+    every = F.array_union(F.array(F.lit(1)), starts)
+    return F.transform(every, lambda first, i: F.struct(first.alias("first"), F.coalesce(F.get(every, i + 1) - 1, F.size("lines")).alias("last")))
 
 
 def paragraph_chunks(docs: DataFrame) -> DataFrame:
     """Runs of lines that aren't blank."""
-    rows = lines(docs).withColumn("blank", F.trim(F.regexp_replace("line", r"\s", "")) == "")
-    before = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(before))
-    return _merge(rows.filter(~F.col("blank")))
+    rows = _split(docs).withColumn("blank", F.transform("lines", lambda x: F.regexp_replace(x, r"\s", "") == ""))
+    blank = lambda i: F.coalesce(F.get("blank", i), F.lit(True))  # noqa: E731 (beyond the ends as well)
+    firsts = F.filter("places", lambda i: ~blank(i - 1) & blank(i - 2))
+    lasts = F.filter("places", lambda i: ~blank(i - 1) & blank(i))
+    return _pieces(rows, F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
 
 
-def starts_chunks(docs: DataFrame, starts: Column) -> DataFrame:
-    """Segments between lines where ``starts`` (over column ``line``) holds, the preamble first."""
-    before = Window.partitionBy("doc_id").orderBy("line_no")
-    return _merge(lines(docs).withColumn("island", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(before)))
+def starts_chunks(docs: DataFrame, starts: Rule) -> DataFrame:
+    """Segments between lines where ``starts`` holds, the preamble first."""
+    rows = _split(docs).withColumn("marks", F.transform("lines", lambda x: F.coalesce(starts(x), F.lit(False))))
+    return _pieces(rows, _between(F.filter("places", lambda i: F.get("marks", i - 1))))
 
 
-def structural_starts(rows: DataFrame, pending: Column, start: Column, comment: Column) -> DataFrame:
-    """``doc_id, line_no`` where structures begin, over columns ``doc_id, line_no, line`` and the trimmed ``code``.
+def _structures(pending: Rule, start: Rule, comment: Rule) -> Column:
+    """Line numbers where structures begin, over ``lines`` and ``places``.
 
     A start takes the first pending line (attribute, decorator) since the last line that
-    was neither blank, comment nor pending: a window, as such lines part the groups.
+    was neither blank, comment nor pending: a fold over the lines.
     """
-    rows = rows.withColumns({"pending": pending, "start": ~pending & start})
-    parts = F.col("start") | (~F.col("pending") & (F.col("code") != "") & ~comment)
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("group", F.coalesce(F.sum(parts.cast("int")).over(before), F.lit(0)))
-    held = F.min(F.when(F.col("pending"), F.col("line_no"))).over(Window.partitionBy("doc_id", "group"))
-    return rows.withColumn("held", held).filter("start").select("doc_id", F.coalesce("held", "line_no").alias("line_no"))
+    begin = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("found"))
 
+    def read(acc: Column, i: Column) -> Column:
+        code = F.regexp_replace(F.get("lines", i - 1), r"^\s+", "")
+        begins = ~pending(code) & start(code)
+        inside = pending(code) | (code == "") | comment(code)
+        held = F.when(begins, 0).when(pending(code) & (acc["held"] == 0), i).when(inside, acc["held"]).otherwise(0)
+        at = F.when(acc["held"] > 0, acc["held"]).otherwise(i)
+        found = F.when(begins, F.concat(acc["found"], F.array(at))).otherwise(acc["found"])
+        return F.struct(held.alias("held"), found.alias("found"))
 
-def structural_chunks(docs: DataFrame, pending: Column, start: Column, comment: Column) -> DataFrame:
+    return F.aggregate("places", begin, read, lambda acc: acc["found"])
+
+
+def structural_starts(docs: DataFrame, pending: Rule, start: Rule, comment: Rule) -> DataFrame:
+    """``doc_id, line_no`` where structures begin."""
+    return _split(docs).select("doc_id", F.explode(_structures(pending, start, comment)).alias("line_no"))
+
+
+def structural_chunks(docs: DataFrame, pending: Rule, start: Rule, comment: Rule) -> DataFrame:
     """Chunks at structural starts with what belongs to them above; documents without one by paragraphs."""
-    rows = lines(docs).withColumn("code", F.ltrim(F.regexp_replace("line", "^\\s+", "")))
-    starts = structural_starts(rows, pending, start, comment).withColumn("begins", F.lit(True))
-    found = docs.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
-    before = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines(found).join(starts, ["doc_id", "line_no"], "left").withColumn("island", F.sum(F.coalesce(F.col("begins").cast("int"), F.lit(0))).over(before))
-    rest = docs.join(starts.select("doc_id").distinct(), "doc_id", "left_anti")
-    return _merge(marked.drop("begins")).unionByName(paragraph_chunks(rest))
-
-
-def language_rules(language: str) -> tuple[Column, Column, Column]:
-    """(pending, start, comment) over the trimmed line ``code`` of a source language."""
-    code = F.col("code")
+    rows = _split(docs).withColumn("starts", _structures(pending, start, comment))
+    found = _pieces(rows.filter(F.size("starts") > 0), _between(F.col("starts")))
+    rest = rows.filter(F.size("starts") == 0).select("doc_id", F.array_join("lines", "\n").alias("text"))
+    return found.unionByName(paragraph_chunks(rest))
+
+
+def language_rules(language: str) -> tuple[Rule, Rule, Rule]:
+    """(pending, start, comment) over the code of a line of a source language."""
+    begins = lambda prefix: lambda code: code.startswith(prefix)
+    like = lambda pattern: lambda code: code.rlike(pattern)
     if language == "rust":
-        return code.startswith("#["), code.rlike(r"^(?:pub )?(?:async )?(?:fn|struct|enum|trait) |^(?:pub )?impl"), code.startswith("//")
+        return begins("#["), like(r"^(?:pub )?(?:async )?(?:fn|struct|enum|trait) |^(?:pub )?impl"), begins("//")
     if language == "python":
-        return code.startswith("@"), code.rlike("^(?:class|def|async def) "), code.startswith("#")
+        return begins("@"), like("^(?:class|def|async def) "), begins("#")
     if language == "typescript":
-        return code.startswith("@"), code.rlike(r"^(?:export )?(?:default )?(?:abstract )?(?:async )?(?:class|function|interface|enum|type) "), code.startswith("//")
+        return begins("@"), like(r"^(?:export )?(?:default )?(?:abstract )?(?:async )?(?:class|function|interface|enum|type) "), begins("//")
     if language == "cargo_toml":
-        return F.lit(False), code.startswith("["), code.startswith("#")
+        return lambda code: F.lit(False), begins("["), begins("#")
     raise ValueError(f"no rules for {language}")
 
 
 def markdown_chunks(docs: DataFrame) -> DataFrame:
     """Sections before ATX headings; documents without a heading by paragraphs."""
     headed = F.concat(F.lit("\n"), F.col("text")).rlike("\n#{1,6}(?:[ \t]|\n|$)")
-    return starts_chunks(docs.filter(headed), F.col("line").rlike(HEADING)).unionByName(paragraph_chunks(docs.filter(~headed)))
+    return starts_chunks(docs.filter(headed), lambda line: line.rlike(HEADING)).unionByName(paragraph_chunks(docs.filter(~headed)))
 
 
 def line_ranges(starts: DataFrame) -> DataFrame:
@@ -99,11 +131,12 @@ def node_type(text: Column) -> Column:
 
 def structure_tree(chunks: DataFrame) -> DataFrame:
     """One node per chunk below the document's root (node 0) with its next sibling; a section's path is its heading."""
-    order = Window.partitionBy("doc_id").orderBy("ord")
     kind = node_type(F.col("text"))
     heading = F.trim(F.regexp_replace(F.split(F.ltrim("text"), "\n")[0], r"^#{1,6}|\s+$", ""))
     path = F.when(kind == "Section", F.array(heading)).otherwise(F.array().cast("array<string>"))
-    return chunks.select("doc_id", (F.col("ord") + 1).alias("node"), F.lit(0).alias("parent"), (F.lead("ord").over(order) + 1).alias("next_sibling"), kind.alias("node_type"), path.alias("section_path"), "start_line", "end_line")
+    light = chunks.select("doc_id", "ord", kind.alias("node_type"), path.alias("section_path"), "start_line", "end_line")  # texts stay out of the window
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    return light.select("doc_id", (F.col("ord") + 1).alias("node"), F.lit(0).alias("parent"), (F.lead("ord").over(order) + 1).alias("next_sibling"), "node_type", "section_path", "start_line", "end_line")
 
 
 def summary_cards(docs: DataFrame, chunks: DataFrame, path: Column) -> DataFrame:

@@ -1123,9 +1123,7 @@ def relational_rollup(spark, sf_dir):
   h AS (SELECT *, min(CASE WHEN pending THEN line_no END) OVER (PARTITION BY doc_id, grp) AS held FROM g) SELECT doc_id, coalesce(held, line_no) AS line_no FROM h WHERE start_"""
 )
 def structural_starts(spark, sf_dir):
-    rows = chunking.lines(table(spark, sf_dir, "documents")).withColumn("code", F.regexp_replace("line", r"^\s+", ""))
-    c = F.col("code")
-    return chunking.structural_starts(rows, c.startswith("In"), c.startswith("Th"), c.startswith("E"))
+    return chunking.structural_starts(table(spark, sf_dir, "documents"), *[lambda c, p=p: c.startswith(p) for p in ("In", "Th", "E")])
 
 
 _PROFILES = ["ReadOnly", "Assisted", "ScopedAutonomy", "StrictResearch", "TrustedWorkspace"]
