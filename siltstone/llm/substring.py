@@ -30,7 +30,9 @@ HOT = 2000
 #: Windows of a packed string, at most: a longer super-k-mer is cut, and what it loses is joined again in its bucket.
 RUN = 64
 #: Packed bytes that a task gathers before it hands them on.
-GATHER_BYTES = 16 << 20
+GATHER_BYTES = 8 << 20
+#: Packed strings that a bucket's task turns into Python objects at once.
+READ_ROWS = 1024
 #: Words of the grams whose least hash is the minimiser.
 GRAM = 8
 _CLASS = spans.space_class()
@@ -198,8 +200,8 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
             out.clear()
             return pa.record_batch({"row_": pa.array(all_[:, 0]), "begin": pa.array(all_[:, 1]), "end": pa.array(all_[:, 2])})
 
-        for batch in batches:
-            for key, is_hot, text, low, places in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for part in (batch.slice(i, READ_ROWS) for batch in batches for i in range(0, batch.num_rows, READ_ROWS)):
+            for key, is_hot, text, low, places in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                 places = np.frombuffer(places, "<i8").reshape(-1, 3)
                 if is_hot:  # sorted by window, then by smallest id: the first row has the least
                     if (key, text) != last:
@@ -219,7 +221,17 @@ def removals(rows: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     return buckets.mapInArrow(spans.tidy(count), "row_ long, begin long, end long")
 
 
-def _finish(docs: DataFrame, window: int, hot: int, each: Callable[[bytes, list], dict], schema: str) -> DataFrame:
+def _ranges(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Begins and ends of the removed words of each row; there may be as many as words."""
+    lists = part.column("ranges")
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    at, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()  # without what lies below a null
+    begin, end = (flat.field(i).to_numpy() for i in (0, 1))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield begin[a:b], end[a:b]
+
+
+def _finish(docs: DataFrame, window: int, hot: int, each: Callable[[bytes, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     rows = numbered(docs)
     ranges = removals(rows, window, hot).groupBy("row_").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
@@ -228,8 +240,7 @@ def _finish(docs: DataFrame, window: int, hot: int, each: Callable[[bytes, list]
             for part in spans.chunks(batch, "text"):
                 data, offsets = spans.text_buffer(part.column("text"))
                 raw, at = data.tobytes(), offsets.tolist()
-                ranges = part.column("ranges").to_pylist()
-                made = [each(raw[a:b], x or []) for a, b, x in zip(at[:-1], at[1:], ranges, strict=True)]
+                made = [each(raw[a:b], *x) for a, b, x in zip(at[:-1], at[1:], _ranges(part), strict=True)]
                 ids = zip(part.column("row_").to_pylist(), part.column("doc_id").to_pylist(), strict=True)
                 yield pa.RecordBatch.from_pylist([{"row_": r, "doc_id": i} | x for (r, i), x in zip(ids, made, strict=True)], schema=_arrow(schema))
 
@@ -242,14 +253,11 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def _kept(text: bytes, ranges: list) -> tuple[list[bytes], list[bytes]]:
+def _kept(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     words = text.split()
-    if not ranges:
+    if not len(begin):
         return words, words
-    delta = np.zeros(len(words) + 1, np.int64)
-    for r in ranges:
-        delta[r["begin"]] += 1
-        delta[r["end"]] -= 1
+    delta = np.bincount(begin, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
     keep = np.cumsum(delta[:-1]) == 0
     return words, [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
@@ -262,8 +270,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataF
     another; a null doc_id is larger than any other. Empty tables give no rows.
     """
 
-    def each(text: bytes, ranges: list) -> dict:
-        words, kept = _kept(text, ranges)
+    def each(text: bytes, begin: np.ndarray, end: np.ndarray) -> dict:
+        words, kept = _kept(text, begin, end)
         return {"n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()}
 
     done = _finish(docs, window, hot, each, "row_ long, doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -281,13 +289,14 @@ def without_repeats(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
-                texts, ranges = part.column("text").to_pylist(), part.column("ranges").to_pylist()
-                left = [b" ".join(_kept(t.encode(), r)[1]).decode() if r else t for t, r in zip(texts, ranges, strict=True)]
+                texts, ranges = part.column("text").to_pylist(), list(_ranges(part))
+                less = [len(begin) > 0 for begin, _ in ranges]
+                left = [b" ".join(_kept(t.encode(), *r)[1]).decode() if x else t for t, r, x in zip(texts, ranges, less, strict=True)]
                 new = pa.array(left, part.schema.field("text").type)
-                stays = pa.array([not r or t != "" for t, r in zip(left, ranges, strict=True)])
+                stays = pa.array([not x or t != "" for t, x in zip(left, less, strict=True)])
                 columns = {c: new if c == "text" else part.column(c) for c in others}
                 if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([n if not r else len(t) for n, t, r in zip(part.column("n_chars").to_pylist(), left, ranges, strict=True)], part.schema.field("n_chars").type)
+                    columns["n_chars"] = pa.array([len(t) if x else n for n, t, x in zip(part.column("n_chars").to_pylist(), left, less, strict=True)], part.schema.field("n_chars").type)
                 yield pa.record_batch(columns).filter(stays)
 
     return joined.mapInArrow(spans.tidy(run), docs.select(*others).schema)
