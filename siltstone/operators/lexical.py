@@ -57,8 +57,10 @@ class Postings:
         spark = docs.sparkSession
         made = postings(docs, id_col, text_col)
         made.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-        # a document without words has no postings, but counts
-        corpus_stats(docs, id_col, text_col).write.parquet(f"{path}/stats")
+        # a document without words has no postings, but counts; all term counts together are all lengths together
+        words = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+        n = docs.count()
+        words.select(F.lit(n).cast("long").alias("n"), (F.col("words") / F.lit(max(n, 1))).alias("avgdl")).write.parquet(f"{path}/stats")
         return Postings.read(spark, path)
 
     @staticmethod

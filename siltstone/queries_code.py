@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.operators import chunking, code, repository
 from siltstone.queries import query
-from siltstone.plans import extensions
+from siltstone.plans import extensions, planner
 from siltstone.session import table
 from siltstone.sources import files
 from siltstone.streaming import events as streams
@@ -57,8 +57,15 @@ _SYMBOLS = f"src AS (SELECT p_partkey AS k, p_name AS n, {_PATH.replace('k ', 'p
 _SHOWN = "file_path, start_line, end_line, qualified_name, kind"
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.symbols(source_files(spark, sf_dir))
+    """The written code index of these files: extracted once a session, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = planner.Engine(spark).index_code(source_files(spark, sf_dir)).symbols
+    return _TABLES[key]
 
 
 def _found(spark: SparkSession, sf_dir: str, kind: str, value: str | None) -> DataFrame:
