@@ -59,12 +59,17 @@ def sparse_hits(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.join(q, "term_id").select("id", "term_id", (F.col("weight").cast("double") * F.col("qw").cast("double")).alias("part"))
 
 
-def sparse_search(docs: DataFrame, words: Column, query: DataFrame, terms: int = 4096) -> DataFrame:
-    """``id, term_id, part`` straight from texts: only terms that the query (``term_id, weight``, at most ``terms`` rows)
-    has are counted at all."""
+def sparse_vectors(postings: DataFrame, terms: int = 4096) -> DataFrame:
+    """``id, term_id, weight`` as ``hashed_terms``, from postings ``(id, term, tf)`` instead of texts."""
+    rows = postings.select("id", _term_id(terms).alias("term_id"), "tf")
+    return rows.groupBy("id", "term_id").agg((1 + F.log(F.sum("tf"))).alias("weight"))
+
+
+def sparse_search(postings: DataFrame, query: DataFrame, terms: int = 4096) -> DataFrame:
+    """``id, term_id, part`` for a query ``(term_id, weight)``, of at most ``terms`` rows: only its terms are summed at all."""
     asked = F.broadcast(query.select("term_id", F.col("weight").alias("qw")))  # `terms` rows at most
-    rows = docs.select(F.col("doc_id").alias("id"), F.explode(words).alias("term")).withColumn("term_id", _term_id(terms))
-    counts = rows.join(asked, "term_id").groupBy("id", "term_id").agg((1 + F.log(F.count("*"))).alias("weight"), F.first("qw").alias("qw"))
+    rows = postings.select("id", _term_id(terms).alias("term_id"), "tf").join(asked, "term_id")
+    counts = rows.groupBy("id", "term_id").agg((1 + F.log(F.sum("tf"))).alias("weight"), F.first("qw").alias("qw"))
     return counts.select("id", "term_id", (F.col("weight") * F.col("qw")).alias("part"))
 
 

@@ -482,9 +482,8 @@ _SPARSE = f"""w AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents
 
 
 def _sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, words = table(spark, sf_dir, "documents"), text.tokens(F.col("text"))
-    asked = vectors.hashed_terms(docs.filter("doc_id = 5"), words).select("term_id", "weight")
-    return vectors.sparse_search(docs, words, asked)
+    post = indexed(spark, sf_dir).full_text("text").rows
+    return vectors.sparse_search(post, vectors.sparse_vectors(post.filter("id = 5")).select("term_id", "weight"))
 
 
 @query(f"WITH {_SPARSE}, s AS (SELECT id, round(round(sum(part), 6) * 1000) AS score FROM h GROUP BY 1) SELECT id, score::BIGINT AS score_milli, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY rank LIMIT 20")

@@ -421,3 +421,9 @@ def test_a_query_has_a_bounded_number_of_tokens(spark):
     with pytest.raises(ValueError):
         vectors.max_sim(tokens, docs)
     assert vectors.max_sim(tokens.filter("q < 2"), docs).first().score == 6.0
+
+
+def test_sparse_vectors_from_postings(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, "")], "doc_id long, text string")
+    rows = lambda df: sorted((r.id, r.term_id, round(r.weight, 9)) for r in df.collect())
+    assert rows(vectors.sparse_vectors(lexical.postings(docs))) == rows(vectors.hashed_terms(docs, text.tokens(F.col("text"))))
