@@ -27,10 +27,13 @@ def _rounded(value: Column) -> Column:
 
 
 def _meeting(spans: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``spans`` that overlap accepted ones of their case and source (an equi join), one row a pair."""
+    """``spans`` that overlap accepted ones of their case and source (an equi join), one row a pair.
+
+    Merged, never broadcast: Spark's estimate of candidates made by an explode leaves out how many each row gives.
+    """
     s, a = spans.alias("s"), accepted.alias("a")
     met = (F.col("s.case_id") == F.col("a.case_id")) & (F.col("s.source_id") == F.col("a.source_id"))
-    return s.join(a, met & overlaps(F.col("s.start"), F.col("s.end"), F.col("a.start"), F.col("a.end"))).select("s.case_id", "s.lane_rank", "s.pos", "s.source_id", "a.span_no")
+    return s.join(a.hint("merge"), met & overlaps(F.col("s.start"), F.col("s.end"), F.col("a.start"), F.col("a.end"))).select("s.case_id", "s.lane_rank", "s.pos", "s.source_id", "a.span_no")
 
 
 def graded_quality(accepted: DataFrame, chain: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -65,14 +68,14 @@ def graded_quality(accepted: DataFrame, chain: DataFrame, candidates: DataFrame)
         return sums.select("case_id", value.cast("long").alias(f"ndcg_{k}"))
 
     retrieved = ranked.groupBy("case_id").agg(F.count("*").alias("n_ranked"), F.count_distinct("source_id").alias("n_retrieved"), F.count("cited_source").alias("n_cited"))
-    on_chain = chain.distinct().join(ranked.select("case_id", "source_id").distinct().withColumn("there", F.lit(1)), ["case_id", "source_id"], "left")
+    on_chain = chain.distinct().join(ranked.select("case_id", "source_id").distinct().withColumn("there", F.lit(1)).hint("merge"), ["case_id", "source_id"], "left")
     chained = on_chain.groupBy("case_id").agg(F.count("*").alias("n_chain"), F.count("there").alias("n_found"))
     cited = ranked.filter("cited_source IS NOT NULL").select("case_id", "lane_rank", "pos", F.col("cited_source").alias("source_id"), F.col("cited_start").alias("start"), F.col("cited_end").alias("end"))
     cites = _meeting(cited, accepted).groupBy("case_id").agg(F.count_distinct("pos").alias("citing"), F.count_distinct("span_no").alias("cited"))
 
     both = cases
     for part in (covered, precision, relevant, *[dcg(k) for k in NDCGS], retrieved, chained, cites):
-        both = both.join(part, "case_id", "left")
+        both = both.join(part.hint("merge"), "case_id", "left")
     none = [c for c in both.columns if c not in ("case_id", "first_rank")]
     both = both.na.fill(0, none)
     n = F.col("n_spans")

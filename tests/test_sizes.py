@@ -1,0 +1,21 @@
+"""Operators on what larger tables hold."""
+
+from pyspark.sql import functions as F
+
+from siltstone.operators import quality
+
+
+def test_graded_quality_never_broadcasts_candidates(spark):
+    """Their estimated size is that of the rows before an explode."""
+    accepted = spark.createDataFrame([(1, 1, 5, 0, 10), (1, 2, 6, 0, 10), (2, 1, 5, 0, 10)], "case_id long, span_no int, source_id int, start int, end int")
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(30))).alias("lane_rank")
+    hits = spark.range(1, 2).select(F.col("id").alias("case_id"), ranks).select(
+        "case_id", "lane_rank", F.col("lane_rank").alias("evidence_id"), F.lit(5).alias("source_id"), F.lit(3).alias("start"), F.lit(6).alias("end"),
+        F.lit(5).alias("cited_source"), F.lit(3).alias("cited_start"), F.lit(6).alias("cited_end"), F.lit(2).alias("grade"),
+    )
+    got = quality.graded_quality(accepted, accepted.select("case_id", "source_id"), hits)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    rows = {r.case_id: r for r in got.collect()}
+    assert (rows[1].recall_5, rows[1].ndcg_10, rows[1].mrr_10, rows[1].average_precision, rows[1].citation_precision, rows[1].citation_recall) == (5000, 10_000, 10_000, 10_000, 10_000, 5000)
+    assert (rows[2].recall_100, rows[2].ndcg_20, rows[2].mrr_10, rows[2].citation_precision) == (0, 0, 0, 0)
